@@ -1,11 +1,13 @@
 """Change detection between the index and its source, expiry, and eviction planning.
 
-Anti and semi joins take their right side as it is: duplicates there change nothing, and a plain
-shuffled side lets adaptive execution split a run or task that holds much of the data.
+Anti and semi joins take their right side as it is: duplicates there change nothing. Where the
+left side may hold many rows of one run or task, the rows are salted first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def expired_by_background(expired: DataFrame, excluded: DataFrame | None = None)
     Stays flat: a background may hold most runs, so its list is never built in one row.
     """
     rows = expired.select(BACKGROUND, RUN)
-    return rows if excluded is None else rows.join(excluded.select(RUN), RUN, "left_anti").select(BACKGROUND, RUN)
+    if excluded is None:
+        return rows
+    return spread_join(rows, excluded.select(RUN), [RUN], [BACKGROUND], "left_anti").select(BACKGROUND, RUN)
 
 
 def runs_being_deleted(index: DataFrame) -> DataFrame:
@@ -247,9 +251,9 @@ def mark_being_deleted(index: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
-def delete_by_run(documents: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents left after deleting whole runs."""
-    return documents.join(runs.select(RUN), RUN, "left_anti").select(*documents.columns)
+def delete_by_run(documents: DataFrame, runs: DataFrame, spread_by: Sequence[str] = (BACKGROUND,)) -> DataFrame:
+    """Documents left after deleting whole runs; ``spread_by`` splits the documents of one run."""
+    return spread_join(documents, runs.select(RUN), [RUN], spread_by, "left_anti").select(*documents.columns)
 
 
 def delete_by_run_background(documents: DataFrame, pairs: DataFrame) -> DataFrame:

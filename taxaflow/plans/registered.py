@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from taxaflow.plans import eviction_queries, scoring_queries  # noqa: F401
+from taxaflow.plans import eviction_queries, metrics_queries, scoring_queries  # noqa: F401
 from taxaflow.plans.registry import ORACLES, QUERIES  # noqa: F401

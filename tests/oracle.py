@@ -61,7 +61,7 @@ def main() -> int:
     from taxaflow.session import build_session
 
     directory, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("oracle", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("oracle", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(directory), 0
     for name, run in entry.queries().items():
