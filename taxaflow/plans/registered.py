@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-from taxaflow.plans import eviction_queries, metrics_queries, scoring_queries  # noqa: F401
+from taxaflow.plans import (  # noqa: F401
+    eviction_queries,
+    metrics_queries,
+    refdata_queries,
+    scoring_queries,
+)
 from taxaflow.plans.registry import ORACLES, QUERIES  # noqa: F401
