@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from taxaflow.plans import (  # noqa: F401
+    alert_queries,
     eviction_queries,
     metrics_queries,
     refdata_queries,
