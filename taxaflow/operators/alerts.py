@@ -6,12 +6,17 @@ Everything up to the counts is row-wise and works on streams as it stands.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.functions.rows import evaluated_once
+from taxaflow.session import settle
+
 # Text searched for in messages and the alert it raises.
 ALERT_PATTERNS = {
     "AmrAlleleMismatchError": "AmrAlleleMismatchError",
@@ -66,33 +71,30 @@ def flatten_logs(batches: DataFrame) -> DataFrame:
 
 def ignore_filter(logs: DataFrame, ignored: Sequence[str] = IGNORED_TEXT) -> DataFrame:
     """Drop messages that hold any of the ignored texts."""
-    hit = F.lit(False)
-    for text in ignored:
-        hit = hit | F.col("message").contains(text)
-    return logs.filter(~hit)
+    return logs.filter(~reduce(or_, [F.col("message").contains(text) for text in ignored]))
 
 
 def pattern_alerts(logs: DataFrame, patterns: Mapping[str, str] = ALERT_PATTERNS) -> DataFrame:
-    """One row per pattern a message holds, with the name of the event."""
-    table = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(e).alias("event")) for p, e in patterns.items()])
-    found = F.filter(table, lambda t: F.contains(F.col("message"), t["pattern"]))
-    return logs.withColumn("_hit", F.explode(found)).select("*", F.col("_hit.event").alias("event")).drop("_hit")
+    """One row per pattern a message holds, with the name of the event.
+
+    Most messages hold none and are dropped before any row is built for them.
+    """
+    hits = {p: F.col("message").contains(p) for p in patterns}
+    matching = logs.filter(reduce(or_, hits.values()))
+    names = F.array(*[F.when(hits[p], F.lit(event)) for p, event in patterns.items()])
+    return matching.withColumn("event", F.explode(names)).filter("event IS NOT NULL")
 
 
 def _whole_json(text: Column) -> Column:
     """JSON value of a text that is nothing but JSON, else NULL.
 
     The parser accepts text after a value. Wrapped once as an object field and once as an array
-    item, such text breaks one of the two.
+    item, such text breaks one of the two. Most plain lines are told by their first character.
     """
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(as_item.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
-
-
-def _text_of(doc: Column, path: str, kind: Column) -> Column:
-    """Field as text; a JSON null reads as ``None``."""
-    return F.when(kind == "VOID", F.lit("None")).otherwise(F.try_variant_get(doc, path, "string"))
+    value = F.when(as_item.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
+    return F.when(text.rlike(r"^\s*[\[{\"tfn0-9-]"), value)
 
 
 def parse_alert(alerts: DataFrame, now: Column) -> DataFrame:
@@ -106,44 +108,51 @@ def parse_alert(alerts: DataFrame, now: Column) -> DataFrame:
 
     ``alert_time`` is the time as printed; ``alert_ts`` is NULL when that is no time.
     """
-    kind = F.schema_of_variant("_doc")
-    stamp_kind = F.schema_of_variant(F.try_variant_get("_doc", "$.timestamp", "variant"))
-    message_kind = F.schema_of_variant(F.try_variant_get("_doc", "$.message", "variant"))
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    field_kind = "schema_of_variant(try_variant_get(_doc, '$.{}', 'variant'))"
+    typed = alerts.withColumn("_doc", _whole_json(F.col("message"))).withColumns(
+        {
+            "_is_object": F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False)),
+            "_stamp_kind": F.expr(field_kind.format("timestamp")),
+            "_message_kind": F.expr(field_kind.format("message")),
+            "_event_time": F.timestamp_seconds(F.expr("timestamp_ms div 1000")).cast("timestamp_ntz"),
+            "_stamp": F.split_part(F.try_variant_get("_doc", "$.timestamp", "string"), F.lit("."), F.lit(1)),
+        }
+    )
+    stamped = F.col("_stamp_kind") == "STRING"
     path = (
         F.when(F.col("_doc").isNull(), "plain")
-        .when(~is_object, "unreadable")
-        .when(stamp_kind.isNotNull() & (stamp_kind != "STRING"), "bad_timestamp")
-        .when(message_kind.isNull(), "unreadable")
-        .when(stamp_kind == "STRING", "stamped")
+        .when(~F.col("_is_object"), "unreadable")
+        .when(~stamped, "bad_timestamp")
+        .when(F.col("_message_kind").isNull(), "unreadable")
+        .when(stamped, "stamped")
         .otherwise("unstamped")
     )
-    event_time = F.timestamp_seconds(F.expr("timestamp_ms div 1000")).cast("timestamp_ntz")
-    stamped = F.split_part(F.try_variant_get("_doc", "$.timestamp", "string"), F.lit("."), F.lit(1))
+    pathed = evaluated_once(typed, path.alias("parse_path"))
     record = F.to_json(
         F.struct("id", F.col("timestamp_ms").alias("timestamp"), "message", F.col("log_group").alias("logGroup"),
                  F.col("log_stream").alias("logStream"))
     )
-    by_event = F.col("parse_path").isin("plain", "unstamped")
-    return (
-        alerts.withColumn("_doc", _whole_json(F.col("message")))
-        .withColumn("parse_path", path)
-        .withColumn(
-            "alert_time",
-            F.when(F.col("parse_path") == "stamped", stamped)
-            .when(by_event, F.date_format(event_time, "yyyy-MM-dd HH:mm:ss"))
-            .otherwise(F.date_format(now, ISO_SECONDS)),
-        )
-        .withColumn("alert_ts", F.try_to_timestamp(F.regexp_replace("alert_time", "T", " ")).cast("timestamp_ntz"))
-        .withColumn(
-            "alert_message",
-            F.when(F.col("parse_path") == "plain", record)
-            .when(F.col("parse_path") == "bad_timestamp", F.col("message"))
-            .when(F.col("parse_path") == "unreadable", UNREADABLE)
-            .otherwise(_text_of(F.col("_doc"), "$.message", message_kind)),
-        )
-        .drop("_doc")
+    is_path = F.col("parse_path")
+    by_event = is_path.isin("plain", "unstamped")
+    time = (
+        F.when(is_path == "stamped", F.col("_stamp"))
+        .when(by_event, F.date_format("_event_time", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.date_format(now, ISO_SECONDS))
     )
+    stamp_ts = F.try_to_timestamp(F.translate("_stamp", "T", " ")).cast("timestamp_ntz")
+    ts = F.when(is_path == "stamped", stamp_ts).when(by_event, F.col("_event_time")).otherwise(F.date_trunc("SECOND", now))
+    # A JSON null reads as None.
+    text = F.when(F.col("_message_kind") == "VOID", "None").otherwise(F.try_variant_get("_doc", "$.message", "string"))
+    message = (
+        F.when(is_path == "plain", record)
+        .when(is_path == "bad_timestamp", F.col("message"))
+        .when(is_path == "unreadable", UNREADABLE)
+        .otherwise(text)
+    )
+    parsed = evaluated_once(
+        pathed, time.alias("alert_time"), ts.cast("timestamp_ntz").alias("alert_ts"), message.alias("alert_message")
+    )
+    return parsed.select(*alerts.columns, "parse_path", "alert_time", "alert_ts", "alert_message")
 
 
 def source_dimension(alerts: DataFrame, sources: Mapping[str, str] = LOG_SOURCES) -> DataFrame:
@@ -234,32 +243,35 @@ def thread_starts(alerts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
     )
 
 
-def alert_threads(alerts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
-    """Alerts with the start of the thread they belong to.
+def attach_threads(alerts: DataFrame, starts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
+    """Alerts with the start of the thread that covers them.
 
-    Each thread covers ``hours`` from its start. Alerts and threads meet on the topic and the
-    ``hours``-long slot of time, and a thread touches at most two slots.
+    Alerts and threads meet on the topic and the ``hours``-long slot of time; a thread touches at
+    most two slots.
     """
     span = hours * 3600
-    usable = alerts.filter("log_source IS NOT NULL AND alert_ts IS NOT NULL")
-    starts = thread_starts(usable, hours).select(
-        "topic",
-        "thread_second",
-        F.explode(
-            F.array_distinct(
-                F.array(F.expr(f"thread_second div {span}"), F.expr(f"(thread_second + {span - 1}) div {span}"))
-            )
-        ).alias("_slot"),
+    slots = F.array_distinct(
+        F.array(F.expr(f"thread_second div {span}"), F.expr(f"(thread_second + {span - 1}) div {span}"))
     )
+    covered = starts.select("topic", "thread_second", F.explode(slots).alias("_slot"))
     second = F.unix_seconds(F.col("alert_ts").cast("timestamp"))
-    placed = usable.withColumn("_second", second).withColumn("_slot", F.expr(f"_second div {span}"))
-    joined = placed.join(starts, ["topic", "_slot"]).filter(
+    placed = alerts.withColumn("_second", second).withColumn("_slot", F.expr(f"_second div {span}"))
+    joined = placed.join(covered, ["topic", "_slot"]).filter(
         (F.col("_second") >= F.col("thread_second")) & (F.col("_second") < F.col("thread_second") + span)
     )
     started = F.timestamp_seconds("thread_second").cast("timestamp_ntz")
     return joined.withColumn("thread_start", started).select(*alerts.columns, "thread_start")
 
 
+def alert_threads(alerts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
+    """Alerts with the start of the thread they belong to.
+
+    The alerts are settled first, so the logs they come from are scanned once.
+    """
+    usable = settle(alerts.filter("log_source IS NOT NULL AND alert_ts IS NOT NULL"))
+    return attach_threads(usable, thread_starts(usable, hours), hours)
+
+
 # ---- notices and views ----------------------------------------------------------------------
 
 
@@ -330,11 +342,11 @@ def stderr_view(logs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("_f.level", F.lit("")))
     )
     time = F.date_format(F.timestamp_seconds(F.expr("timestamp_ms div 1000")), "yyyy-MM-dd HH:mm:ss")
+    parsed = evaluated_once(
+        logs.filter(~F.contains(F.col("message"), F.lit(CREDENTIAL_PROBE))), fields.alias("_f"), keys.alias("_keys")
+    )
     return (
-        logs.filter(~F.contains(F.col("message"), F.lit(CREDENTIAL_PROBE)))
-        .withColumn("_f", fields)
-        .withColumn("_keys", keys)
-        .filter(~structured | F.coalesce(shown, F.lit(False)))
+        parsed.filter(~structured | F.coalesce(shown, F.lit(False)))
         .withColumn(
             "line",
             F.when(

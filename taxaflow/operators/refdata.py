@@ -36,6 +36,41 @@ HANDOFF_NAMES = [
     "taxdump",
 ]
 STAGES = ["Download", "Compress", "Index"]
+# Phase of each stage when the databases are built in parallel lanes, and what each lane reads.
+LANE_PHASES = {
+    "DownloadTaxonomy": 0,
+    "DownloadNT": 0,
+    "DownloadNR": 0,
+    "CompressNT": 1,
+    "CompressNR": 1,
+    "IndexNT": 2,
+    "IndexNR": 2,
+    "IndexTaxonomy": 2,
+    "Assemble": 3,
+}
+LANE_INPUTS = {
+    "CompressNR": {
+        "download_out_nr": "nr",
+        "download_out_accession2taxid_pdb": "accession2taxid_pdb",
+        "download_out_accession2taxid_prot": "accession2taxid_prot",
+    },
+    "CompressNT": {
+        "download_out_nt": "nt",
+        "download_out_accession2taxid_nucl_gb": "accession2taxid_nucl_gb",
+        "download_out_accession2taxid_nucl_wgs": "accession2taxid_nucl_wgs",
+    },
+    "IndexNR": {"compress_out_nr": "nr"},
+    "IndexNT": {"compress_out_nt": "nt"},
+    "IndexTaxonomy": {"taxdump": "taxdump"},
+    "Assemble": {
+        "compress_out_nt": "nt",
+        "compress_out_nr": "nr",
+        "accession2taxid_nucl_gb": "accession2taxid_nucl_gb",
+        "accession2taxid_nucl_wgs": "accession2taxid_nucl_wgs",
+        "accession2taxid_pdb": "accession2taxid_pdb",
+        "accession2taxid_prot": "accession2taxid_prot",
+    },
+}
 DATED_VERSION = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MAX_AGE_DAYS = 400
 RETAIN_COUNT = 3
@@ -142,51 +177,60 @@ def handoff_map(stages: Sequence[str] = STAGES, names: Sequence[str] = HANDOFF_N
 
 def stage_handoff(
     outputs: DataFrame,
-    stages: Sequence[str] = STAGES,
-    io_map: Mapping[str, Mapping[str, str]] | None = None,
+    phases: Mapping[str, int] | None = None,
+    io_map: Mapping[str, Mapping[str, str | None]] | None = None,
+    run_inputs: DataFrame | None = None,
 ) -> DataFrame:
     """Resolve each stage's inputs from what the run produced before it.
 
     ``outputs`` has ``run_id, stage, name, value``: the name carries its workflow as a prefix and a
-    list value is NULL, which drops the output. A later stage overwrites an output of the same
-    name. Runs that finished a stage expect all inputs of the next one; ``value`` NULL means the
-    input could not be resolved.
+    list value is NULL, which drops the output. ``phases`` numbers the stages; a later phase
+    overwrites an output of the same name, and a run that reached a phase expects all inputs of
+    the next one. An input without a source comes from ``run_inputs (run_id, name, value)``. A
+    NULL ``value`` in the result means the input could not be resolved.
     """
-    io_map = handoff_map(stages) if io_map is None else io_map
-    order = F.coalesce(*[F.when(F.col("stage") == s, F.lit(i)) for i, s in enumerate(stages)])
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(stage).alias("stage"),
-                F.lit(stages.index(stage)).alias("order"),
-                F.lit(name).alias("input"),
-                F.lit(source).alias("source"),
-            )
-            for stage, inputs in io_map.items()
-            for name, source in inputs.items()
-        ]
+    phases = {stage: i for i, stage in enumerate(STAGES)} if phases is None else phases
+    io_map = handoff_map() if io_map is None else io_map
+    spark = outputs.sparkSession
+    # Both tables are fixed and hold a few rows, so broadcasting them is bounded.
+    order = F.broadcast(spark.createDataFrame(list(phases.items()), "stage STRING, _order INT"))
+    wanted = F.broadcast(
+        spark.createDataFrame(
+            [
+                (stage, phases[stage], name, name if source is None else source, source is None)
+                for stage, inputs in io_map.items()
+                for name, source in inputs.items()
+            ],
+            "_stage STRING, _needed INT, input STRING, _source STRING, _from_run BOOLEAN",
+        )
     )
-    rows = outputs.select(
-        "run_id",
-        order.alias("_order"),
-        F.expr("substring(name, instr(name, '.') + 1)").alias("_name"),
-        "value",
+    rows = outputs.join(order, "stage").select(
+        "run_id", "_order", F.expr("substring(name, instr(name, '.') + 1)").alias("_source"), "value"
+    )
+    fed = (
+        rows.filter("value IS NOT NULL")
+        .join(wanted.filter("NOT _from_run"), "_source")
+        .filter("_needed > _order")
+        .select("run_id", "_stage", "input", "_order", "value")
     )
-    # An output feeds every later stage that reads its name; the next stage also expects its inputs.
-    feeds = F.filter(wanted, lambda w: (w["source"] == F.col("_name")) & (w["order"] > F.col("_order")))
-    fed = rows.filter("value IS NOT NULL").withColumn("w", F.explode(feeds)).select("run_id", "_order", "value", "w")
-    expects = F.filter(wanted, lambda w: w["order"] == F.col("_order") + 1)
     expected = (
-        rows.select("run_id", "_order")
+        rows.select("run_id", (F.col("_order") + 1).alias("_needed"))
         .distinct()
-        .withColumn("w", F.explode(expects))
-        .select("run_id", F.lit(-1).alias("_order"), F.lit(None).cast("string").alias("value"), "w")
+        .join(wanted, "_needed")
+        .select("run_id", "_stage", "input", F.lit(-2).alias("_order"), F.lit(None).cast("string").alias("value"))
     )
+    resolved = fed.unionByName(expected)
+    if run_inputs is not None:
+        given = run_inputs.select("run_id", F.col("name").alias("_source"), "value")
+        resolved = resolved.unionByName(
+            given.join(wanted.filter("_from_run"), "_source").select(
+                "run_id", "_stage", "input", F.lit(-1).alias("_order"), "value"
+            )
+        )
     latest = (
-        fed.unionByName(expected)
-        .groupBy("run_id", F.col("w.stage").alias("stage"), F.col("w.input").alias("input"))
+        resolved.groupBy("run_id", F.col("_stage").alias("stage"), "input")
         .agg(F.max_by("value", "_order").alias("value"), F.min("_order").alias("_expected"))
-        .filter("_expected = -1")
+        .filter("_expected = -2")
     )
     return latest.select("run_id", "stage", "input", F.when(F.col("value") != "", F.col("value")).alias("value"))
 
