@@ -197,11 +197,12 @@ def stage_handoff(
     wanted = F.broadcast(
         spark.createDataFrame(
             [
-                (stage, phases[stage], name, name if source is None else source, source is None)
-                for stage, inputs in io_map.items()
-                for name, source in inputs.items()
+                (i, stage, phases[stage], name, name if source is None else source, source is None)
+                for i, (stage, name, source) in enumerate(
+                    (stage, name, source) for stage, inputs in io_map.items() for name, source in inputs.items()
+                )
             ],
-            "_stage STRING, _needed INT, input STRING, _source STRING, _from_run BOOLEAN",
+            "_item INT, stage STRING, _needed INT, input STRING, _source STRING, _from_run BOOLEAN",
         )
     )
     rows = outputs.join(order, "stage").select(
@@ -211,26 +212,27 @@ def stage_handoff(
         rows.filter("value IS NOT NULL")
         .join(wanted.filter("NOT _from_run"), "_source")
         .filter("_needed > _order")
-        .select("run_id", "_stage", "input", "_order", "value")
+        .select("run_id", "_item", "_order", "value")
     )
     expected = (
         rows.select("run_id", (F.col("_order") + 1).alias("_needed"))
         .distinct()
         .join(wanted, "_needed")
-        .select("run_id", "_stage", "input", F.lit(-2).alias("_order"), F.lit(None).cast("string").alias("value"))
+        .select("run_id", "_item", F.lit(-2).alias("_order"), F.lit(None).cast("string").alias("value"))
     )
     resolved = fed.unionByName(expected)
     if run_inputs is not None:
         given = run_inputs.select("run_id", F.col("name").alias("_source"), "value")
         resolved = resolved.unionByName(
             given.join(wanted.filter("_from_run"), "_source").select(
-                "run_id", "_stage", "input", F.lit(-1).alias("_order"), "value"
+                "run_id", "_item", F.lit(-1).alias("_order"), "value"
             )
         )
     latest = (
-        resolved.groupBy("run_id", F.col("_stage").alias("stage"), "input")
+        resolved.groupBy("run_id", "_item")
         .agg(F.max_by("value", "_order").alias("value"), F.min("_order").alias("_expected"))
         .filter("_expected = -2")
+        .join(wanted, "_item")
     )
     return latest.select("run_id", "stage", "input", F.when(F.col("value") != "", F.col("value")).alias("value"))
 

@@ -11,5 +11,6 @@ from taxaflow.plans import (  # noqa: F401
     read_queries,
     refdata_queries,
     scoring_queries,
+    stream_queries,
 )
 from taxaflow.plans.registry import ORACLES, QUERIES  # noqa: F401
