@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.functions import text
 from taxaflow.plans import eviction_inputs as index
 from taxaflow.plans import scoring_inputs as scoring
 from taxaflow.plans.eviction_queries import INDEX
@@ -162,3 +163,47 @@ def archive_if_absent(t: Tables) -> DataFrame:
     executions = t.events.select(arn, F.expr("""concat('{"OutputPrefix":"s3://out/', user_id, '/"}')""").alias("input"))
     archived = t.events.filter("event_type = 'click'").select(arn)
     return sinks.archive_if_absent(executions, archived, "prod-main-1", "prod")
+
+
+@query(
+    """WITH named AS (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2, strpos(p_name, ' ') - 2)
+            || upper(substr(p_name, strpos(p_name, ' ') + 1, 1)) || substr(p_name, strpos(p_name, ' ') + 2) AS stage,
+            CASE WHEN p_size % 2 = 0 THEN 's3://refs/' ELSE 'https://refs/' END || p_brand || '/' || p_name AS uri,
+            lower(p_type) || '-v' || p_size || '.' || (p_partkey % 10) || '.0' AS workflow FROM part)
+    SELECT p_partkey, upper(regexp_replace(regexp_replace(stage || 'NT', '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))
+            || '_INPUT_URI' AS input_key,
+        upper(regexp_replace('NT' || stage, '([^A-Z])([A-Z])', '\\1_\\2', 'g')) AS acronym_key,
+        CASE WHEN uri LIKE 's3://%' THEN split_part(uri, '/', 3) END AS bucket,
+        CASE WHEN uri LIKE 's3://%' THEN substr(uri, length('s3://refs/') + 1) END AS key,
+        regexp_replace(workflow, 'v(\\d+)\\..+', '\\1') AS major
+    FROM named"""
+)
+def text_functions(t: Tables) -> DataFrame:
+    stage = F.replace(F.initcap("p_name"), F.lit(" "))
+    uri = F.concat(F.expr("IF(p_size % 2 = 0, 's3://refs/', 'https://refs/')"), "p_brand", F.lit("/"), "p_name")
+    workflow = F.expr("concat(lower(p_type), '-v', p_size, '.', p_partkey % 10, '.0')")
+    return t.part.select(
+        "p_partkey",
+        text.stage_uri_key(F.concat(stage, F.lit("NT")), "input").alias("input_key"),
+        text.snake_upper_acronyms(F.concat(F.lit("NT"), stage)).alias("acronym_key"),
+        text.uri_bucket(uri).alias("bucket"),
+        text.uri_key(uri).alias("key"),
+        text.major_version(workflow).alias("major"),
+    )
+
+
+@query(
+    """SELECT log_source || '-log-count' AS namespace, 'Event occurrences' AS metric, event_type AS dimension_value, n FROM (
+        SELECT CASE WHEN user_id % 2 = 0 THEN 'Prod' ELSE 'Staging' END AS log_source, event_type, count(*) AS n
+        FROM events GROUP BY 1, 2)"""
+)
+def emit_metrics(t: Tables) -> DataFrame:
+    """Metric rows appended to a table by namespace, twice from halves, and read back."""
+    path = new_shared_path(t.spark, "metrics")
+    for source, half in (("Prod", "user_id % 2 = 0"), ("Staging", "user_id % 2 = 1")):
+        rows = t.events.filter(half).groupBy(F.col("event_type").alias("dimension_value")).agg(F.count("*").alias("n"))
+        sinks.emit_metrics(
+            rows.select(F.lit(f"{source}-log-count").alias("namespace"), F.lit("Event occurrences").alias("metric"), "*"),
+            path,
+        )
+    return t.spark.read.parquet(path).select("namespace", "metric", "dimension_value", "n")

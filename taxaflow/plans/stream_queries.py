@@ -29,8 +29,8 @@ class _EventStream:
     """The event table as a stream, for the projections of metric points."""
 
     def __init__(self, t: Tables):
-        reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
-        self.events = reader.parquet(t.directory)
+        # A pattern serves a table that is one file as well as one that is a folder.
+        self.events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/events.parque[t]")
 
 
 def _appended(stream: DataFrame, t: Tables) -> DataFrame:

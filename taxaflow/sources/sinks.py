@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,10 @@ def upsert_table(
     new = settle(new.withColumn("bucket", _bucket(keys, buckets)))
     staged_path = new_shared_path(spark, "upsert")
     merged = new
-    if _exists(spark, path):
+    table = _read_if_present(spark, path)
+    if table is not None:
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        merged = upsert_documents(old, new, [*keys, "bucket"])
+        merged = upsert_documents(table.filter(F.col("bucket").isin(touched)), new, [*keys, "bucket"])
     spread = F.pmod(F.hash(*keys), F.lit(files_per_bucket))
     merged.repartition("bucket", spread).write.partitionBy("bucket").parquet(staged_path)
     (
@@ -62,9 +63,13 @@ def upsert_table(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 # ---- bulk export ----------------------------------------------------------------------------
