@@ -162,9 +162,9 @@ def source_dimension(alerts: DataFrame, sources: Mapping[str, str] = LOG_SOURCES
 
 
 def alert_text(alerts: DataFrame, account: str) -> DataFrame:
-    """Thread topic and message text."""
+    """Thread topic and message text; an alert of an unknown source has no topic."""
     topic = F.format_string("[%s] [%s] %s", F.lit(account), F.col("log_source"), F.col("event"))
-    return alerts.withColumn("topic", topic).withColumn(
+    return alerts.withColumn("topic", F.when(F.col("log_source").isNotNull(), topic)).withColumn(
         "text",
         F.format_string(
             "*%s* \n *Log stream:* %s \n *Timestamp:* %s \n %s", "topic", "log_stream", "alert_time", "alert_message"
