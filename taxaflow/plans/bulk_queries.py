@@ -26,8 +26,9 @@ def spec_records(t: Tables) -> DataFrame:
 
 PAIRS = f"""
 pairs AS (
-    SELECT c.c_custkey // 100 AS record_no, b.background_id - 1 AS background_pos, c.c_custkey AS pipeline_run_id, b.background_id,
-        row_number() OVER (PARTITION BY c.c_custkey // 100, b.background_id ORDER BY c.c_custkey) - 1 AS run_pos
+    SELECT c.c_custkey // 100 AS record_no, CAST(b.background_id - 1 AS INTEGER) AS background_pos,
+        c.c_custkey AS pipeline_run_id, CAST(b.background_id AS BIGINT) AS background_id,
+        CAST(row_number() OVER (PARTITION BY c.c_custkey // 100, b.background_id ORDER BY c.c_custkey) - 1 AS INTEGER) AS run_pos
     FROM customer c JOIN (VALUES (1), (2), (3)) b(background_id) ON b.background_id <= 1 + c.c_custkey // 100 % 3
 ),
 numbered AS (

@@ -90,7 +90,7 @@ def upsert_documents(t: Tables) -> DataFrame:
     )
     path = new_shared_path(t.spark, "documents")
     for rows in (_old_documents(t), new):
-        sinks.upsert_table(t.spark, path, rows, keys, buckets=16, files_per_bucket=1)
+        sinks.upsert_table(t.spark, path, rows, keys, buckets=16)
     return t.spark.read.parquet(path).select(*keys, "counts")
 
 

@@ -34,8 +34,6 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings the results depend on; the others only where the session left them unset."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Settings the results or the plans depend on, whatever session the caller brought."""
     for key, value in DEFAULT_CONF.items():
-        if spark.conf.get(key, None) is None or key == "spark.sql.adaptive.forceOptimizeSkewedJoin":
-            spark.conf.set(key, value)
+        spark.conf.set(key, value)

@@ -14,8 +14,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # File splits then depend on the input and on settings, not on how many executors are up.
-    "spark.sql.files.minPartitionNum": "8",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -34,15 +32,27 @@ def build_session(app_name: str = "taxaflow", master: str | None = None, **conf:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
+    if named:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
+        return named
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="taxaflow-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="taxaflow-"))
+    return context.getCheckpointDir()
+
+
+def pin_file_splits(spark: SparkSession) -> None:
+    """Keep file splits the same while executors come and go.
+
+    Without a set number Spark derives the split size from the cores that are up at the moment.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:

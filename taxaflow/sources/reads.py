@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxaflow.operators.reads import read_id
-from taxaflow.session import settle
+from taxaflow.session import pin_file_splits, settle
 
 # One row per file split; at the default split size this covers a quarter of a petabyte.
 BROADCAST_SPLITS = 2_000_000
@@ -19,6 +19,7 @@ def positioned_lines(spark: SparkSession, path: str | list[str], line_sep: str =
     from row numbers inside read tasks, so no text is shuffled. The split counts are settled first;
     a line that does not fall inside its split's count fails the job instead of being misplaced.
     """
+    pin_file_splits(spark)
     lines = (
         spark.read.option("lineSep", line_sep)
         .text(path)

@@ -37,12 +37,13 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
 
 
 def upsert_table(
-    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64, files_per_bucket: int = 8
+    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64
 ) -> None:
     """Upsert into a parquet table partitioned by a hash bucket of the key.
 
     Only touched buckets are rewritten. The merged rows are complete in a folder of their own
-    before the table changes, and running the same upsert again gives the same table.
+    before the table changes, and running the same upsert again gives the same table. Rebalancing
+    sizes the write tasks: small buckets share one, a large bucket gets several.
     """
     new = settle(new.withColumn("bucket", _bucket(keys, buckets)))
     staged_path = new_shared_path(spark, "upsert")
@@ -51,11 +52,11 @@ def upsert_table(
     if table is not None:
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]
         merged = upsert_documents(table.filter(F.col("bucket").isin(touched)), new, [*keys, "bucket"])
-    spread = F.pmod(F.hash(*keys), F.lit(files_per_bucket))
-    merged.repartition("bucket", spread).write.partitionBy("bucket").parquet(staged_path)
+    merged.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(staged_path)
     (
         spark.read.schema(merged.schema)
         .parquet(staged_path)
+        .hint("rebalance", F.col("bucket"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

@@ -41,7 +41,7 @@ def test_upsert_table_can_be_repeated(spark, rows):
     first = keyed(spark, *[(r, t, "a") for r in range(20) for t in range(5)])
     second = keyed(spark, *[(r, 0, "b") for r in range(0, 40, 3)])
     for batch in (first, second, second):
-        sinks.upsert_table(spark, path, batch, ["run", "tax"], buckets=8, files_per_bucket=2)
+        sinks.upsert_table(spark, path, batch, ["run", "tax"], buckets=8)
     want = {(r, t): "a" for r in range(20) for t in range(5)} | {(r, 0): "b" for r in range(0, 40, 3)}
     got = spark.read.parquet(path).select("run", "tax", "v")
     assert rows(got) == sorted((*k, v) for k, v in want.items())
