@@ -95,19 +95,23 @@ def bulk_export(documents: DataFrame, path: str, index_name: str = "scored_taxon
 # ---- run status -----------------------------------------------------------------------------
 
 
-def run_status_begin(index: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """Status documents after the requested pairs start over.
-
-    A begun document replaces the old one, which loses its last read time and deletion task.
-    """
-    begun = requests.select(*STATUS_KEYS).distinct().select(
+def begun_documents(pairs: DataFrame, now: Column) -> DataFrame:
+    """Fresh status documents of runs being indexed."""
+    return pairs.select(*STATUS_KEYS).distinct().select(
         *STATUS_KEYS,
         F.lit(False).alias("is_complete"),
         now.alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("last_read_at"),
         F.lit(None).cast("string").alias("deletion_task"),
     )
-    return upsert_documents(index, begun, STATUS_KEYS)
+
+
+def run_status_begin(index: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """Status documents after the requested pairs start over.
+
+    A begun document replaces the old one, which loses its last read time and deletion task.
+    """
+    return upsert_documents(index, begun_documents(requests, now), STATUS_KEYS)
 
 
 def run_status_complete(index: DataFrame, pairs: DataFrame) -> DataFrame:
