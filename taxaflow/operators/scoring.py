@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxaflow.functions.rows import evaluated_once
 from taxaflow.functions.scoring import document_id, lineage_join_id, taxon_zscore
 
 COUNT_KEYS = ["pipeline_run_id", "tax_id", "count_type", "tax_level"]
@@ -147,28 +148,20 @@ def taxon_documents(scored: DataFrame, contigs: DataFrame) -> DataFrame:
     A group has at most one row per count type, level and matching lineage range, so the list is
     short whatever the data size. Scalars come from the least (tax_level, count_type) row.
     """
-    rank = F.struct("tax_level", "count_type", F.struct(*[F.col(c) for c in DOCUMENT_SCALARS]))
-    entry = F.struct("tax_level", *METRIC_FIELDS)
-    grouped = (
-        with_contigs(scored, contigs)
-        .groupBy(*DOCUMENT_KEYS)
-        .agg(F.min(rank).alias("_head"), F.sort_array(F.collect_list(entry)).alias("_metrics"))
-    )
-    return grouped.select(
-        *DOCUMENT_KEYS,
-        *[F.col(f"_head.col3.{c}").alias(c) for c in DOCUMENT_SCALARS],
-        F.transform("_metrics", lambda m: F.struct(*[m[c].alias(c) for c in METRIC_FIELDS])).alias("metric_list"),
-    ).withColumn(
-        "doc_id",
-        document_id(F.col("tax_id"), F.col("tax_level"), F.col("pipeline_run_id"), F.col("background_id")),
-    )
+    rank = f"min(struct(tax_level, count_type, struct({', '.join(DOCUMENT_SCALARS)}) AS scalars)) AS _head"
+    entries = f"sort_array(collect_list(struct(tax_level, {', '.join(METRIC_FIELDS)}))) AS _metrics"
+    grouped = with_contigs(scored, contigs).groupBy(*DOCUMENT_KEYS).agg(F.expr(rank), F.expr(entries))
+    doc_id = document_id(F.col("tax_id"), F.col("tax_level"), F.col("pipeline_run_id"), F.col("background_id"))
+    metric = ", ".join(f"m.{c} AS {c}" for c in METRIC_FIELDS)
+    return grouped.selectExpr(
+        *DOCUMENT_KEYS, "_head.scalars.*", f"transform(_metrics, m -> struct({metric})) AS metric_list"
+    ).withColumn("doc_id", doc_id)
 
 
 def taxon_documents_flat(documents: DataFrame) -> DataFrame:
     """Documents with one row per metric, for sinks and checks that want no nesting."""
-    return documents.select(
-        *[c for c in documents.columns if c != "metric_list"], F.explode("metric_list").alias("m")
-    ).select("*", *[F.col(f"m.{c}").alias(c) for c in METRIC_FIELDS]).drop("m")
+    kept = [c for c in documents.columns if c != "metric_list"]
+    return documents.selectExpr(*kept, "inline(metric_list)")
 
 
 REQUEST_NUMBERS = {"pipeline_run_id": True, "background_id": True, "es_batchsize": False}
@@ -187,29 +180,32 @@ def request_validation(events: DataFrame, column: str = "event") -> DataFrame:
     Required numbers must be JSON numbers, optional fields must have their type when present.
     Invalid rows stay in the result with ``is_valid = false`` so they can be quarantined.
     """
-    doc = F.try_parse_json(column)
-
-    def kind(field: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))
+    def kind(field: str) -> str:
+        return f"schema_of_variant(try_variant_get(_doc, '$.{field}', 'variant'))"
 
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    checks = [is_object]
+    checks = ["coalesce(startswith(schema_of_variant(_doc), 'OBJECT'), false)"]
     for field, required in REQUEST_NUMBERS.items():
-        number = kind(field).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-        checks.append(F.coalesce(number, F.lit(not required)))
+        number = f"rlike({kind(field)}, '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$')"
+        checks.append(f"coalesce({number}, {str(not required).lower()})")
     for field in REQUEST_STRINGS:
-        checks.append(F.coalesce(kind(field) == "STRING", F.lit(True)))
-    valid = checks[0]
-    for check in checks[1:]:
-        valid = valid & check
-    parsed = events.withColumn("is_valid", valid)
-    for field in REQUEST_NUMBERS:
-        parsed = parsed.withColumn(field, F.when(F.col("is_valid"), F.try_variant_get(doc, f"$.{field}", "bigint")))
-    for field in REQUEST_STRINGS:
-        parsed = parsed.withColumn(field, F.when(F.col("is_valid"), F.try_variant_get(doc, f"$.{field}", "string")))
-    for field, default in REQUEST_DEFAULTS.items():
-        parsed = parsed.withColumn(field, F.when(F.col("is_valid"), F.coalesce(field, F.lit(default))))
-    return parsed
+        checks.append(f"coalesce({kind(field)} = 'STRING', true)")
+
+    def value(field: str, kind_name: str) -> str:
+        found = f"try_variant_get(_doc, '$.{field}', '{kind_name}')"
+        default = REQUEST_DEFAULTS.get(field)
+        if default is not None:
+            literal = f"'{default}'" if kind_name == "string" else f"{default}L"
+            found = f"coalesce({found}, {literal})"
+        return f"IF(is_valid, {found}, NULL) AS {field}"
+
+    parsed = events.select("*", F.try_parse_json(column).alias("_doc"))
+    checked = evaluated_once(parsed, F.expr(" AND ".join(checks)).alias("is_valid"))
+    return checked.selectExpr(
+        *events.columns,
+        "is_valid",
+        *[value(field, "bigint") for field in REQUEST_NUMBERS],
+        *[value(field, "string") for field in REQUEST_STRINGS],
+    )
 
 
 def index_runs(requests: DataFrame, documents: DataFrame) -> DataFrame:

@@ -13,51 +13,47 @@ from taxaflow.sources.tables import Tables
 
 
 def _hits(t: Tables) -> DataFrame:
-    return t.lineitem.select(
-        F.col("l_suppkey").alias("pipeline_run_id"),
-        (F.col("l_partkey") % 200).alias("p"),
+    return t.lineitem.selectExpr(
+        "l_suppkey AS pipeline_run_id",
+        "l_partkey % 200 AS p",
         "l_partkey",
         "l_linenumber",
         "l_returnflag",
-        F.expr("CASE l_returnflag WHEN 'A' THEN 'NT' WHEN 'N' THEN 'NR' ELSE 'merged_NT_NR' END").alias("count_type"),
-        F.expr("CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END").alias("tax_level"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("discount_pct"),
-        F.round(F.col("l_tax") * 100).cast("bigint").alias("tax_pct"),
-    ).withColumn("tax_id", F.expr("CASE WHEN p % 10 = 0 THEN -100000000 - p ELSE p END"))
+        "CASE l_returnflag WHEN 'A' THEN 'NT' WHEN 'N' THEN 'NR' ELSE 'merged_NT_NR' END AS count_type",
+        "CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS tax_level",
+        "CAST(l_quantity AS BIGINT) AS quantity",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) AS cents",
+        "CAST(round(l_discount * 100) AS BIGINT) AS discount_pct",
+        "CAST(round(l_tax * 100) AS BIGINT) AS tax_pct",
+        "CASE WHEN l_partkey % 200 % 10 = 0 THEN -100000000 - l_partkey % 200 ELSE l_partkey % 200 END AS tax_id",
+    )
 
 
 def taxon_counts(t: Tables) -> DataFrame:
-    n = F.col("_n").cast("double")
-    return (
-        _hits(t)
-        .groupBy("pipeline_run_id", "tax_id", "p", "count_type", "tax_level")
-        .agg(
-            F.count("*").alias("_n"),
-            F.sum("quantity").alias("count"),
-            F.sum("cents").alias("_cents"),
-            F.sum("discount_pct").alias("_discount"),
-            F.sum("tax_pct").alias("_tax"),
-            F.max("quantity").cast("double").alias("alignment_length"),
-        )
-        .select(
-            "pipeline_run_id",
-            "tax_id",
-            "count_type",
-            "tax_level",
-            (F.col("p") % 20).alias("genus_taxid"),
-            (F.col("p") % 5).alias("family_taxid"),
-            F.lit(2).cast("bigint").alias("superkingdom_taxid"),
-            F.when(F.col("p") % 7 == 0, 1).otherwise(0).alias("is_phage"),
-            "count",
-            (F.lit(100.0) - F.col("_discount").cast("double") / n).alias("percent_identity"),
-            "alignment_length",
-            (-(F.col("_tax").cast("double") / n) / F.lit(100.0)).alias("e_value"),
-            (F.col("_cents").cast("double") / F.lit(100000.0)).alias("rpm"),
-            (F.lit(2.0) * (F.col("_cents").cast("double") / F.lit(100000.0))).alias("bpm"),
-            F.concat(F.lit("taxon "), F.col("p").cast("string")).alias("name"),
-        )
+    grouped = _hits(t).groupBy("pipeline_run_id", "tax_id", "p", "count_type", "tax_level").agg(
+        F.expr("CAST(count(*) AS DOUBLE) AS n"),
+        F.expr("sum(quantity) AS count"),
+        F.expr("CAST(sum(cents) AS DOUBLE) AS cents"),
+        F.expr("CAST(sum(discount_pct) AS DOUBLE) AS discount_pct"),
+        F.expr("CAST(sum(tax_pct) AS DOUBLE) AS tax_pct"),
+        F.expr("CAST(max(quantity) AS DOUBLE) AS alignment_length"),
+    )
+    return grouped.selectExpr(
+        "pipeline_run_id",
+        "tax_id",
+        "count_type",
+        "tax_level",
+        "p % 20 AS genus_taxid",
+        "p % 5 AS family_taxid",
+        "2L AS superkingdom_taxid",
+        "IF(p % 7 = 0, 1, 0) AS is_phage",
+        "count",
+        "100D - discount_pct / n AS percent_identity",
+        "alignment_length",
+        "-(tax_pct / n) / 100D AS e_value",
+        "cents / 100000D AS rpm",
+        "2D * (cents / 100000D) AS bpm",
+        "concat('taxon ', p) AS name",
     )
 
 

@@ -13,9 +13,12 @@ class Tables:
         self.directory = directory.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
+        """Read a table on first use and keep the lazy frame, so its footers are listed once."""
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        setattr(self, name, frame)
+        return frame
 
 
 def scan_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
