@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.operators.lookups import spread_join
+from taxaflow.operators.lookups import sized_join
 from taxaflow.operators.positions import with_positions
 
 # Fixed values of read handling.
@@ -63,15 +63,19 @@ def duplicate_clusters(reads: DataFrame) -> DataFrame:
     )
 
 
-def cluster_members(reads: DataFrame) -> DataFrame:
-    """Every read with the representative of its cluster."""
+def cluster_members(reads: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+    """Every read with the representative of its cluster.
+
+    A read without duplicates represents itself and takes no part in the join.
+    """
     narrow = reads.select(
         "file", "pos", read_id(F.col("header")).alias("read_id"), sequence_key(F.col("sequence")).alias("sequence_key")
     )
-    clusters = duplicate_clusters(reads).select("file", "sequence_key", "representative")
-    return spread_join(narrow, clusters, ["file", "sequence_key"], ["pos"], "inner").select(
-        "file", "pos", "read_id", "representative"
-    )
+    clusters = duplicate_clusters(reads).select("file", "pos", "sequence_key", "representative", "cluster_size")
+    alone = clusters.filter("cluster_size = 1").select("file", "pos", F.col("representative").alias("read_id"), "representative")
+    shared = clusters.filter("cluster_size > 1").drop("pos")
+    joined = sized_join(narrow, shared, ["file", "sequence_key"], "cluster_size", ["pos"], hot_rows)
+    return alone.unionByName(joined.select("file", "pos", "read_id", "representative"))
 
 
 def read_length_summary(reads: DataFrame, by: Sequence[str] = ()) -> DataFrame:

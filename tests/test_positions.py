@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from taxaflow.operators.lookups import spread_join
+from taxaflow.operators.lookups import sized_join, spread_join
 from taxaflow.operators.positions import with_positions
 
 
@@ -47,6 +47,14 @@ def test_spread_join_is_a_join(spark, rows, how):
     assert rows(got, *sorted(got.columns)) == rows(facts.join(groups, "k", how), *sorted(got.columns))
 
 
+@pytest.mark.parametrize("hot_rows", [0, 300, 1500, 10_000])
+def test_sized_join_is_a_join(spark, rows, hot_rows):
+    facts = spark.range(3000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 7).alias("k"))
+    groups = facts.filter("k <> 3").groupBy("k").agg(F.count("*").alias("n"))
+    got = sized_join(facts, groups, ["k"], "n", ["id"], hot_rows)
+    assert rows(got, "id", "k", "n") == rows(facts.join(groups, "k"), "id", "k", "n")
+
+
 def test_spread_join_uses_many_partitions_for_a_hot_key(spark):
     facts = spark.range(4000).select("id", F.lit(1).alias("k"))
     groups = facts.groupBy("k").agg(F.count("*").alias("n"))
@@ -54,7 +62,7 @@ def test_spread_join_uses_many_partitions_for_a_hot_key(spark):
     for key, value in changed.items():
         spark.conf.set(key, value)
     try:
-        joined = spread_join(facts.repartition(4), groups, ["k"], ["id"])
+        joined = spread_join(facts.repartition(4), groups, ["k"], ["id"], copies=16)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2500
     finally:

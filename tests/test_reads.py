@@ -58,9 +58,11 @@ def test_hot_sequence_keeps_its_first_read(spark):
     kept = {(r.file, r.sequence): (r.pos, r.cluster_size) for r in op.dedup_reads(reads.repartition(6)).collect()}
     assert kept["a", "AAAA"] == (1, 3900) and kept["b", "AAAA"] == (0, 100)
     assert len(kept) == 1002
-    members = op.cluster_members(reads)
-    assert members.count() == 5000
-    assert members.filter("representative = 'r1'").count() == 3900
+    for hot_rows in (100, 1000, 1_000_000):
+        members = op.cluster_members(reads, hot_rows)
+        assert members.count() == 5000 and members.select("file", "pos").distinct().count() == 5000
+        assert members.filter("representative = 'r1'").count() == 3900
+        assert members.filter("representative = 'r0' AND file = 'b'").count() == 100
 
 
 def test_length_summary_of_both_mates(spark, tmp_path):
