@@ -90,7 +90,7 @@ def numbered_batches(candidates: DataFrame, runs_per_task: int = RUNS_PER_TASK)
     )
     group = ["_order", "_background"]
     placed = with_positions(keyed, [RUN], group).withColumn(
-        "_chunk", F.floor(F.col("position") / runs_per_task).cast("bigint")
+        "_chunk", F.expr(f"position div {runs_per_task}")
     )
     # The first run of each chunk stands for the chunk.
     heads = placed.filter(F.col("position") % runs_per_task == 0).select(*group, "_chunk")

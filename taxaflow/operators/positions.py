@@ -39,6 +39,9 @@ def with_positions(
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .select(*[F.col(c).alias(f"_g_{c}") for c in within], F.col("_part").alias("_g_part"), "_first", "_before")
     )
+    if not within:
+        # One row per partition.
+        parts = F.broadcast(parts)
     match = F.col("_part") == F.col("_g_part")
     for c in within:
         match = match & placed[c].eqNullSafe(F.col(f"_g_{c}"))
