@@ -299,7 +299,7 @@ def promotion_gate(
 
 def restricted_files(objects: DataFrame) -> DataFrame:
     """Objects of enabled environments whose whole key matches a restricted pattern."""
-    pattern = "^(?:" + "|".join(p.removesuffix("$") for p in RESTRICTED_PATTERNS) + ")$"
+    pattern = "^(?:" + "|".join(p.removesuffix("$") for p in RESTRICTED_PATTERNS) + r")\z"
     return objects.filter(F.col("env").isin(*RESTRICTED_ENVIRONMENTS) & F.col("key").rlike(pattern))
 
 
