@@ -184,9 +184,9 @@ s AS (
   SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 3], ' ')) AS shingle
   FROM d, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS t(i) WHERE len(words) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+twos AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  SELECT a, b FROM twos JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 reach(node, root) AS (
   SELECT doc_id, doc_id FROM documents

@@ -77,7 +77,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
             sets.append(np.unique(joined[at : at + count - k + 1]))
         else:
             short = words[at : at + count]
-            sets.append(mixed(np.array([np.sum(short * PLACE[:count]) + PLACE[63] * np.uint64(count)], np.uint64)) if count else short)
+            sets.append(mixed((short * PLACE[:count]).sum(keepdims=True) + PLACE[63:] * np.uint64(count)) if count else short)
         at += count
     return sets
 
