@@ -192,8 +192,8 @@ reach(node, root) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
   SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b)
-SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(d.doc_id, min(root)) AS component_id
-FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id LEFT JOIN reach ON reach.node = d.doc_id GROUP BY ALL
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(root) AS component_id
+FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id LEFT JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, sizes.n
 """
 
 
