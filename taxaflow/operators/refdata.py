@@ -71,6 +71,49 @@ LANE_INPUTS = {
         "accession2taxid_prot": "accession2taxid_prot",
     },
 }
+# Phase of each short-read stage, and the output each of its inputs is read from; None comes from the run's own inputs.
+SHORT_READ_PHASES = {"HostFilter": 0, "NonHostAlignment": 1, "Postprocess": 2, "Experimental": 3}
+SHORT_READ_INPUTS: dict[str, dict[str, str | None]] = {
+    "HostFilter": {"fastqs_0": None, "fastqs_1": None},
+    "NonHostAlignment": {
+        "host_filter_out_gsnap_filter_1_fa": "gsnap_filter_out_gsnap_filter_1_fa",
+        "host_filter_out_gsnap_filter_2_fa": "gsnap_filter_out_gsnap_filter_2_fa",
+        "host_filter_out_gsnap_filter_merged_fa": "gsnap_filter_out_gsnap_filter_merged_fa",
+        "duplicate_cluster_sizes_tsv": "czid_dedup_out_duplicate_cluster_sizes_tsv",
+        "czid_dedup_out_duplicate_clusters_csv": "czid_dedup_out_duplicate_clusters_csv",
+    },
+    "Postprocess": {
+        "host_filter_out_gsnap_filter_1_fa": "gsnap_filter_out_gsnap_filter_1_fa",
+        "host_filter_out_gsnap_filter_2_fa": "gsnap_filter_out_gsnap_filter_2_fa",
+        "host_filter_out_gsnap_filter_merged_fa": "gsnap_filter_out_gsnap_filter_merged_fa",
+        "gsnap_out_gsnap_m8": "gsnap_out_gsnap_m8",
+        "gsnap_out_gsnap_deduped_m8": "gsnap_out_gsnap_deduped_m8",
+        "gsnap_out_gsnap_hitsummary_tab": "gsnap_out_gsnap_hitsummary_tab",
+        "gsnap_out_gsnap_counts_with_dcr_json": "gsnap_out_gsnap_counts_with_dcr_json",
+        "rapsearch2_out_rapsearch2_m8": "rapsearch2_out_rapsearch2_m8",
+        "rapsearch2_out_rapsearch2_deduped_m8": "rapsearch2_out_rapsearch2_deduped_m8",
+        "rapsearch2_out_rapsearch2_hitsummary_tab": "rapsearch2_out_rapsearch2_hitsummary_tab",
+        "rapsearch2_out_rapsearch2_counts_with_dcr_json": "rapsearch2_out_rapsearch2_counts_with_dcr_json",
+        "duplicate_cluster_sizes_tsv": "czid_dedup_out_duplicate_cluster_sizes_tsv",
+        "czid_dedup_out_duplicate_clusters_csv": "czid_dedup_out_duplicate_clusters_csv",
+    },
+    "Experimental": {
+        "taxid_fasta_in_annotated_merged_fa": "refined_annotated_out_assembly_refined_annotated_merged_fa",
+        "taxid_fasta_in_gsnap_hitsummary_tab": "gsnap_out_gsnap_hitsummary_tab",
+        "taxid_fasta_in_rapsearch2_hitsummary_tab": "rapsearch2_out_rapsearch2_hitsummary_tab",
+        "gsnap_m8_gsnap_deduped_m8": "gsnap_out_gsnap_deduped_m8",
+        "refined_gsnap_in_gsnap_reassigned_m8": "refined_gsnap_out_assembly_gsnap_reassigned_m8",
+        "refined_gsnap_in_gsnap_hitsummary2_tab": "refined_gsnap_out_assembly_gsnap_hitsummary2_tab",
+        "refined_gsnap_in_gsnap_blast_top_m8": "refined_gsnap_out_assembly_gsnap_blast_top_m8",
+        "contig_in_contig_coverage_json": "coverage_out_assembly_contig_coverage_json",
+        "contig_in_contig_stats_json": "assembly_out_assembly_contig_stats_json",
+        "contig_in_contigs_fasta": "assembly_out_assembly_contigs_fasta",
+        "fastqs_0": None,
+        "fastqs_1": None,
+        "nonhost_fasta_refined_taxid_annot_fasta": "refined_taxid_fasta_out_assembly_refined_taxid_annot_fasta",
+        "duplicate_clusters_csv": "czid_dedup_out_duplicate_clusters_csv",
+    },
+}
 DATED_VERSION = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MAX_AGE_DAYS = 400
 RETAIN_COUNT = 3
@@ -185,8 +228,8 @@ def stage_handoff(
 
     ``outputs`` has ``run_id, stage, name, value``: the name carries its workflow as a prefix and a
     list value is NULL, which drops the output. ``phases`` numbers the stages; a later phase
-    overwrites an output of the same name, and a run that reached a phase expects all inputs of
-    the next one. An input without a source comes from ``run_inputs (run_id, name, value)``. A
+    overwrites an output of the same name (in one phase the greatest value counts), and a run that
+    reached a phase expects all inputs of the next one. An input without a source comes from ``run_inputs (run_id, name, value)``. A
     NULL ``value`` in the result means the input could not be resolved.
     """
     phases = {stage: i for i, stage in enumerate(STAGES)} if phases is None else phases
@@ -230,7 +273,7 @@ def stage_handoff(
         )
     latest = (
         resolved.groupBy("run_id", "_item")
-        .agg(F.max_by("value", "_order").alias("value"), F.min("_order").alias("_expected"))
+        .agg(F.max(F.struct("_order", "value")).getField("value").alias("value"), F.min("_order").alias("_expected"))
         .filter("_expected = -2")
         .join(wanted, "_item")
     )

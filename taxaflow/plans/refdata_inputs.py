@@ -31,7 +31,7 @@ def index_objects(t: Tables) -> DataFrame:
             CASE o_orderpriority WHEN '2-HIGH' THEN concat({day("o_orderdate")}, '-rerun')
                 WHEN '3-MEDIUM' THEN concat('smoketest-', o_custkey % 7) ELSE {day("o_orderdate")} END,
             '/index-generation-2/', {FILE}) AS key""",
-        "CAST(o_totalprice AS BIGINT) AS size",
+        "CAST(floor(o_totalprice) AS BIGINT) AS size",
         "o_orderdate AS last_modified",
     )
 
@@ -77,6 +77,44 @@ def stage_outputs(t: Tables) -> DataFrame:
     )
 
 
+def short_read_outputs(t: Tables) -> DataFrame:
+    """One short-read stage output per line item: names by part, an empty value for every ninth part."""
+    stage = "element_at(array('HostFilter', 'NonHostAlignment', 'Postprocess', 'Experimental'), l_linenumber % 4 + 1)"
+    name = """element_at(array('gsnap_filter_out_gsnap_filter_1_fa', 'gsnap_filter_out_gsnap_filter_merged_fa',
+        'czid_dedup_out_duplicate_cluster_sizes_tsv', 'czid_dedup_out_duplicate_clusters_csv', 'gsnap_out_gsnap_m8',
+        'gsnap_out_gsnap_deduped_m8', 'rapsearch2_out_rapsearch2_hitsummary_tab',
+        'refined_gsnap_out_assembly_gsnap_blast_top_m8', 'assembly_out_assembly_contigs_fasta'), CAST(l_suppkey % 9 + 1 AS INT))"""
+    return t.lineitem.selectExpr(
+        "l_orderkey AS run_id",
+        f"{stage} AS stage",
+        f"concat('idseq_dag.', {name}) AS name",
+        f"IF(l_partkey % 9 = 0, '', concat('s3://samples/', l_orderkey, '/', {stage}, '/', l_partkey)) AS value",
+    )
+
+
+def short_read_inputs(t: Tables) -> DataFrame:
+    """Input files of each run; low-priority runs are unpaired."""
+    return t.orders.selectExpr(
+        "o_orderkey AS run_id",
+        """explode(IF(o_orderpriority = '5-LOW', array('fastqs_0'), array('fastqs_0', 'fastqs_1'))) AS name""",
+        "concat('s3://samples/', o_orderkey, '/input') AS value",
+    )
+
+
+def lane_outputs(t: Tables) -> DataFrame:
+    """One output of a parallel lane per line item; the same names come back from later lanes."""
+    stage = """element_at(array('DownloadTaxonomy', 'DownloadNT', 'DownloadNR', 'CompressNT', 'CompressNR', 'IndexNT',
+        'IndexNR', 'IndexTaxonomy', 'Assemble'), CAST((l_linenumber + l_suppkey) % 9 + 1 AS INT))"""
+    name = """element_at(array('nt', 'nr', 'accession2taxid_nucl_gb', 'accession2taxid_nucl_wgs', 'accession2taxid_pdb',
+        'accession2taxid_prot', 'taxdump'), CAST(l_partkey % 7 + 1 AS INT))"""
+    return t.lineitem.selectExpr(
+        "l_orderkey AS run_id",
+        f"{stage} AS stage",
+        f"concat('index_generation.', {name}) AS name",
+        f"concat('s3://refs/', {stage}, '/', {name}) AS value",
+    )
+
+
 def serving_pointers(t: Tables) -> DataFrame:
     return t.orders.selectExpr(
         "concat('env-', o_orderkey) AS env",

@@ -17,7 +17,8 @@ objects AS (
     SELECT 'ncbi-indexes-' || {src.ENV} || '/' ||
         CASE o_orderpriority WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%d') || '-rerun'
             WHEN '3-MEDIUM' THEN 'smoketest-' || (o_custkey % 7) ELSE strftime(o_orderdate, '%Y-%m-%d') END
-        || '/index-generation-2/' || {src.FILE} AS key
+        || '/index-generation-2/' || {src.FILE} AS key,
+        CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderdate AS last_modified
     FROM orders
 )"""
 VERSIONS = """
@@ -110,6 +111,107 @@ def stage_handoff(t: Tables) -> DataFrame:
     return op.stage_handoff(src.stage_outputs(t))
 
 
+SHORT_READ = """
+outputs AS (
+    SELECT l_orderkey AS run_id, l_linenumber % 4 AS ord,
+        ['gsnap_filter_out_gsnap_filter_1_fa', 'gsnap_filter_out_gsnap_filter_merged_fa',
+        'czid_dedup_out_duplicate_cluster_sizes_tsv', 'czid_dedup_out_duplicate_clusters_csv', 'gsnap_out_gsnap_m8',
+        'gsnap_out_gsnap_deduped_m8', 'rapsearch2_out_rapsearch2_hitsummary_tab',
+        'refined_gsnap_out_assembly_gsnap_blast_top_m8', 'assembly_out_assembly_contigs_fasta'][l_suppkey % 9 + 1] AS source,
+        CASE WHEN l_partkey % 9 = 0 THEN '' ELSE 's3://samples/' || l_orderkey || '/'
+            || ['HostFilter', 'NonHostAlignment', 'Postprocess', 'Experimental'][l_linenumber % 4 + 1] || '/' || l_partkey END AS value
+    FROM lineitem
+),
+wanted(ord, stage, input, source) AS (VALUES
+    (1, 'NonHostAlignment', 'host_filter_out_gsnap_filter_1_fa', 'gsnap_filter_out_gsnap_filter_1_fa'),
+    (1, 'NonHostAlignment', 'host_filter_out_gsnap_filter_2_fa', 'gsnap_filter_out_gsnap_filter_2_fa'),
+    (1, 'NonHostAlignment', 'host_filter_out_gsnap_filter_merged_fa', 'gsnap_filter_out_gsnap_filter_merged_fa'),
+    (1, 'NonHostAlignment', 'duplicate_cluster_sizes_tsv', 'czid_dedup_out_duplicate_cluster_sizes_tsv'),
+    (1, 'NonHostAlignment', 'czid_dedup_out_duplicate_clusters_csv', 'czid_dedup_out_duplicate_clusters_csv'),
+    (2, 'Postprocess', 'host_filter_out_gsnap_filter_1_fa', 'gsnap_filter_out_gsnap_filter_1_fa'),
+    (2, 'Postprocess', 'host_filter_out_gsnap_filter_2_fa', 'gsnap_filter_out_gsnap_filter_2_fa'),
+    (2, 'Postprocess', 'host_filter_out_gsnap_filter_merged_fa', 'gsnap_filter_out_gsnap_filter_merged_fa'),
+    (2, 'Postprocess', 'gsnap_out_gsnap_m8', 'gsnap_out_gsnap_m8'),
+    (2, 'Postprocess', 'gsnap_out_gsnap_deduped_m8', 'gsnap_out_gsnap_deduped_m8'),
+    (2, 'Postprocess', 'gsnap_out_gsnap_hitsummary_tab', 'gsnap_out_gsnap_hitsummary_tab'),
+    (2, 'Postprocess', 'gsnap_out_gsnap_counts_with_dcr_json', 'gsnap_out_gsnap_counts_with_dcr_json'),
+    (2, 'Postprocess', 'rapsearch2_out_rapsearch2_m8', 'rapsearch2_out_rapsearch2_m8'),
+    (2, 'Postprocess', 'rapsearch2_out_rapsearch2_deduped_m8', 'rapsearch2_out_rapsearch2_deduped_m8'),
+    (2, 'Postprocess', 'rapsearch2_out_rapsearch2_hitsummary_tab', 'rapsearch2_out_rapsearch2_hitsummary_tab'),
+    (2, 'Postprocess', 'rapsearch2_out_rapsearch2_counts_with_dcr_json', 'rapsearch2_out_rapsearch2_counts_with_dcr_json'),
+    (2, 'Postprocess', 'duplicate_cluster_sizes_tsv', 'czid_dedup_out_duplicate_cluster_sizes_tsv'),
+    (2, 'Postprocess', 'czid_dedup_out_duplicate_clusters_csv', 'czid_dedup_out_duplicate_clusters_csv'),
+    (3, 'Experimental', 'taxid_fasta_in_annotated_merged_fa', 'refined_annotated_out_assembly_refined_annotated_merged_fa'),
+    (3, 'Experimental', 'taxid_fasta_in_gsnap_hitsummary_tab', 'gsnap_out_gsnap_hitsummary_tab'),
+    (3, 'Experimental', 'taxid_fasta_in_rapsearch2_hitsummary_tab', 'rapsearch2_out_rapsearch2_hitsummary_tab'),
+    (3, 'Experimental', 'gsnap_m8_gsnap_deduped_m8', 'gsnap_out_gsnap_deduped_m8'),
+    (3, 'Experimental', 'refined_gsnap_in_gsnap_reassigned_m8', 'refined_gsnap_out_assembly_gsnap_reassigned_m8'),
+    (3, 'Experimental', 'refined_gsnap_in_gsnap_hitsummary2_tab', 'refined_gsnap_out_assembly_gsnap_hitsummary2_tab'),
+    (3, 'Experimental', 'refined_gsnap_in_gsnap_blast_top_m8', 'refined_gsnap_out_assembly_gsnap_blast_top_m8'),
+    (3, 'Experimental', 'contig_in_contig_coverage_json', 'coverage_out_assembly_contig_coverage_json'),
+    (3, 'Experimental', 'contig_in_contig_stats_json', 'assembly_out_assembly_contig_stats_json'),
+    (3, 'Experimental', 'contig_in_contigs_fasta', 'assembly_out_assembly_contigs_fasta'),
+    (3, 'Experimental', 'fastqs_0', NULL),
+    (3, 'Experimental', 'fastqs_1', NULL),
+    (3, 'Experimental', 'nonhost_fasta_refined_taxid_annot_fasta', 'refined_taxid_fasta_out_assembly_refined_taxid_annot_fasta'),
+    (3, 'Experimental', 'duplicate_clusters_csv', 'czid_dedup_out_duplicate_clusters_csv')
+),
+given AS (
+    SELECT o_orderkey AS run_id, name, 's3://samples/' || o_orderkey || '/input' AS value
+    FROM orders, unnest(['fastqs_0', 'fastqs_1']) AS n(name) WHERE name = 'fastqs_0' OR o_orderpriority <> '5-LOW'
+),
+best AS (SELECT run_id, source, ord, max(value) AS value FROM outputs GROUP BY run_id, source, ord)"""
+LANES = """
+outputs AS (
+    SELECT l_orderkey AS run_id, [0, 0, 0, 1, 1, 2, 2, 2, 3][(l_linenumber + l_suppkey) % 9 + 1] AS ord,
+        ['nt', 'nr', 'accession2taxid_nucl_gb', 'accession2taxid_nucl_wgs', 'accession2taxid_pdb',
+        'accession2taxid_prot', 'taxdump'][l_partkey % 7 + 1] AS source,
+        's3://refs/' || ['DownloadTaxonomy', 'DownloadNT', 'DownloadNR', 'CompressNT', 'CompressNR', 'IndexNT',
+        'IndexNR', 'IndexTaxonomy', 'Assemble'][(l_linenumber + l_suppkey) % 9 + 1] || '/' || source AS value
+    FROM lineitem
+),
+wanted(ord, stage, input, source) AS (VALUES
+    (1, 'CompressNR', 'download_out_nr', 'nr'),
+    (1, 'CompressNR', 'download_out_accession2taxid_pdb', 'accession2taxid_pdb'),
+    (1, 'CompressNR', 'download_out_accession2taxid_prot', 'accession2taxid_prot'),
+    (1, 'CompressNT', 'download_out_nt', 'nt'),
+    (1, 'CompressNT', 'download_out_accession2taxid_nucl_gb', 'accession2taxid_nucl_gb'),
+    (1, 'CompressNT', 'download_out_accession2taxid_nucl_wgs', 'accession2taxid_nucl_wgs'),
+    (2, 'IndexNR', 'compress_out_nr', 'nr'),
+    (2, 'IndexNT', 'compress_out_nt', 'nt'),
+    (2, 'IndexTaxonomy', 'taxdump', 'taxdump'),
+    (3, 'Assemble', 'compress_out_nt', 'nt'),
+    (3, 'Assemble', 'compress_out_nr', 'nr'),
+    (3, 'Assemble', 'accession2taxid_nucl_gb', 'accession2taxid_nucl_gb'),
+    (3, 'Assemble', 'accession2taxid_nucl_wgs', 'accession2taxid_nucl_wgs'),
+    (3, 'Assemble', 'accession2taxid_pdb', 'accession2taxid_pdb'),
+    (3, 'Assemble', 'accession2taxid_prot', 'accession2taxid_prot')
+),
+best AS (SELECT run_id, source, ord, max(value) AS value FROM outputs GROUP BY run_id, source, ord)"""
+RESOLVED = """SELECT r.run_id, w.stage, w.input, NULLIF(arg_max(b.value, b.ord), '') AS value
+    FROM (SELECT DISTINCT run_id, ord + 1 AS ord FROM outputs) r JOIN wanted w ON w.ord = r.ord
+    LEFT JOIN best b ON b.run_id = r.run_id AND b.source = w.source AND b.ord < w.ord
+    WHERE w.source IS NOT NULL GROUP BY r.run_id, w.stage, w.input"""
+
+
+@query(
+    sql(
+        SHORT_READ,
+        select=f"""{RESOLVED}
+        UNION ALL SELECT r.run_id, w.stage, w.input, g.value
+        FROM (SELECT DISTINCT run_id, ord + 1 AS ord FROM outputs) r JOIN wanted w ON w.ord = r.ord
+        LEFT JOIN given g ON g.run_id = r.run_id AND g.name = w.input WHERE w.source IS NULL""",
+    )
+)
+def stage_handoff_short_read(t: Tables) -> DataFrame:
+    return op.stage_handoff(src.short_read_outputs(t), op.SHORT_READ_PHASES, op.SHORT_READ_INPUTS, src.short_read_inputs(t))
+
+
+@query(sql(LANES, select=RESOLVED))
+def stage_handoff_lanes(t: Tables) -> DataFrame:
+    return op.stage_handoff(src.lane_outputs(t), op.LANE_PHASES, op.LANE_INPUTS)
+
+
 @query(
     f"""SELECT env, version, age_days, CASE WHEN age_days IS NULL THEN 'UNPARSEABLE' WHEN age_days > 400 THEN 'STALE'
             ELSE 'OK' END AS status
