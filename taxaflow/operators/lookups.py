@@ -22,29 +22,9 @@ def spread_join(
     handling cannot split such a join. Each group row is repeated ``copies`` times and each row
     picks one copy by a hash of ``spread_by``: a hot key lands in ``copies`` partitions, and the
     new exchange lets adaptive execution split them further. Meant for groups that are few next to
-    the rows; ``sized_join`` serves any number of groups.
+    the rows; settle the groups first where they are many.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int"))
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
-
-def sized_join(
-    rows: DataFrame,
-    groups: DataFrame,
-    on: Sequence[str],
-    size: str,
-    spread_by: Sequence[str],
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """Inner join of ``rows`` to the ``groups`` they were counted into, ``size`` rows each.
-
-    Groups above ``hot_rows`` are at most one per ``hot_rows`` rows, so only those are repeated and
-    joined salted. The rows left over have no hot key and take a plain join.
-    """
-    value_columns = [c for c in groups.columns if c not in on]
-    hot = groups.filter(F.col(size) > hot_rows).withColumn("_hot", F.lit(True))
-    flagged = spread_join(rows, hot, on, spread_by, "left")
-    in_hot = flagged.filter("_hot").select(*rows.columns, *value_columns)
-    others = flagged.filter("_hot IS NULL").select(*rows.columns)
-    return in_hot.unionByName(others.join(groups.filter(F.col(size) <= hot_rows), list(on)).select(*in_hot.columns))

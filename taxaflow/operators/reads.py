@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.operators.lookups import sized_join
 from taxaflow.operators.positions import with_positions
+from taxaflow.session import settle
 
 # Fixed values of read handling.
 LENGTH_BOUNDS = [50, 500, 10000]
@@ -63,18 +63,23 @@ def duplicate_clusters(reads: DataFrame) -> DataFrame:
     )
 
 
-def cluster_members(reads: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def cluster_members(reads: DataFrame) -> DataFrame:
     """Every read with the representative of its cluster.
 
-    A read without duplicates represents itself and takes no part in the join.
+    Digests are made once. A read without duplicates represents itself and takes no part in the
+    join, whose sides are both settled, so Spark can split a cluster that is hot.
     """
-    narrow = reads.select(
-        "file", "pos", read_id(F.col("header")).alias("read_id"), sequence_key(F.col("sequence")).alias("sequence_key")
+    narrow = settle(
+        reads.select(
+            "file", "pos", read_id(F.col("header")).alias("read_id"), sequence_key(F.col("sequence")).alias("sequence_key")
+        )
+    )
+    clusters = settle(
+        narrow.groupBy("file", "sequence_key").agg(F.min(F.struct("pos", "read_id")).alias("first"), F.count("*").alias("size"))
     )
-    clusters = duplicate_clusters(reads).select("file", "pos", "sequence_key", "representative", "cluster_size")
-    alone = clusters.filter("cluster_size = 1").select("file", "pos", F.col("representative").alias("read_id"), "representative")
-    shared = clusters.filter("cluster_size > 1").drop("pos")
-    joined = sized_join(narrow, shared, ["file", "sequence_key"], "cluster_size", ["pos"], hot_rows)
+    alone = clusters.filter("size = 1").select("file", "first.pos", "first.read_id", F.col("first.read_id").alias("representative"))
+    shared = clusters.filter("size > 1").select("file", "sequence_key", F.col("first.read_id").alias("representative"))
+    joined = narrow.join(shared, ["file", "sequence_key"])
     return alone.unionByName(joined.select("file", "pos", "read_id", "representative"))
 
 

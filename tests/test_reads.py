@@ -58,11 +58,42 @@ def test_hot_sequence_keeps_its_first_read(spark):
     kept = {(r.file, r.sequence): (r.pos, r.cluster_size) for r in op.dedup_reads(reads.repartition(6)).collect()}
     assert kept["a", "AAAA"] == (1, 3900) and kept["b", "AAAA"] == (0, 100)
     assert len(kept) == 1002
-    for hot_rows in (100, 1000, 1_000_000):
-        members = op.cluster_members(reads, hot_rows)
-        assert members.count() == 5000 and members.select("file", "pos").distinct().count() == 5000
-        assert members.filter("representative = 'r1'").count() == 3900
-        assert members.filter("representative = 'r0' AND file = 'b'").count() == 100
+    members = op.cluster_members(reads.repartition(6))
+    assert members.count() == 5000 and members.select("file", "pos").distinct().count() == 5000
+    assert members.filter("representative = 'r1'").count() == 3900
+    assert members.filter("representative = 'r0' AND file = 'b'").count() == 100
+
+
+def fastq_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_cut_by_split_borders(spark, tmp_path, rows, monkeypatch):
+    """Many small splits: records that cross borders come whole, and no whole record is shuffled."""
+    rng = random.Random(11)
+    sequences = [bases(rng.randint(1, 90), i) for i in range(400)]
+    (tmp_path / "a.fastq").write_text(fastq_text(*sequences))
+    (tmp_path / "b.fastq").write_text(fastq_text(*sequences[:7]))
+    changed = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        want = [(f, i, s) for f, n in (("a.fastq", 400), ("b.fastq", 7)) for i, s in enumerate(sequences[:n])]
+        for bound in (files.BROADCAST_SPLITS, 0):
+            monkeypatch.setattr(files, "BROADCAST_SPLITS", bound)
+            records = files.read_fastq(spark, str(tmp_path))
+            assert rows(records, F.substring_index("file", "/", -1), "pos", "sequence") == want
+            assert records.filter("header <> concat('@', read_id, ' 1:N:0') OR plus <> '+' OR length(quality) <> length(sequence)").count() == 0
+    finally:
+        for key in changed:
+            spark.conf.unset(key)
+
+
+def test_no_exchange_above_whole_lines(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text(fastq_text(*[bases(40, i) for i in range(50)]))
+    plan = fastq_plan(files.read_fastq(spark, str(tmp_path)))
+    whole = plan[plan.index("MapInArrow") : plan.index("SortAggregate") if "SortAggregate" in plan else plan.index("HashAggregate", plan.index("MapInArrow"))]
+    assert "Exchange hashpartitioning" not in whole.split("BroadcastExchange")[0]
 
 
 def test_length_summary_of_both_mates(spark, tmp_path):
