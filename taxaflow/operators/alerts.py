@@ -5,7 +5,7 @@ Everything up to the counts is row-wise and works on streams as it stands.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -55,6 +55,7 @@ LOG_VIEWER = (
 )
 CREDENTIAL_PROBE = "aws sts get-caller-identity"
 THREAD_HOURS = 2
+BLOCK_SPANS = 84  # thread lengths in a block of time that one task works on: a week
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
 
@@ -215,31 +216,63 @@ def next_starts(seconds: np.ndarray, open_since: int | None, span: int) -> tuple
     return starts, open_since
 
 
-def _fold_starts(span: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topic, open_since = None, None
-        for batch in batches:
-            for name, times in batch.groupby("topic", sort=False)["second"]:
-                if name != topic:
-                    topic, open_since = name, None
-                starts, open_since = next_starts(times.to_numpy(), open_since, span)
-                yield pd.DataFrame({"topic": name, "thread_second": np.array(starts, dtype="int64")})
+def block_outcomes(seconds: np.ndarray, begin: int, span: int) -> np.ndarray:
+    """Last thread start in a block of time for every earliest second that a thread may start there.
 
-    return fold
+    ``seconds`` are the block's sorted times. Entry ``i`` is for ``begin + i``; -1 means no start.
+    """
+    earliest = begin + np.arange(span, dtype="int64")
+    last = np.full(span, -1, dtype="int64")
+    while True:
+        at = np.searchsorted(seconds, earliest, side="left")
+        found = at < len(seconds)
+        if not found.any():
+            return last
+        last[found] = seconds[at[found]]
+        earliest[found] = last[found] + span
+        earliest[~found] = seconds[-1] + 1
 
 
 def thread_starts(alerts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
     """Start of each thread per topic: the first alert, then the first one ``hours`` or more later.
 
     The chain depends only on which seconds have an alert, so alerts are first reduced to distinct
-    seconds. A topic is then at most 86,400 rows per day, whatever its number of alerts, and its
-    ordered fold keeps one number.
+    seconds. A topic is split into blocks of time: each block first works out, for every second that
+    a thread may start at, its last start; those outcomes are chained per topic, a short row per
+    block; then every block lists its starts from the thread open before it.
     """
-    seconds = alerts.select("topic", F.unix_seconds(F.col("alert_ts").cast("timestamp")).alias("second")).distinct()
+    span = hours * 3600
+    length = BLOCK_SPANS * span
+    seconds = settle(
+        alerts.select("topic", F.unix_seconds(F.col("alert_ts").cast("timestamp")).alias("second"))
+        .distinct()
+        .withColumn("block", F.floor(F.col("second") / length))
+    )
+
+    def outcomes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        last = block_outcomes(np.sort(rows["second"].to_numpy()), int(key[1]) * length, span)
+        return pd.DataFrame({"topic": [key[0]], "block": [key[1]], "last": [last]})
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        open_since, before = None, []
+        for block, last in zip(rows["block"], rows["last"], strict=True):
+            before.append(open_since)
+            wait = 0 if open_since is None else max(0, open_since + span - int(block) * length)
+            open_since = int(last[wait]) if last[wait] >= 0 else open_since
+        return pd.DataFrame({"topic": rows["topic"], "block": rows["block"], "open_since": pd.array(before, dtype="Int64")})
+
+    def starts(key: tuple, rows: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+        open_since = opened["open_since"].iloc[0]
+        found, _ = next_starts(np.sort(rows["second"].to_numpy()), None if pd.isna(open_since) else int(open_since), span)
+        return pd.DataFrame({"topic": key[0], "thread_second": np.array(found, dtype="int64")})
+
+    lasts = seconds.groupBy("topic", "block").applyInPandas(outcomes, "topic STRING, block BIGINT, last ARRAY<BIGINT>")
+    opened = lasts.groupBy("topic").applyInPandas(chain, "topic STRING, block BIGINT, open_since BIGINT")
     return (
-        seconds.repartition("topic")
-        .sortWithinPartitions("topic", "second")
-        .mapInPandas(_fold_starts(hours * 3600), "topic STRING, thread_second BIGINT")
+        seconds.groupBy("topic", "block")
+        .cogroup(opened.groupBy("topic", "block"))
+        .applyInPandas(starts, "topic STRING, thread_second BIGINT")
     )
 
 
@@ -266,9 +299,9 @@ def attach_threads(alerts: DataFrame, starts: DataFrame, hours: int = THREAD_HOU
 def alert_threads(alerts: DataFrame, hours: int = THREAD_HOURS) -> DataFrame:
     """Alerts with the start of the thread they belong to.
 
-    The alerts are settled first, so the logs they come from are scanned once.
+    Only topics and seconds are settled for the starts; the alerts themselves are read again.
     """
-    usable = settle(alerts.filter("log_source IS NOT NULL AND alert_ts IS NOT NULL"))
+    usable = alerts.filter("log_source IS NOT NULL AND alert_ts IS NOT NULL")
     return attach_threads(usable, thread_starts(usable, hours), hours)
 
 

@@ -174,11 +174,26 @@ def duration_alarm(points: DataFrame, threshold_ms: float = EXECUTION_DURATION_L
 
 
 def fill_periods(
-    periods: DataFrame, start: Column, end: Column, period: str, missing_breaches: bool, by: Sequence[str] = ("metric", "dimension")
+    periods: DataFrame,
+    period: str,
+    missing_breaches: bool,
+    by: Sequence[str] = ("metric", "dimension"),
+    start: Column | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
-    """Every period in ``[start, end)`` for every dimension; missing ones get the given policy."""
+    """Every period in ``[start, end)`` for every dimension; missing ones get the given policy.
+
+    Without bounds the range is that of all periods given, so none of them is lost. Bounds of the
+    caller can widen it, and periods outside them are kept as they are.
+    """
+    bounds = periods.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high")).first()
+    if bounds.low is None:
+        return periods.drop("window_end")
     step = F.expr(f"INTERVAL '{period}'")
-    grid = periods.select(*by).distinct().withColumn("window_start", F.explode(F.sequence(start, end - step, step)))
+    low, high = F.lit(bounds.low).cast("timestamp_ntz"), F.lit(bounds.high).cast("timestamp_ntz")
+    low = low if start is None else F.least(low, start)
+    high = high if end is None else F.greatest(high, end - step)
+    grid = periods.select(*by).distinct().withColumn("window_start", F.explode(F.sequence(low, high, step)))
     return grid.join(periods.drop("window_end"), [*by, "window_start"], "left").withColumn(
         "breach", F.coalesce("breach", F.lit(missing_breaches))
     )
@@ -195,23 +210,27 @@ def consecutive_alarm(
 
 def backlog_alarm(
     points: DataFrame,
-    start: Column,
-    end: Column,
     threshold: float = QUEUE_DEPTH_LIMIT,
     period: str = "5 minutes",
     evaluation_periods: int = 3,
+    start: Column | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
     """Queue depth above the limit for several periods in a row; a missing period does not breach."""
     breaches = threshold_alarm(points, threshold, "max", period)
-    return consecutive_alarm(fill_periods(breaches, start, end, period, False), evaluation_periods)
+    return consecutive_alarm(fill_periods(breaches, period, False, start=start, end=end), evaluation_periods)
 
 
 def missing_data_alarm(
-    points: DataFrame, start: Column, end: Column, threshold: float = INDEX_AGE_LIMIT_DAYS, period: str = "1 day"
+    points: DataFrame,
+    threshold: float = INDEX_AGE_LIMIT_DAYS,
+    period: str = "1 day",
+    start: Column | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
     """Daily maximum above the limit; a day without data breaches too."""
     breaches = threshold_alarm(points, threshold, "max", period)
-    return consecutive_alarm(fill_periods(breaches, start, end, period, True), 1)
+    return consecutive_alarm(fill_periods(breaches, period, True, start=start, end=end), 1)
 
 
 def alarm_transitions(states: DataFrame, ok_action: Column, by: Sequence[str] = ("metric", "dimension")) -> DataFrame:

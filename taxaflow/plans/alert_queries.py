@@ -24,12 +24,29 @@ logs AS (
     SELECT {src.LOG_GROUP}, 'stream-' || (user_id % 10), 'f' || event_id, epoch_us(ts) // 1000,
         'Failed to upload S3 sample ' || user_id FROM events WHERE event_type = 'error'
 )"""
-_IGNORED = " OR ".join("contains(message, '" + text.replace("'", "''") + "')" for text in op.IGNORED_TEXT)
-_PATTERNS = ", ".join(f"('{p}', '{e}')" for p, e in op.ALERT_PATTERNS.items())
-KEPT = f"""
-kept AS (SELECT * FROM logs WHERE NOT ({_IGNORED}))"""
-FOUND = f"""
-patterns(pattern, event) AS (VALUES {_PATTERNS}),
+KEPT = """
+kept AS (
+    SELECT * FROM logs WHERE NOT (contains(message, 'The client method is deprecated')
+        OR contains(message, 'actionpack (5.1.6) lib/action_dispatch/middleware/debug_exceptions.rb:63:in')
+        OR contains(message, 'ActionController::RoutingError (No route matches [GET] "/ws")')
+        OR contains(message, 'binary data at marker') OR contains(message, 'Got new marker')
+        OR contains(message, 'Known user error') OR contains(message, 'spades.py'))
+)"""
+FOUND = """
+patterns(pattern, event) AS (VALUES
+    ('AmrAlleleMismatchError', 'AmrAlleleMismatchError'),
+    ('Background computation failed for background_id', 'BackgroundComputationFailed'),
+    ('Failed to upload S3 sample', 'S3UploadFailed'),
+    ('LargeBulkUploadEvent', 'LargeBulkUploadEvent'),
+    ('Phylo tree creation failed for', 'PhyloTreeCreationFailed'),
+    ('Phylo tree failed to kick off for', 'PhyloTreeKickoffFailed'),
+    ('PhyloTreeNgFailedEvent', 'PhyloTreeNgFailedEvent'),
+    ('SampleFailedEvent', 'SampleFailedEvent'),
+    ('subprocess.CalledProcessError', 'CalledProcessError'),
+    ('UploadFailedEvent', 'UploadFailedEvent'),
+    ('WorkflowUpgradeEvent', 'WorkflowUpgradeEvent'),
+    ('TaxonIndexEvictionError', 'TaxonIndexEvictionError')
+),
 found AS (SELECT k.*, p.event FROM kept k JOIN patterns p ON contains(k.message, p.pattern))"""
 PARSED = """
 typed AS (

@@ -12,7 +12,7 @@ from taxaflow.plans.scoring_queries import sql
 from taxaflow.sources.tables import Tables
 
 NAMESPACE = "prod"
-START, END = "TIMESTAMP_NTZ'2024-01-01 00:00:00'", "TIMESTAMP_NTZ'2024-01-31 00:00:00'"
+END = "TIMESTAMP_NTZ'2024-01-31 00:00:00'"
 QUEUE = src.QUEUE
 STATUS = src.EXECUTION_STATUS
 
@@ -149,8 +149,8 @@ periods AS (
     FROM events GROUP BY 1, 2
 ),
 grid AS (
-    SELECT dimension, unnest(generate_series(TIMESTAMP '2024-01-01',
-        TIMESTAMP '2024-01-31' - INTERVAL '{period}', INTERVAL '{period}')) AS window_start
+    SELECT dimension, unnest(generate_series((SELECT min(window_start) FROM periods),
+        (SELECT max(window_start) FROM periods), INTERVAL '{period}')) AS window_start
     FROM (SELECT DISTINCT dimension FROM periods)
 ),
 filled AS (
@@ -171,17 +171,17 @@ MISSING = filled("IndexAgeDays", "'env-' || user_id", "value * 2", "400", "1 day
 
 @query(sql(BACKLOG, select="SELECT * FROM states"))
 def backlog_alarm(t: Tables) -> DataFrame:
-    return op.backlog_alarm(src.depth_points(t), F.expr(START), F.expr(END))
+    return op.backlog_alarm(src.depth_points(t))
 
 
 @query(sql(BACKLOG_HOURLY, select="SELECT * FROM states"))
 def backlog_alarm_hourly(t: Tables) -> DataFrame:
-    return op.backlog_alarm(src.depth_points(t), F.expr(START), F.expr(END), period="1 hour")
+    return op.backlog_alarm(src.depth_points(t), period="1 hour")
 
 
 @query(sql(MISSING, select="SELECT * FROM states"))
 def missing_data_alarm(t: Tables) -> DataFrame:
-    return op.missing_data_alarm(src.age_points(t), F.expr(START), F.expr(END))
+    return op.missing_data_alarm(src.age_points(t))
 
 
 TRANSITIONS = """SELECT metric, dimension, window_start, previous_state, state, state = 'ALARM' OR {ok} AS notify FROM (
@@ -191,13 +191,13 @@ TRANSITIONS = """SELECT metric, dimension, window_start, previous_state, state,
 
 @query(sql(BACKLOG_HOURLY, select=TRANSITIONS.format(ok="TRUE")))
 def alarm_transitions(t: Tables) -> DataFrame:
-    states = op.backlog_alarm(src.depth_points(t), F.expr(START), F.expr(END), period="1 hour")
+    states = op.backlog_alarm(src.depth_points(t), period="1 hour")
     return op.alarm_transitions(states, F.lit(True))
 
 
 @query(sql(MISSING, select=TRANSITIONS.format(ok="FALSE")))
 def alarm_transitions_without_ok(t: Tables) -> DataFrame:
-    states = op.missing_data_alarm(src.age_points(t), F.expr(START), F.expr(END))
+    states = op.missing_data_alarm(src.age_points(t))
     return op.alarm_transitions(states, F.lit(False))
 
 

@@ -19,10 +19,10 @@ ALERTS = (LOGS, KEPT, FOUND, PARSED.replace("'2024-02-01T00:00:00'", EVENT_TIME)
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL '10 minutes'"
 
 
-def _log_stream(t: Tables) -> DataFrame:
+def _log_batches(t: Tables) -> DataFrame:
     path = new_shared_path(t.spark, "logs")
     alert_inputs.log_batches(t).write.option("compression", "gzip").json(path)
-    return logs.alert_stream(logs.log_stream(t.spark, path), ACCOUNT)
+    return logs.log_stream(t.spark, path)
 
 
 class _EventStream:
@@ -41,13 +41,20 @@ def _appended(stream: DataFrame, t: Tables) -> DataFrame:
 
 @query(sql(*ALERTS, select=COUNTS))
 def alert_counts_stream(t: Tables) -> DataFrame:
-    path = new_shared_path(t.spark, "stream-table")
-    stream = logs.alert_counts_stream(_log_stream(t))
-    run.upsert_to_table(stream, path, ["namespace", "event_name", "window_start"]).awaitTermination()
+    """The counting job over the present logs; its quarantine goes to a table beside the counts."""
+    path, apart = new_shared_path(t.spark, "stream-table"), new_shared_path(t.spark, "quarantine")
+    for started in logs.count_job(_log_batches(t), ACCOUNT, path, apart):
+        started.awaitTermination()
     counts = t.spark.read.parquet(path).drop("bucket")
     return counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+@query(sql(*ALERTS, select="SELECT id, event, log_group FROM alerts WHERE log_source IS NULL OR alert_ts IS NULL"))
+def quarantined_alerts_stream(t: Tables) -> DataFrame:
+    """What the counting job set apart: no source known, no time, or a time far ahead of the log event."""
+    return _appended(logs.quarantined(_log_batches(t), ACCOUNT), t).select("id", "event", "log_group")
+
+
 @query(
     "WITH RECURSIVE "
     + ",".join((*ALERTS, TOPICS))
@@ -63,7 +70,7 @@ WHERE thread_start + INTERVAL '1 second' <= (SELECT max(alert_ts) FROM topics) -
 )
 def thread_starts_stream(t: Tables) -> DataFrame:
     """Threads whose first second has passed the watermark."""
-    return _appended(logs.thread_starts_stream(_log_stream(t)), t)
+    return _appended(logs.thread_starts_stream(logs.alert_stream(_log_batches(t), ACCOUNT)), t)
 
 
 def _states(seconds: int) -> str:

@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from taxaflow import schemas
 from taxaflow.operators import alerts as op
+from taxaflow.streaming.run import append_to_table, upsert_to_table
 
 LATENESS = "10 minutes"
 MAX_AHEAD = "2 hours"
@@ -29,28 +30,50 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.json(path)
 
 
-def _alerts(batches: DataFrame, account: str) -> DataFrame:
+def _alerts(batches: DataFrame, account: str, max_ahead: str) -> DataFrame:
     """Alerts flagged usable or not.
 
     An alert without a readable time of its own counts at the time of its log event. One without a
-    known source, without a time, or stamped far ahead of its log event is unusable; the last
-    kind would push the watermark past alerts still to come.
+    known source, without a time, or stamped more than ``max_ahead`` after its log event is unusable;
+    the last kind would push the watermark past alerts still to come.
     """
     event_time = F.timestamp_seconds(F.expr("timestamp_ms div 1000")).cast("timestamp_ntz")
-    ahead = F.col("alert_ts") > event_time + F.expr(f"INTERVAL '{MAX_AHEAD}'")
+    ahead = F.col("alert_ts") > event_time + F.expr(f"INTERVAL '{max_ahead}'")
     usable = F.col("log_source").isNotNull() & F.coalesce(~ahead, F.lit(False))
     return op.log_alerts(batches, account, event_time).withColumn("usable", usable)
 
 
-def alert_stream(batches: DataFrame, account: str, lateness: str = LATENESS) -> DataFrame:
+def alert_stream(batches: DataFrame, account: str, lateness: str = LATENESS, max_ahead: str = MAX_AHEAD) -> DataFrame:
     """Usable alerts with ``alert_ts`` as a watermarked timestamp."""
-    alerts = _alerts(batches, account).filter("usable").drop("usable")
+    alerts = _alerts(batches, account, max_ahead).filter("usable").drop("usable")
     return alerts.withColumn("alert_ts", F.col("alert_ts").cast("timestamp")).withWatermark("alert_ts", lateness)
 
 
-def quarantined(batches: DataFrame, account: str) -> DataFrame:
+def quarantined(batches: DataFrame, account: str, max_ahead: str = MAX_AHEAD) -> DataFrame:
     """The unusable alerts, to be kept apart."""
-    return _alerts(batches, account).filter("NOT usable").drop("usable")
+    return _alerts(batches, account, max_ahead).filter("NOT usable").drop("usable")
+
+
+def count_job(
+    batches: DataFrame,
+    account: str,
+    counts_path: str,
+    quarantine_path: str,
+    checkpoints: tuple[str, str] | None = None,
+    lateness: str = LATENESS,
+    max_ahead: str = MAX_AHEAD,
+    once: bool = True,
+) -> list[StreamingQuery]:
+    """Count the usable alerts per minute into one table and append the unusable ones to another.
+
+    Both streams read the same logs with the same limit, so every alert is in one of the tables.
+    """
+    counted, apart = checkpoints or (None, None)
+    counts = alert_counts_stream(alert_stream(batches, account, lateness, max_ahead))
+    return [
+        upsert_to_table(counts, counts_path, ["namespace", "event_name", "window_start"], counted, once),
+        append_to_table(quarantined(batches, account, max_ahead), quarantine_path, apart, once),
+    ]
 
 
 def alert_counts_stream(alerts: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def upsert_to_table(
     checkpoint = checkpoint or new_shared_path(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys, buckets)
+        upsert_table(batch.sparkSession, path, batch, keys, buckets, by=keys)
 
     writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if once:

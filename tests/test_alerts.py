@@ -144,6 +144,29 @@ def test_thread_chain_against_brute_force():
         assert first + second == brute_starts(seconds, span)
 
 
+def test_block_outcomes_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        span = rng.randint(1, 60)
+        begin = 7 * span
+        seconds = sorted(rng.sample(range(begin, begin + 5 * span), rng.randint(1, min(5 * span, 40))))
+        got = op.block_outcomes(np.array(seconds), begin, span)
+        for wait in range(span):
+            starts = brute_starts([s for s in seconds if s >= begin + wait], span)
+            assert got[wait] == (starts[-1] if starts else -1)
+
+
+def test_one_topic_over_many_blocks(spark, monkeypatch):
+    """One topic whose chain runs over many blocks, some of them empty, and many partitions."""
+    monkeypatch.setattr(op, "BLOCK_SPANS", 2)
+    rng = random.Random(6)
+    seconds = sorted(rng.sample(range(1704067200, 1704067200 + 40 * 86400), 900))
+    alerts = spark.createDataFrame([("hot", s) for s in seconds], "topic STRING, s BIGINT").repartition(7)
+    alerts = alerts.withColumn("alert_ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = [r.thread_second for r in op.thread_starts(alerts, 3).orderBy("thread_second").collect()]
+    assert got == brute_starts(seconds, 3 * 3600)
+
+
 def test_threads_are_anchored_at_their_first_alert(spark):
     """A hot topic with many alerts per second next to a quiet one."""
     rng = random.Random(5)

@@ -75,16 +75,25 @@ def test_backlog_needs_three_periods_in_a_row(spark):
         ("01T00:20:00", 200), ("01T00:30:00", 200), ("01T00:35:00", 200), ("01T00:40:00", 200), ("01T00:45:00", 200),
     )
     end = F.expr("TIMESTAMP_NTZ'2024-01-01 01:00:00'")
-    states = op.backlog_alarm(frame, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), end).orderBy("window_start")
+    states = op.backlog_alarm(frame, end=end).orderBy("window_start")
     assert [r.state == "ALARM" for r in states.collect()] == [bool(x) for x in (0, 0, 1, 0, 0, 0, 0, 0, 1, 1, 0, 0)]
     moves = op.alarm_transitions(states, F.lit(False)).orderBy("window_start").collect()
     assert [(r.state, r.notify) for r in moves] == [("ALARM", True), ("OK", False), ("ALARM", True), ("OK", False)]
 
 
+def test_range_follows_the_points(spark):
+    """Points of any date are kept, whatever range was asked for."""
+    frame = points(spark, ("01T00:00:00", 101), ("03T00:00:00", 5))
+    assert op.backlog_alarm(frame).count() == 2 * 288 + 1
+    early = F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")
+    assert op.missing_data_alarm(frame, start=early, end=early).count() == 3
+    assert op.missing_data_alarm(frame.limit(0)).count() == 0
+
+
 def test_missing_day_breaches(spark):
     frame = points(spark, ("01T06:00:00", 400), ("03T06:00:00", 401))
     start, end = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ'2024-01-05 00:00:00'")
-    states = op.missing_data_alarm(frame, start, end).orderBy("window_start").collect()
+    states = op.missing_data_alarm(frame, start=start, end=end).orderBy("window_start").collect()
     assert [r.state for r in states] == ["OK", "ALARM", "ALARM", "ALARM"]
 
 

@@ -59,6 +59,22 @@ def test_far_future_stamp_is_quarantined(spark, rows):
     batches = all_batches(spark, path)
     assert logs.quarantined(batches, "acct").count() == 1
     assert rows(logs.alert_stream(batches, "acct").select("id")) == [(f"e{BASE + 1}-1",)]
+    assert logs.quarantined(batches, "acct", max_ahead="9999 days").count() == 1
+    assert logs.quarantined(batches, "acct", max_ahead="400000 days").count() == 0
+
+
+def test_count_job_writes_its_quarantine(spark, rows):
+    """Every alert is counted or set apart, by the same job and the same limit."""
+    path, counts, apart = (new_shared_path(spark, n) for n in ("logs", "counts", "apart"))
+    stamped = '{"timestamp": "2024-01-01T03:00:00", "message": "SampleFailedEvent"}'
+    write_batch(spark, path, [(BASE, stamped), (BASE + 1, "SampleFailedEvent")])
+    for limit, usable in (("2 hours", 1), ("4 hours", 2)):
+        target, rest = f"{counts}-{usable}", f"{apart}-{usable}"
+        for started in logs.count_job(logs.log_stream(spark, path), "acct", target, rest, max_ahead=limit):
+            started.awaitTermination()
+        assert rows(spark.read.parquet(target).agg(F.sum("occurrences"))) == [(usable,)]
+        schema = logs.quarantined(all_batches(spark, path), "acct").schema
+        assert spark.read.schema(schema).parquet(rest).count() == 2 - usable
 
 
 def test_alarm_stream_fills_missing_periods(spark):
@@ -79,7 +95,7 @@ def test_alarm_stream_fills_missing_periods(spark):
         run.append_to_table(states, table, mark).awaitTermination()
     got = spark.read.parquet(table)
     start, end = (F.lit(at(m)).cast("timestamp_ntz") for m in (0, 285))
-    want = metric_ops.backlog_alarm(spark.read.schema(schemas.METRIC_POINTS).parquet(path), start, end)
+    want = metric_ops.backlog_alarm(spark.read.schema(schemas.METRIC_POINTS).parquet(path), start=start).filter(F.col("window_start") < end)
     key = lambda r: (r.dimension, r.window_start)
     states = {key(r): (r.breach, r.state) for r in got.collect()}
     expected = {key(r): (r.breach, r.state) for r in want.collect()}
