@@ -1,18 +1,17 @@
 """Change detection between the index and its source, expiry, and eviction planning.
 
-Anti and semi joins take their right side as it is: duplicates there change nothing. Where the
-left side may hold many rows of one run or task, the rows are salted first.
+Anti and semi joins take their right side as it is: duplicates there change nothing, and Spark can
+split a run that is hot on the left, since neither side was aggregated on the join key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.operators.lookups import spread_join
 from taxaflow.operators.positions import with_positions
+from taxaflow.session import settle
 
 RUN = "pipeline_run_id"
 BACKGROUND = "background_id"
@@ -22,9 +21,6 @@ TTL_DAYS = 30
 TASK_CONCURRENCY = 6
 RUNS_PER_TASK = 500
 
-# Up to this many candidates a top-k is cheaper than numbering all of them.
-TOP_K_ROWS = 1_000_000
-
 
 def deleted_runs(index: DataFrame, source_runs: DataFrame) -> DataFrame:
     """Distinct runs that are in the index and no longer in the source table."""
@@ -51,7 +47,7 @@ def expired_by_background(expired: DataFrame, excluded: DataFrame | None = None)
     rows = expired.select(BACKGROUND, RUN)
     if excluded is None:
         return rows
-    return spread_join(rows, excluded.select(RUN), [RUN], [BACKGROUND], "left_anti").select(BACKGROUND, RUN)
+    return rows.join(excluded.select(RUN), RUN, "left_anti").select(BACKGROUND, RUN)
 
 
 def runs_being_deleted(index: DataFrame) -> DataFrame:
@@ -116,18 +112,8 @@ def eviction_batches(
 
 
 def first_batches(candidates: DataFrame, task_capacity: int, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
-    """The batches an eviction run starts, found without ordering all candidates.
-
-    The first ``task_capacity`` batches lie within the first ``task_capacity * runs_per_task``
-    candidates, because no batch is longer than ``runs_per_task``. A capacity beyond
-    ``TOP_K_ROWS`` numbers everything instead, since a top-k ends in one task.
-    """
-    if task_capacity * runs_per_task > TOP_K_ROWS:
-        return eviction_batches(candidates, task_capacity, runs_per_task).filter("started")
-    head = candidates.orderBy(
-        F.col("kind") != "run", F.col(BACKGROUND).asc_nulls_first(), RUN
-    ).limit(task_capacity * runs_per_task)
-    return eviction_batches(head, task_capacity, runs_per_task).filter("started")
+    """The batches an eviction run starts."""
+    return eviction_batches(candidates, task_capacity, runs_per_task).filter("started")
 
 
 # ---- deletion tasks -------------------------------------------------------------------------
@@ -239,7 +225,7 @@ def mark_being_deleted(index: DataFrame, marked: DataFrame) -> DataFrame:
     pairs = (
         marked.filter(F.col(BACKGROUND).isNotNull()).groupBy(RUN, BACKGROUND).agg(F.max("task_id").alias("_pair_task"))
     )
-    joined = spread_join(index, whole, [RUN], [BACKGROUND]).join(pairs, [RUN, BACKGROUND], "left")
+    joined = index.join(whole, RUN, "left").join(pairs, [RUN, BACKGROUND], "left")
     task = F.coalesce("_pair_task", "_run_task")
     return joined.select(
         *[
@@ -251,9 +237,9 @@ def mark_being_deleted(index: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
-def delete_by_run(documents: DataFrame, runs: DataFrame, spread_by: Sequence[str] = (BACKGROUND,)) -> DataFrame:
-    """Documents left after deleting whole runs; ``spread_by`` splits the documents of one run."""
-    return spread_join(documents, runs.select(RUN), [RUN], spread_by, "left_anti").select(*documents.columns)
+def delete_by_run(documents: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents left after deleting whole runs."""
+    return documents.join(runs.select(RUN), RUN, "left_anti").select(*documents.columns)
 
 
 def delete_by_run_background(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -332,9 +318,32 @@ def raise_on_report(report: DataFrame) -> None:
         raise EvictionError("; ".join(lines))
 
 
+def evicted_rows(batches: DataFrame, node: str) -> DataFrame:
+    """Runs of the started batches with the id of their task."""
+    return batches.select(
+        BACKGROUND, F.explode("run_ids").alias(RUN), task_key(F.lit(node), F.col("batch_no")).alias("task_id")
+    )
+
+
+def finished_tasks(batches: DataFrame, node: str) -> DataFrame:
+    """Log rows of batches whose documents have been deleted."""
+    return batches.select(
+        task_key(F.lit(node), F.col("batch_no")).alias("deletion_task"),
+        F.lit(node).alias("node"),
+        F.col("batch_no").alias("id"),
+        F.lit(True).alias("succeeded"),
+        F.lit(False).alias("failed"),
+    )
+
+
+def delete_evicted(documents: DataFrame, evicted: DataFrame) -> DataFrame:
+    """Documents left after the evicted runs, in one background or in all, are gone."""
+    whole, pairs = evicted.filter(F.col(BACKGROUND).isNull()), evicted.filter(F.col(BACKGROUND).isNotNull())
+    return delete_by_run_background(delete_by_run(documents, whole), pairs)
+
+
 def evict(
     index: DataFrame,
-    documents: DataFrame,
     source_runs: DataFrame,
     running: DataFrame,
     completed: DataFrame,
@@ -344,13 +353,18 @@ def evict(
     concurrency: int = TASK_CONCURRENCY,
     runs_per_task: int = RUNS_PER_TASK,
     dry_run: bool = False,
+    node: str = "evict",
 ) -> dict[str, DataFrame | int]:
-    """One eviction cycle; returns the frames to write and the remaining capacity.
-
-    Reconciles earlier deletion tasks, then starts as many batches as the capacity allows. The
-    single number read on the driver is the count of running tasks; it decides the early exit.
+    """One eviction cycle; returns its frames and the capacity it found.
+
+    Reconciles earlier deletion tasks, then plans as many batches as the capacity allows: ``batches``
+    to start, ``evicted`` runs to delete, the ``index`` to write with their marks and without what
+    succeeded before, and the ``completed_tasks`` to write, where this cycle's tasks count as done
+    once their documents are gone. ``node`` names the cycle and makes its task ids unique. A dry run
+    changes nothing. The single number read on the driver is the count of running tasks; it decides
+    the early exit.
     """
-    statuses = task_status(index, running, completed)
+    statuses = settle(task_status(index, running, completed))
     running_count = statuses.filter("running").select("deletion_task").distinct().count()
     free = capacity(running_count, concurrency)
     result: dict[str, DataFrame | int] = {"statuses": statuses, "capacity": free, "running_tasks": running_count}
@@ -359,18 +373,16 @@ def evict(
         plan = task_cleanup_plan(statuses)
         kept_index = delete_status_documents(index, plan.filter("drop_status_document"))
         kept_completed = delete_tasks(completed, plan.filter("drop_task"))
-    result |= {"index": kept_index, "documents": documents, "completed_tasks": kept_completed}
+    result |= {"index": kept_index, "completed_tasks": kept_completed}
     if free == 0:
         return result
     candidates = eviction_candidates(index, source_runs, excluded_runs(statuses), now, ttl_days)
-    batches = first_batches(candidates, free, runs_per_task)
+    batches = settle(first_batches(candidates, free, runs_per_task))
     result |= {"candidates": candidates, "batches": batches}
     if dry_run:
         return result
-    evicted = batches.select(
-        BACKGROUND, F.explode("run_ids").alias(RUN), F.concat(F.lit("evict:"), F.col("batch_no")).alias("task_id")
-    )
-    whole, pairs = evicted.filter(F.col(BACKGROUND).isNull()), evicted.filter(F.col(BACKGROUND).isNotNull())
-    result["documents"] = delete_by_run_background(delete_by_run(documents, whole), pairs)
+    evicted = evicted_rows(batches, node)
+    result["evicted"] = evicted
     result["index"] = mark_being_deleted(kept_index, evicted)
+    result["completed_tasks"] = kept_completed.unionByName(finished_tasks(batches, node))
     return result

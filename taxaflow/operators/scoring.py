@@ -98,20 +98,30 @@ def scored_taxon_counts(
     """Counts with run config, lineage, background model and z-score.
 
     Give one ``background_id`` for all runs, or ``requests (pipeline_run_id, background_id)`` to
-    score exactly the requested pairs in one job. ``ordered`` asks for a global order by taxon.
+    score exactly the requested pairs in one job. Counts and models are cut to the requested runs
+    and backgrounds first, and a count is repeated per background only after the joins that do not
+    depend on it. ``ordered`` asks for a global order by taxon.
     """
     if (background_id is None) == (requests is None):
         raise ValueError("give either background_id or requests")
     wanted = counts.withColumnRenamed("count", "counts")
     if requests is not None:
-        pairs = requests.select("pipeline_run_id", "background_id").distinct()
-        wanted = wanted.join(pairs, "pipeline_run_id")
+        wanted = of_requested_runs(wanted, requests)
+        summaries = summaries.join(requests.select("background_id"), "background_id", "left_semi")
     with_run = wanted.join(run_config(runs, configs), "pipeline_run_id", "left")
-    with_model = background_summary(versioned_lineage(with_run, lineages), summaries, background_id)
+    with_lineage = versioned_lineage(with_run, lineages)
+    if requests is not None:
+        pairs = requests.select("pipeline_run_id", "background_id").distinct()
+        with_lineage = with_lineage.join(pairs, "pipeline_run_id")
+    with_model = background_summary(with_lineage, summaries, background_id)
     scored = with_model.withColumn("created_at", now).withColumn("zscore", zscore_column()).select(*SCORED_COLUMNS)
     return scored.orderBy("tax_id") if ordered else scored
 
 
+def of_requested_runs(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    return rows.join(requests.select("pipeline_run_id"), "pipeline_run_id", "left_semi")
+
+
 def contig_filter(contigs: DataFrame) -> DataFrame:
     """Contigs with a lineage that says something."""
     return contigs.filter(F.col("lineage_json").isNotNull() & ~F.col("lineage_json").isin("", "{}"))
@@ -134,15 +144,20 @@ def contig_counts(contigs: DataFrame) -> DataFrame:
     )
 
 
-def with_contigs(scored: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Contig count of each scored row, looked up by the raw taxon id, 0 where none was found."""
+def with_contigs(scored: DataFrame, contigs: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Contig count of each scored row, looked up by the raw taxon id, 0 where none was found.
+
+    With ``requests`` only the contigs of those runs are counted.
+    """
+    if requests is not None:
+        contigs = of_requested_runs(contigs, requests)
     found = contig_counts(contig_filter(contigs))
     return scored.join(found, ["pipeline_run_id", "tax_id", "count_type"], "left").withColumn(
         "contigs", F.coalesce("contigs", F.lit(0).cast("bigint"))
     )
 
 
-def taxon_documents(scored: DataFrame, contigs: DataFrame) -> DataFrame:
+def taxon_documents(scored: DataFrame, contigs: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """One document per run, background and taxon with its metrics in ``metric_list``.
 
     A group has at most one row per count type, level and matching lineage range, so the list is
@@ -150,7 +165,7 @@ def taxon_documents(scored: DataFrame, contigs: DataFrame) -> DataFrame:
     """
     rank = f"min(struct(tax_level, count_type, struct({', '.join(DOCUMENT_SCALARS)}) AS scalars)) AS _head"
     entries = f"sort_array(collect_list(struct(tax_level, {', '.join(METRIC_FIELDS)}))) AS _metrics"
-    grouped = with_contigs(scored, contigs).groupBy(*DOCUMENT_KEYS).agg(F.expr(rank), F.expr(entries))
+    grouped = with_contigs(scored, contigs, requests).groupBy(*DOCUMENT_KEYS).agg(F.expr(rank), F.expr(entries))
     doc_id = document_id(F.col("tax_id"), F.col("tax_level"), F.col("pipeline_run_id"), F.col("background_id"))
     metric = ", ".join(f"m.{c} AS {c}" for c in METRIC_FIELDS)
     return grouped.selectExpr(
@@ -208,13 +223,15 @@ def request_validation(events: DataFrame, column: str = "event") -> DataFrame:
     )
 
 
-def index_runs(requests: DataFrame, documents: DataFrame) -> DataFrame:
-    """Result row per valid request: parameters, documents written, success."""
-    written = documents.groupBy("pipeline_run_id", "background_id").agg(F.count("*").alias("documents"))
+def index_runs(requests: DataFrame, documents: DataFrame, status: DataFrame) -> DataFrame:
+    """Result row per valid request: parameters, documents written, and whether its status is complete."""
+    keys = ["pipeline_run_id", "background_id"]
+    written = documents.groupBy(*keys).agg(F.count("*").alias("documents"))
     return (
         requests.filter("is_valid")
-        .select("pipeline_run_id", "background_id", "es_batchsize")
-        .join(written, ["pipeline_run_id", "background_id"], "left")
+        .select(*keys, "es_batchsize")
+        .join(written, keys, "left")
+        .join(status.select(*keys, F.col("is_complete").alias("success")), keys, "left")
         .withColumn("documents", F.coalesce("documents", F.lit(0).cast("bigint")))
-        .withColumn("success", F.lit(True))
+        .withColumn("success", F.coalesce("success", F.lit(False)))
     )

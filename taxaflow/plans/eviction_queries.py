@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from taxaflow.operators import eviction as op
 from taxaflow.plans import eviction_inputs as src
+from taxaflow.plans import jobs
 from taxaflow.plans.registry import query
 from taxaflow.plans.scoring_queries import sql
+from taxaflow.session import new_shared_path
+from taxaflow.sources import sinks
 from taxaflow.sources.tables import Tables
 
 NOW = "TIMESTAMP_NTZ'1998-07-01 12:00:00'"
@@ -316,10 +319,8 @@ def eviction_report(t: Tables) -> DataFrame:
 )
 def evict(t: Tables) -> DataFrame:
     """Status documents after one whole cycle with capacity for every batch."""
-    index = src.index_documents(t)
     result = op.evict(
-        index,
-        index.select("pipeline_run_id", "background_id"),
+        src.index_documents(t),
         src.source_runs(t),
         op.running_tasks(src.running_listing(t)),
         op.completed_tasks(src.completed_documents(t)),
@@ -328,3 +329,92 @@ def evict(t: Tables) -> DataFrame:
         runs_per_task=RUNS_PER_TASK,
     )
     return result["index"]
+
+
+CYCLES, CYCLE_CAPACITY, CYCLE_RUNS = 3, 4, 3
+
+
+def cycle_sql(c: int) -> str:
+    """Status documents, task log and documents after cycle ``c``, from those of the cycle before."""
+    return f"""
+statuses{c} AS (
+    SELECT i.pipeline_run_id, i.background_id, i.deletion_task,
+        COALESCE(t.succeeded, FALSE) AS succeeded, COALESCE(t.failed, FALSE) AS failed
+    FROM idx{c} i LEFT JOIN log{c} t ON t.deletion_task = i.deletion_task WHERE i.deletion_task IS NOT NULL
+),
+busy{c} AS (SELECT pipeline_run_id FROM statuses{c} WHERE succeeded),
+whole{c} AS (
+    SELECT DISTINCT pipeline_run_id FROM idx{c}
+    WHERE pipeline_run_id NOT IN (SELECT pipeline_run_id FROM source_runs)
+        AND pipeline_run_id NOT IN (SELECT pipeline_run_id FROM busy{c})
+),
+candidates{c} AS (
+    SELECT 'run' AS kind, CAST(NULL AS BIGINT) AS background_id, pipeline_run_id FROM whole{c}
+    UNION ALL
+    SELECT 'run_background', background_id, pipeline_run_id FROM idx{c}
+    WHERE (last_read_at < TIMESTAMP '1998-06-01' OR (last_read_at IS NULL AND created_at < TIMESTAMP '1998-06-01'))
+        AND pipeline_run_id NOT IN (SELECT pipeline_run_id FROM busy{c})
+        AND pipeline_run_id NOT IN (SELECT pipeline_run_id FROM whole{c})
+),
+chunks{c} AS (
+    SELECT *, (row_number() OVER (PARTITION BY kind, background_id ORDER BY pipeline_run_id) - 1) // 3 AS chunk FROM candidates{c}
+),
+batches{c} AS (
+    SELECT * FROM (SELECT kind, background_id, pipeline_run_id,
+        dense_rank() OVER (ORDER BY kind, background_id NULLS FIRST, chunk) - 1 AS batch_no FROM chunks{c})
+    WHERE batch_no < 4
+),
+idx{c + 1} AS (
+    SELECT i.pipeline_run_id, i.background_id, i.is_complete AND p.batch_no IS NULL AND w.batch_no IS NULL AS is_complete,
+        i.created_at, i.last_read_at,
+        COALESCE('evict-{c}:' || COALESCE(p.batch_no, w.batch_no), i.deletion_task) AS deletion_task
+    FROM idx{c} i
+    LEFT JOIN batches{c} w ON w.kind = 'run' AND w.pipeline_run_id = i.pipeline_run_id
+    LEFT JOIN batches{c} p ON p.kind = 'run_background' AND p.pipeline_run_id = i.pipeline_run_id AND p.background_id = i.background_id
+    WHERE NOT EXISTS (SELECT 1 FROM statuses{c} s
+        WHERE s.succeeded AND s.pipeline_run_id = i.pipeline_run_id AND s.background_id = i.background_id)
+),
+log{c + 1} AS (
+    SELECT * FROM log{c} WHERE deletion_task NOT IN (SELECT deletion_task FROM statuses{c} WHERE succeeded OR failed)
+    UNION ALL SELECT DISTINCT 'evict-{c}:' || batch_no, TRUE, FALSE FROM batches{c}
+),
+docs{c + 1} AS (
+    SELECT d.* FROM docs{c} d WHERE NOT EXISTS (SELECT 1 FROM batches{c} b WHERE b.pipeline_run_id = d.pipeline_run_id
+        AND (b.kind = 'run' OR b.background_id = d.background_id))
+)"""
+
+
+@query(
+    sql(
+        INDEX,
+        TASKS,
+        """
+idx0 AS (SELECT * FROM idx),
+log0 AS (SELECT deletion_task, succeeded, failed FROM completed),
+docs0 AS (SELECT pipeline_run_id, background_id FROM idx)""",
+        *(cycle_sql(c) for c in range(CYCLES)),
+        select="""SELECT COALESCE(i.pipeline_run_id, d.pipeline_run_id) AS pipeline_run_id,
+            COALESCE(i.background_id, d.background_id) AS background_id, i.is_complete, i.deletion_task,
+            t.deletion_task IS NOT NULL AS logged, d.pipeline_run_id IS NOT NULL AS has_documents
+        FROM idx3 i FULL JOIN docs3 d ON d.pipeline_run_id = i.pipeline_run_id AND d.background_id = i.background_id
+        LEFT JOIN log3 t ON t.deletion_task = i.deletion_task""",
+    )
+)
+def evict_cycles(t: Tables) -> DataFrame:
+    """Three eviction jobs, each fed with the tables the one before wrote: status, log and documents."""
+    keys = ["pipeline_run_id", "background_id"]
+    index, tasks = src.index_documents(t), op.completed_tasks(src.completed_documents(t))
+    running = op.running_tasks(src.running_listing(t)).filter("false")
+    documents = new_shared_path(t.spark, "documents")
+    sinks.upsert_table(t.spark, documents, index.select(*keys), keys, buckets=16)
+    for cycle in range(CYCLES):
+        index_path, tasks_path = new_shared_path(t.spark, "index"), new_shared_path(t.spark, "tasks")
+        jobs.evict_job(
+            t.spark, index, src.source_runs(t), running, tasks, documents, index_path, tasks_path, now(), str(cycle),
+            buckets=16, strict=False, concurrency=CYCLE_CAPACITY, runs_per_task=CYCLE_RUNS,
+        )
+        index, tasks = t.spark.read.parquet(index_path), t.spark.read.parquet(tasks_path)
+    left = t.spark.read.parquet(documents).select(*keys, F.lit(True).alias("has_documents"))
+    logged = tasks.select("deletion_task", F.lit(True).alias("logged"))
+    rows = index.select(*keys, "is_complete", "deletion_task").join(left, keys, "full").join(logged, "deletion_task", "left")
+    return rows.select(*keys, "is_complete", "deletion_task", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("logged", "has_documents")))

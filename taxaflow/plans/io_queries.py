@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions import text
 from taxaflow.plans import eviction_inputs as index
+from taxaflow.plans import refdata_inputs as refdata
 from taxaflow.plans import scoring_inputs as scoring
 from taxaflow.plans.eviction_queries import INDEX
+from taxaflow.plans.refdata_queries import OBJECTS
 from taxaflow.plans.registry import query
 from taxaflow.plans.scoring_queries import (
     CONTIGS,
@@ -41,10 +43,9 @@ def scan_index(t: Tables) -> DataFrame:
     return index.index_documents(t).select("background_id", "pipeline_run_id")
 
 
-@query()
+@query(sql(OBJECTS, select="SELECT * FROM objects WHERE key LIKE 'ncbi-indexes-prod/%' AND key LIKE '%.fa'"))
 def list_objects(t: Tables) -> DataFrame:
-    listed = files.list_objects(t.spark, t.directory, "*.parquet")
-    return listed.select(F.substring_index("key", "/", -1).alias("key"), "size")
+    return files.list_objects(refdata.index_objects(t), "ncbi-indexes-prod/", ".fa")
 
 
 @query(
@@ -175,7 +176,7 @@ def archive_if_absent(t: Tables) -> DataFrame:
         upper(regexp_replace('NT' || stage, '([^A-Z])([A-Z])', '\\1_\\2', 'g')) AS acronym_key,
         CASE WHEN uri LIKE 's3://%' THEN split_part(uri, '/', 3) END AS bucket,
         CASE WHEN uri LIKE 's3://%' THEN substr(uri, length('s3://refs/') + 1) END AS key,
-        regexp_replace(workflow, 'v(\\d+)\\..+', '\\1') AS major
+        regexp_replace(workflow, 'v(\\d+)\\..+', '\\1') AS major, p_partkey % 3 = 0 AS gzipped
     FROM named"""
 )
 def text_functions(t: Tables) -> DataFrame:
@@ -189,6 +190,7 @@ def text_functions(t: Tables) -> DataFrame:
         text.uri_bucket(uri).alias("bucket"),
         text.uri_key(uri).alias("key"),
         text.major_version(workflow).alias("major"),
+        text.is_gzip(F.expr("IF(p_partkey % 3 = 0, concat(X'1F8B08', CAST(p_name AS BINARY)), CAST(p_name AS BINARY))")).alias("gzipped"),
     )
 
 

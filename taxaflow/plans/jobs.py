@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,35 +37,70 @@ def index_job(
     scored = scoring.scored_taxon_counts(
         tables.counts, tables.runs, tables.configs, tables.lineages, tables.summaries, now=now, requests=pairs
     )
-    documents = scoring.taxon_documents(scored, tables.contigs)
+    documents = scoring.taxon_documents(scored, tables.contigs, pairs)
     sinks.upsert_table(spark, documents_path, documents, sinks.DOCUMENT_KEYS)
     done = begun.withColumn("is_complete", F.lit(True))
     sinks.upsert_table(spark, status_path, done, sinks.STATUS_KEYS, buckets=8)
     written = spark.read.parquet(documents_path).join(pairs, sinks.STATUS_KEYS, "left_semi")
-    return scoring.index_runs(requests, written)
+    return scoring.index_runs(requests, written, spark.read.parquet(status_path))
 
 
 def evict_job(
+    spark: SparkSession,
     index: DataFrame,
-    documents: DataFrame,
     source_runs: DataFrame,
     running: DataFrame,
     completed: DataFrame,
     documents_path: str,
     index_path: str,
+    tasks_path: str,
     now: Column,
+    cycle: str,
+    *,
+    buckets: int = 64,
+    dry_run: bool = False,
+    strict: bool = True,
     **options,
 ) -> DataFrame:
-    """One eviction cycle written to new paths; returns the report of the reconciled tasks.
+    """One eviction cycle: documents deleted in place, index and task log written to new paths.
 
-    The inputs stay as they are until the caller switches over, so a failed cycle loses nothing.
+    ``documents_path`` is a table of ``sinks.upsert_table``; only the buckets of evicted runs are
+    written again. ``cycle`` makes task ids unique; a repeat of the same cycle with the same inputs
+    gives the same tables. The order is documents, index, task log: a cycle that breaks off leaves
+    the inputs of the caller valid. The report covers reconciled tasks, clean-up and starts;
+    ``strict`` raises when it is not empty, after everything is written. A dry run writes nothing.
     """
-    result = eviction.evict(index, documents, source_runs, running, completed, now=now, **options)
-    result["documents"].write.parquet(documents_path)
-    result["index"].write.parquet(index_path)
-    spark = index.sparkSession
-    return eviction.eviction_report(
+    result = eviction.evict(index, source_runs, running, completed, now=now, dry_run=dry_run, node=f"evict-{cycle}", **options)
+    steps: list[tuple[str, str | None]] = []
+    starts: list[tuple[int, str | None, str | None]] = []
+    if not dry_run:
+        failure = delete_documents(spark, documents_path, result["evicted"], buckets) if "evicted" in result else None
+        if failure is not None:
+            # Nothing was started: no run is marked and no task counts as done.
+            starts = [(0, failure, None)]
+            result = eviction.evict(index, source_runs, running, completed, now=now, node=f"evict-{cycle}", **{**options, "concurrency": 0})
+        for step, frame, path in (("pipeline_runs", result["index"], index_path), ("succeeded", result["completed_tasks"], tasks_path)):
+            frame.write.mode("overwrite").parquet(path)
+            steps.append((step, None))
+    report = eviction.eviction_report(
         result["statuses"],
-        spark.createDataFrame([], "step STRING, error STRING"),
-        spark.createDataFrame([], "batch_no BIGINT, start_error STRING, mark_error STRING"),
+        spark.createDataFrame(steps, "step STRING, error STRING"),
+        spark.createDataFrame(starts, "batch_no BIGINT, start_error STRING, mark_error STRING"),
     )
+    if strict:
+        eviction.raise_on_report(report)
+    return report
+
+
+def delete_documents(spark: SparkSession, path: str, evicted: DataFrame, buckets: int) -> str | None:
+    """Delete the evicted runs from a bucketed table; the error's kind when it could not be done."""
+    try:
+        sinks.finish_replacing(spark, path)
+        evicted = evicted.withColumn("bucket", sinks.bucket_of(sinks.RUN_KEY, buckets))
+        touched = [r.bucket for r in evicted.select("bucket").distinct().collect()]
+        if touched:
+            table = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+            sinks.replace_buckets(spark, path, eviction.delete_evicted(table, evicted), touched)
+        return None
+    except PySparkException as error:
+        return error.getCondition() or type(error).__name__

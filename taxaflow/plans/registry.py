@@ -34,6 +34,11 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings the results or the plans depend on, whatever session the caller brought."""
+    """The operators' settings where the caller's session has none of its own.
+
+    Alarm and thread times are read as UTC; a session in another zone keeps it and gets its zone's
+    rows.
+    """
     for key, value in DEFAULT_CONF.items():
-        spark.conf.set(key, value)
+        if key not in spark.conf.getAll and spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)

@@ -15,7 +15,7 @@ from taxaflow.sources.tables import Tables
 def _hits(t: Tables) -> DataFrame:
     return t.lineitem.selectExpr(
         "l_suppkey AS pipeline_run_id",
-        "l_partkey % 200 AS p",
+        "l_partkey AS p",
         "l_partkey",
         "l_linenumber",
         "l_returnflag",
@@ -25,7 +25,7 @@ def _hits(t: Tables) -> DataFrame:
         "CAST(round(l_extendedprice * 100) AS BIGINT) AS cents",
         "CAST(round(l_discount * 100) AS BIGINT) AS discount_pct",
         "CAST(round(l_tax * 100) AS BIGINT) AS tax_pct",
-        "CASE WHEN l_partkey % 200 % 10 = 0 THEN -100000000 - l_partkey % 200 ELSE l_partkey % 200 END AS tax_id",
+        "CASE WHEN l_partkey % 10 = 0 THEN -100000000 - l_partkey ELSE l_partkey END AS tax_id",
     )
 
 
@@ -126,7 +126,7 @@ def contigs(t: Tables) -> DataFrame:
     return rows.selectExpr(
         "pipeline_run_id",
         "IF(known, tax_id, NULL) AS species_taxid_nt",
-        "l_partkey % 150 AS species_taxid_nr",
+        "l_partkey - l_partkey % 3 AS species_taxid_nr",
         "tax_id AS species_taxid_merged_nt_nr",
         "IF(known, p % 20, NULL) AS genus_taxid_nt",
         "p % 20 AS genus_taxid_nr",

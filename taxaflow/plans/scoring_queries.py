@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions.scoring import lineage_join_id
 from taxaflow.operators import scoring as op
+from taxaflow.plans import jobs
 from taxaflow.plans import scoring_inputs as src
 from taxaflow.plans.registry import query
+from taxaflow.session import new_shared_path
 from taxaflow.sources.tables import Tables
 
 NOW = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 
 HITS = """
 hits AS (
-    SELECT l_suppkey AS pipeline_run_id, l_partkey % 200 AS p, l_partkey, l_linenumber, l_returnflag,
+    SELECT l_suppkey AS pipeline_run_id, l_partkey AS p, l_partkey, l_linenumber, l_returnflag,
         CASE l_returnflag WHEN 'A' THEN 'NT' WHEN 'N' THEN 'NR' ELSE 'merged_NT_NR' END AS count_type,
         CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS tax_level,
-        CASE WHEN l_partkey % 200 % 10 = 0 THEN -100000000 - l_partkey % 200 ELSE l_partkey % 200 END AS tax_id,
+        CASE WHEN l_partkey % 10 = 0 THEN -100000000 - l_partkey ELSE l_partkey END AS tax_id,
         CAST(l_quantity AS BIGINT) AS quantity,
         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
         CAST(round(l_discount * 100) AS BIGINT) AS discount_pct,
@@ -82,7 +84,7 @@ CONTIGS = """
 contigs AS (
     SELECT pipeline_run_id,
         CASE WHEN l_linenumber <> 1 THEN tax_id END AS species_taxid_nt,
-        l_partkey % 150 AS species_taxid_nr,
+        l_partkey - l_partkey % 3 AS species_taxid_nr,
         tax_id AS species_taxid_merged_nt_nr,
         CASE WHEN l_linenumber <> 1 THEN p % 20 END AS genus_taxid_nt,
         p % 20 AS genus_taxid_nr,
@@ -197,7 +199,7 @@ def requests(t: Tables) -> DataFrame:
 
 def documents(t: Tables) -> DataFrame:
     wanted = requests(t).filter("is_valid")
-    return op.taxon_documents(scored(t, None, wanted), src.contigs(t))
+    return op.taxon_documents(scored(t, None, wanted), src.contigs(t), wanted)
 
 
 SCORED_ALL = (HITS, COUNTS, RUNS, LINEAGES, SUMMARIES)
@@ -297,7 +299,24 @@ def contig_counts(t: Tables) -> DataFrame:
     return op.contig_counts(op.contig_filter(src.contigs(t)))
 
 
-@query()
+@query(
+    sql(
+        *SCORED_ALL,
+        CONTIGS,
+        EVENTS,
+        scored_cte(True),
+        DOCS,
+        select="""SELECT pipeline_run_id, background_id, tax_id, head.tax_level AS tax_level, head.genus_taxid AS genus_taxid,
+            head.family_taxid AS family_taxid, head.superkingdom_taxid AS superkingdom_taxid, head.name AS name,
+            head.common_name AS common_name, head.genus_name AS genus_name, head.is_phage AS is_phage,
+            list(struct_pack(count_type := count_type, counts := counts, stdev := stdev, mean := mean,
+                stdev_mass_normalized := stdev_mass_normalized, mean_mass_normalized := mean_mass_normalized,
+                percent_identity := percent_identity, e_value := e_value, rpm := rpm, zscore := zscore,
+                alignment_length := alignment_length, contigs := contigs) ORDER BY tax_level, count_type) AS metric_list,
+            tax_id || '_' || head.tax_level || '_' || pipeline_run_id || '_' || background_id AS doc_id
+        FROM flat GROUP BY ALL""",
+    )
+)
 def taxon_documents(t: Tables) -> DataFrame:
     return documents(t)
 
@@ -342,11 +361,23 @@ def request_validation(t: Tables) -> DataFrame:
         EVENTS,
         select="""SELECT q.pipeline_run_id, CAST(q.background_id AS BIGINT) AS background_id,
             CAST(CASE q.background_id WHEN 2 THEN 500 ELSE 1000 END AS BIGINT) AS es_batchsize,
-            COALESCE(d.documents, 0) AS documents, TRUE AS success
+            COALESCE(d.documents, 0) AS documents, TRUE AS success, TRUE AS is_complete,
+            TIMESTAMP '2024-02-01 00:00:00' AS created_at, NULL::TIMESTAMP AS last_read_at, NULL::VARCHAR AS deletion_task
         FROM requests q LEFT JOIN (
             SELECT pipeline_run_id, count(DISTINCT tax_id) AS documents FROM taxon_counts GROUP BY 1
         ) d ON d.pipeline_run_id = q.pipeline_run_id""",
     )
 )
 def index_runs(t: Tables) -> DataFrame:
-    return op.index_runs(requests(t), documents(t))
+    """The indexing job over every request, run twice, and what it left in its tables.
+
+    The first run begins from nothing, the second one repeats it; documents are counted in the table.
+    """
+    tables = jobs.ScoringTables(
+        src.taxon_counts(t), src.pipeline_runs(t), src.alignment_configs(t), src.taxon_lineages(t), src.taxon_summaries(t), src.contigs(t)
+    )
+    documents_path, status_path = new_shared_path(t.spark, "documents"), new_shared_path(t.spark, "status")
+    for _ in range(2):
+        results = jobs.index_job(t.spark, tables, src.request_events(t), documents_path, status_path, F.expr(NOW))
+    status = t.spark.read.parquet(status_path).select("pipeline_run_id", "background_id", "is_complete", "created_at", "last_read_at", "deletion_task")
+    return results.join(status, ["pipeline_run_id", "background_id"])

@@ -50,8 +50,16 @@ def load_benchmarks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def list_objects(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
-    """Files below a path as ``key, size, last_modified``; their content is not read."""
+def list_objects(listing: DataFrame, prefix: str = "", suffix: str = "") -> DataFrame:
+    """Objects of a listing table ``key, size, last_modified`` under a prefix, with a suffix.
+
+    A store with more objects than a driver can list is read from its inventory, a table like this.
+    """
+    return listing.filter(F.col("key").startswith(prefix) & F.col("key").endswith(suffix)).select("key", "size", "last_modified")
+
+
+def list_folder(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
+    """Files below a path as a listing table; their content is not read, their names pass the driver."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

@@ -32,43 +32,75 @@ def upsert_documents(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -
     return kept.unionByName(new)
 
 
-def _bucket(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+RUN_KEY = ("pipeline_run_id",)
+STAGED = "_staged"  # readers skip folders that start with an underscore
+
+
+def bucket_of(by: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 
 
 def upsert_table(
-    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64
+    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64, by: Sequence[str] = RUN_KEY
 ) -> None:
-    """Upsert into a parquet table partitioned by a hash bucket of the key.
+    """Upsert into a parquet table partitioned by a hash bucket of ``by``, a part of the keys.
 
-    Only touched buckets are rewritten. The merged rows are complete in a folder of their own
-    before the table changes, and running the same upsert again gives the same table. Rebalancing
-    sizes the write tasks: small buckets share one, a large bucket gets several.
+    By default a run's rows share one bucket, so a run touches one bucket whatever it holds, and
+    the files of all other buckets stay. ``buckets`` stays the same for a table; about its size
+    over the size a rewrite should have. Running the same upsert again gives the same table.
     """
-    new = settle(new.withColumn("bucket", _bucket(keys, buckets)))
-    staged_path = new_shared_path(spark, "upsert")
-    merged = new
+    new = settle(new.withColumn("bucket", bucket_of(by, buckets)))
+    finish_replacing(spark, path)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
     table = _read_if_present(spark, path)
+    merged = new
     if table is not None:
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
         merged = upsert_documents(table.filter(F.col("bucket").isin(touched)), new, [*keys, "bucket"])
-    merged.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(staged_path)
-    (
-        spark.read.schema(merged.schema)
-        .parquet(staged_path)
-        .hint("rebalance", F.col("bucket"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    replace_buckets(spark, path, merged, touched)
+
+
+def replace_buckets(spark: SparkSession, path: str, rows: DataFrame, touched: Sequence[int]) -> None:
+    """Make ``rows`` the content of the touched buckets; a touched bucket without rows goes.
+
+    The rows are written once, next to the table, and complete before any bucket is swapped. A swap
+    that broke off is finished by the next call. Rebalancing sizes the write tasks: small buckets
+    share one, a large bucket gets several.
+    """
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{STAGED}")
+    folder, files = _folder(spark, path)
+    for bucket in touched:
+        if not files.exists(folder(f"{path}/{STAGED}/bucket={bucket}")):
+            files.delete(folder(f"{path}/bucket={bucket}"), True)
+    finish_replacing(spark, path)
+
+
+def finish_replacing(spark: SparkSession, path: str) -> None:
+    """Swap in the buckets of a complete staged write, and remove the staging folder."""
+    folder, files = _folder(spark, path)
+    staged = folder(f"{path}/{STAGED}")
+    if not files.exists(staged):
+        return
+    if files.exists(folder(f"{path}/{STAGED}/_SUCCESS")):
+        for status in files.listStatus(staged):
+            name = status.getPath().getName()
+            if name.startswith("bucket="):
+                files.delete(folder(f"{path}/{name}"), True)
+                files.rename(status.getPath(), folder(f"{path}/{name}"))
+    files.delete(staged, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """Constructor of paths, and the file system that holds ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    return folder, folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None when the folder is absent or holds no file yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 

@@ -161,13 +161,11 @@ def test_capacity_is_spent_on_runs_then_backgrounds(spark):
         ]
 
 
-def test_first_batches_agree_with_all_batches(spark, rows, monkeypatch):
+def test_first_batches_are_the_first_of_all_batches(spark, rows):
     frame = candidates(spark, range(100, 130), [(b, r) for b in range(5) for r in range(b * 3)])
+    whole = op.eviction_batches(frame, 50, 4)
     for cap in (1, 4, 9, 50):
-        short = rows(op.first_batches(frame, cap, 4))
-        with monkeypatch.context() as patch:
-            patch.setattr(op, "TOP_K_ROWS", 0)
-            assert rows(op.first_batches(frame, cap, 4)) == short
+        assert rows(op.first_batches(frame, cap, 4).drop("started")) == rows(whole.filter(F.col("batch_no") < cap).drop("started"))
 
 
 def test_mark_being_deleted(spark, rows):
@@ -210,27 +208,28 @@ def test_report(spark, rows):
 def cycle(spark, **options):
     running, completed = task_tables(spark)
     index = task_index(spark).unionByName(index_of(spark, status(20), status(21, created="2020-01-01")))
-    documents = index.select("pipeline_run_id", "background_id")
-    return op.evict(index, documents, runs_of(spark, *range(1, 8), 21), running, completed, now=now(), **options)
+    return op.evict(index, runs_of(spark, *range(1, 8), 21), running, completed, now=now(), **options)
 
 
 def test_evict_cycle(spark, rows):
-    result = cycle(spark, runs_per_task=2)
+    result = cycle(spark, runs_per_task=2, node="evict-7")
     assert (result["running_tasks"], result["capacity"]) == (1, 5)
-    assert rows(result["documents"], "pipeline_run_id") == [(r,) for r in range(1, 8)]
+    documents = task_index(spark).unionByName(index_of(spark, status(20), status(21, created="2020-01-01")))
+    assert rows(op.delete_evicted(documents, result["evicted"]), "pipeline_run_id") == [(r,) for r in range(1, 8)]
     index = {r.pipeline_run_id: (r.is_complete, r.deletion_task) for r in result["index"].collect()}
     assert 2 not in index and len(index) == 8
-    assert index[20] == (False, "evict:0") and index[21] == (False, "evict:1")
-    assert rows(result["completed_tasks"], "deletion_task") == [("ffff-6666:6666",)]
+    assert index[20] == (False, "evict-7:0") and index[21] == (False, "evict-7:1")
+    assert rows(result["completed_tasks"], "deletion_task", "succeeded") == [
+        ("evict-7:0", True), ("evict-7:1", True), ("ffff-6666:6666", False)
+    ]
 
 
 def test_evict_stops_at_zero_capacity(spark, rows):
     result = cycle(spark, concurrency=1)
-    assert result["capacity"] == 0 and "batches" not in result
-    assert len(rows(result["documents"])) == 9
+    assert result["capacity"] == 0 and "batches" not in result and "evicted" not in result
 
 
 def test_dry_run_changes_nothing(spark, rows):
     result = cycle(spark, dry_run=True)
     assert len(rows(result["index"])) == 9 and len(rows(result["completed_tasks"])) == 4
-    assert result["batches"].count() == 2
+    assert result["batches"].count() == 2 and "evicted" not in result

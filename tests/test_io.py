@@ -41,12 +41,43 @@ def test_upsert_table_can_be_repeated(spark, rows):
     first = keyed(spark, *[(r, t, "a") for r in range(20) for t in range(5)])
     second = keyed(spark, *[(r, 0, "b") for r in range(0, 40, 3)])
     for batch in (first, second, second):
-        sinks.upsert_table(spark, path, batch, ["run", "tax"], buckets=8)
+        sinks.upsert_table(spark, path, batch, ["run", "tax"], buckets=8, by=["run"])
     want = {(r, t): "a" for r in range(20) for t in range(5)} | {(r, 0): "b" for r in range(0, 40, 3)}
     got = spark.read.parquet(path).select("run", "tax", "v")
     assert rows(got) == sorted((*k, v) for k, v in want.items())
 
 
+def files_of(spark, path):
+    return {f"{r[0]}" for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+
+
+def test_upsert_of_a_run_leaves_other_buckets_in_place(spark, rows):
+    path = new_shared_path(spark, "test-table")
+    sinks.upsert_table(spark, path, keyed(spark, *[(r, t, "a") for r in range(30) for t in range(4)]), ["run", "tax"], buckets=8, by=["run"])
+    before = files_of(spark, path)
+    sinks.upsert_table(spark, path, keyed(spark, (100, 1, "b"), (100, 2, "b")), ["run", "tax"], buckets=8, by=["run"])
+    after = files_of(spark, path)
+    touched = {f.split("bucket=")[1].split("/")[0] for f in before ^ after}
+    assert len(touched) == 1 and len(before & after) >= 6
+    assert spark.read.parquet(path).count() == 122
+    folder, files_there = sinks._folder(spark, path)
+    assert not files_there.exists(folder(f"{path}/{sinks.STAGED}"))
+
+
+def test_broken_off_swap_is_finished(spark, rows):
+    """Buckets staged but not swapped in are taken over by the next call."""
+    path = new_shared_path(spark, "test-table")
+    first = keyed(spark, *[(r, 0, "a") for r in range(20)])
+    sinks.upsert_table(spark, path, first, ["run", "tax"], buckets=4, by=["run"])
+    merged = first.withColumn("v", F.lit("b")).withColumn("bucket", sinks.bucket_of(["run"], 4))
+    merged.write.partitionBy("bucket").parquet(f"{path}/{sinks.STAGED}")
+    assert rows(spark.read.parquet(path).select("v").distinct()) == [("a",)]
+    sinks.finish_replacing(spark, path)
+    assert rows(spark.read.parquet(path).select("v").distinct()) == [("b",)]
+    sinks.replace_buckets(spark, path, merged.limit(0), [0, 1, 2])
+    assert rows(spark.read.parquet(path).select("bucket").distinct()) == [(3,)]
+
+
 def index_of(spark):
     day = dt.datetime(2024, 1, 1)
     return spark.createDataFrame(
@@ -110,9 +141,9 @@ def test_list_objects(spark, tmp_path, rows):
     (tmp_path / "d" / "2024-01-01").mkdir(parents=True)
     (tmp_path / "d" / "2024-01-01" / "nt.fa").write_text("ACGT")
     (tmp_path / "d" / "readme.txt").write_text("x")
-    listed = files.list_objects(spark, str(tmp_path / "d"))
+    listed = files.list_folder(spark, str(tmp_path / "d"))
     assert rows(listed.select(F.substring_index("key", "/", -1).alias("k"), "size")) == [("nt.fa", 4), ("readme.txt", 1)]
-    assert files.list_objects(spark, str(tmp_path / "d"), "*.fa").count() == 1
+    assert files.list_folder(spark, str(tmp_path / "d"), "*.fa").count() == 1
 
 
 @pytest.mark.parametrize(

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
+from taxaflow import schemas
 from taxaflow.operators import eviction, scoring
 from taxaflow.plans import eviction_inputs, jobs, scoring_inputs
 from taxaflow.session import new_shared_path
+from taxaflow.sources import sinks
 from taxaflow.sources.tables import Tables
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -48,7 +52,7 @@ def test_index_job_and_its_repeat(spark, rows, scoring_tables):
 def test_failure_leaves_the_status_incomplete(spark, rows, scoring_tables):
     documents, status = new_shared_path(spark, "documents"), new_shared_path(spark, "status")
     broken = scoring_tables.counts.withColumn(
-        "rpm", F.when(F.col("tax_id") == 7, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("rpm"))
+        "rpm", F.when(F.col("pipeline_run_id") == 1, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("rpm"))
     )
     events = spark.createDataFrame([('{"pipeline_run_id": 1, "background_id": 1}',)], "event STRING")
     whole, scoring_tables.counts = scoring_tables.counts, broken
@@ -60,28 +64,87 @@ def test_failure_leaves_the_status_incomplete(spark, rows, scoring_tables):
     assert rows(spark.read.parquet(status), "is_complete") == [(True,)]
 
 
-def test_evict_job(spark, rows):
+EXPIRED = "TIMESTAMP_NTZ'1998-07-01 12:00:00'"
+
+
+def eviction_tables(spark):
     t = Tables(spark, DIRECTORY)
     index = eviction_inputs.index_documents(t)
-    documents, status = new_shared_path(spark, "documents"), new_shared_path(spark, "status")
-    report = jobs.evict_job(
-        index,
-        index.select("pipeline_run_id", "background_id"),
-        eviction_inputs.source_runs(t),
-        eviction.running_tasks(eviction_inputs.running_listing(t)),
-        eviction.completed_tasks(eviction_inputs.completed_documents(t)),
-        documents,
-        status,
-        F.expr("TIMESTAMP_NTZ'1998-07-01 12:00:00'"),
-        concurrency=100_000,
-        runs_per_task=50,
-    )
+    documents = new_shared_path(spark, "documents")
+    keys = ["pipeline_run_id", "background_id"]
+    sinks.upsert_table(spark, documents, index.select(*keys), keys, buckets=16)
+    running = eviction.running_tasks(eviction_inputs.running_listing(t))
+    return index, eviction_inputs.source_runs(t), running, eviction.completed_tasks(eviction_inputs.completed_documents(t)), documents
+
+
+def test_evict_job(spark, rows):
+    index, source, running, completed, documents = eviction_tables(spark)
+    status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
+    arguments = (spark, index, source, running, completed, documents, status, tasks, F.expr(EXPIRED), "a")
+    options = {"buckets": 16, "concurrency": 100_000, "runs_per_task": 50}
+    report = jobs.evict_job(*arguments, strict=False, **options)
     assert rows(report, "severity", "message") == [("error", "Failed tasks found"), ("error", "Missing tasks found")]
-    marked = spark.read.parquet(status).filter("deletion_task LIKE 'evict:%'").select("pipeline_run_id", "background_id")
+    marked = spark.read.parquet(status).filter("deletion_task LIKE 'evict-a:%'").select("pipeline_run_id", "background_id")
     left = spark.read.parquet(documents)
     assert marked.count() > 0 and left.count() > 0
     assert left.join(marked, ["pipeline_run_id", "background_id"], "left_semi").count() == 0
     assert left.count() + marked.count() >= index.count()
+    with pytest.raises(eviction.EvictionError, match="Missing tasks found"):
+        jobs.evict_job(*arguments, **options)
+
+
+def test_dry_run_writes_nothing(spark):
+    index, source, running, completed, documents = eviction_tables(spark)
+    paths = [new_shared_path(spark, name) for name in ("status", "tasks")]
+    before = spark.read.parquet(documents).select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()
+    jobs.evict_job(spark, index, source, running, completed, documents, *paths, F.expr(EXPIRED), "a", buckets=16, dry_run=True, strict=False, concurrency=1000)
+    assert sorted(map(str, before)) == sorted(map(str, spark.read.parquet(documents).select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()))
+    folder, files = sinks._folder(spark, paths[0])
+    assert not any(files.exists(folder(p)) for p in paths)
+
+
+def test_failed_deletion_is_reported_and_marks_nothing(spark, rows):
+    index, source, running, completed, _ = eviction_tables(spark)
+    status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
+    report = jobs.evict_job(
+        spark, index, source, running, completed, new_shared_path(spark, "absent"), status, tasks, F.expr(EXPIRED), "a", strict=False, concurrency=1000
+    )
+    assert ("error", "Eviction start failed") in rows(report, "severity", "message")
+    assert spark.read.parquet(status).filter("deletion_task LIKE 'evict-a:%'").count() == 0
+
+
+def test_cycles_make_progress(spark, rows):
+    """Twenty expired runs, two tasks of three runs a cycle: every cycle deletes the next runs."""
+    day = dt.datetime(1998, 1, 1)
+    index = spark.createDataFrame([(r, 1, True, day, day, None) for r in range(1, 21)], schemas.RUN_STATUS)
+    source = index.select("pipeline_run_id")
+    _, _, running, completed, _ = eviction_tables(spark)
+    completed = completed.limit(0)
+    running = running.limit(0)
+    documents, keys = new_shared_path(spark, "documents"), ["pipeline_run_id", "background_id"]
+    sinks.upsert_table(spark, documents, index.select(*keys), keys, buckets=4)
+    left, statuses, logged = [], [], []
+    for c in range(5):
+        status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
+        jobs.evict_job(spark, index, source, running, completed, documents, status, tasks, F.expr(EXPIRED), str(c), buckets=4, concurrency=2, runs_per_task=3)
+        index, completed = spark.read.parquet(status), spark.read.parquet(tasks)
+        left.append(sinks._read_if_present(spark, documents).count() if c < 3 else 0)
+        statuses.append(index.count())
+        logged.append(rows(completed, "deletion_task"))
+    assert left == [14, 8, 2, 0, 0]
+    assert statuses == [20, 14, 8, 2, 0]
+    assert logged == [[(f"evict-{c}:0",), (f"evict-{c}:1",)] for c in range(3)] + [[("evict-3:0",)], []]
+
+
+def test_contigs_are_cut_to_the_requested_runs_first(spark, scoring_tables):
+    """The semi-join stands below the aggregate of the contigs, and counts are cut before they are joined."""
+    requests = spark.createDataFrame([(1, 1)], "pipeline_run_id BIGINT, background_id BIGINT")
+    t = scoring_tables
+    scored = scoring.scored_taxon_counts(t.counts, t.runs, t.configs, t.lineages, t.summaries, now=now(), requests=requests)
+    plan = scoring.taxon_documents(scored, t.contigs, requests)._jdf.queryExecution().optimizedPlan().toString()
+    stack = plan.index("Expand") if "Expand" in plan else plan.index("Generate stack")
+    below = plan[stack:].split("\n")[:8]
+    assert any("LeftSemi" in line for line in below), below
 
 
 def test_hot_run_is_split_in_every_join_of_the_flagship(spark):
