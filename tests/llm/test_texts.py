@@ -1,0 +1,160 @@
+"""Secrets, token lengths, languages, quality and licences against plain Python and held-out rows."""
+
+from __future__ import annotations
+
+import collections
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from taxaflow.llm import languages, length_histogram, licenses, quality, queries, secrets
+from taxaflow.llm.common import fold
+from taxaflow.llm.vocabulary import tokenizer_path
+
+DIRECTORY = "/root/testdata/sf0.01"
+
+
+def spans_of(spark, text):
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    return [(s["kind"], text[s["start"] : s["end"]]) for s in row["found"]]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("é API-KEY api_key: 'abc/12=' end", [("assign", "api_key: 'abc/12=")]),
+        ("PassWord=short passwd = longer1", [("assign", "passwd = longer1")]),  # five characters are too few
+        ("AKIA" + "A1" * 8 + " AKIASHORT", [("access", "AKIA" + "A1" * 8)]),
+        ("x" + "0a" * 12 + " " + "0a" * 9, [("hex", "0a" * 12)]),
+        ("id 550e8400-e29b-41d4-a716-446655440000 and 12345678901234567890123", []),
+        ("SHA " + "0AF1" * 16, []),
+        ("internationalizationofeverythingeverywhere", []),
+        ("key Zx9Qv7Lk2Wp8Rt4Yb6Nd3Hs5Jf1Gc0", [("random", "Zx9Qv7Lk2Wp8Rt4Yb6Nd3Hs5Jf1Gc0")]),
+        ("ſecret=abcdefgh", []),
+    ],
+)
+def test_secret_spans(spark, text, found):
+    assert spans_of(spark, text) == found
+
+
+def test_secret_query_over_whole_table(spark):
+    kinds = {
+        "assign": (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, re.I | re.A, 1),
+        "access": ("AKIA[A-Z0-9]+", 20, 0, 0),
+        "hex": ("[0-9a-f]+", 24, 0, 0),
+    }
+    texts = {r[0]: r[1] for r in queries.table(spark, DIRECTORY, "documents").select("doc_id", "text").collect()}
+    rows = queries.op6_secrets(spark, DIRECTORY).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        for kind, (pattern, least, flags, group) in kinds.items():
+            wanted = [m.span() for m in re.finditer(pattern, texts[row["doc_id"]], flags) if len(m[group]) >= least]
+            got = [tuple(map(int, s.split(":")[1:])) for s in row["spans"].split(",") if s.startswith(kind + ":")]
+            assert got == wanted
+            assert row[f"n_{kind}"] == len(wanted)
+
+
+def test_redaction_joins_overlaps(spark):
+    docs = spark.createDataFrame([(1, 'a token = "' + "0a" * 20 + '" b AKIA' + "B2" * 9)], "doc_id long, text string")
+    found = secrets.find_secrets(docs)
+    assert found.select(secrets.redacted(F.col("text"), F.col("found"), "[x]")).first()[0] == 'a [x]" b [x]'
+
+
+def test_secret_edges(edge_docs, no_docs):
+    found = secrets.find_secrets(edge_docs.drop("found"))
+    assert found.count() == edge_docs.count()
+    assert found.where("text IS NULL AND size(found) = 0").count() == 1
+    assert found.where("doc_id = 10").first()["found"][0]["kind"] == "assign"
+    assert secrets.find_secrets(no_docs.drop("found")).count() == 0
+
+
+def test_length_histogram(spark, edge_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("text").union(edge_docs.select("text"))
+    lengths = np.array(sorted(len(library.encode(t or "", add_special_tokens=False).ids) for (t,) in docs.collect()))
+    histogram = length_histogram.length_histogram(docs)
+    rows = {r["n_tokens"]: r for r in histogram.collect()}
+    assert {n: r["n_docs"] for n, r in rows.items()} == dict(collections.Counter(lengths.tolist()))
+    for n, r in rows.items():
+        assert (r["docs_from"], r["tokens_from"]) == ((lengths >= n).sum(), lengths[lengths >= n].sum())
+        assert (r["docs_to"], r["truncated_total"]) == ((lengths <= n).sum(), np.minimum(lengths, n).sum())
+    limits = [0, 1, 100, 777, 10**7]
+    assert length_histogram.truncated_totals(histogram, limits) == {n: np.minimum(lengths, n).sum() for n in limits}
+    assert length_histogram.quantiles(histogram, [0.5]) == {0.5: lengths[-(-len(lengths) // 2) - 1]}
+    assert length_histogram.length_histogram(no_docs).count() == 0
+    assert length_histogram.total_tokens(length_histogram.length_histogram(no_docs)) == 0
+
+
+def test_languages_held_out(spark):
+    rows = queries.op4_language(spark, DIRECTORY)
+    truth = queries.table(spark, DIRECTORY, "documents").where("n_chars >= 60").select("doc_id", "lang")
+    both = rows.where("held_out").join(truth, "doc_id")
+    assert both.count() > 150
+    assert both.where("lang = lang_pred").count() >= 0.98 * both.count()
+    for r in rows.select("doc_id", "held_out").collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_edges(spark, edge_docs, no_docs):
+    profiles = languages.learn_profiles(edge_docs, F.lit(True))
+    got = {(r["doc_id"], r["lang_pred"]) for r in languages.identify(edge_docs, profiles).collect()}
+    assert {(3, "und"), (4, "und"), (5, "und"), (6, "und"), (1, "en"), (None, "en")} <= got
+    assert languages.identify(edge_docs, languages.learn_profiles(no_docs, F.lit(True))).where("lang_pred <> 'und'").count() == 0
+    assert languages.identify(no_docs, profiles).count() == 0
+    assert languages.learn_profiles(edge_docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).languages == []
+
+
+def test_out_of_place_distance():
+    profiles = languages.Profiles(["x", "y"], np.array([1, 2, 3]), np.array([[0, 1, -1], [-1, 0, 1]]), 4)
+    assert languages.distances(profiles, np.array([1, 2])).tolist() == [0.0, (4 + 1) / 8]
+
+
+def test_quality_held_out(spark):
+    rows = queries.op3_quality(spark, "/root/testdata/sf0.1")
+    labels = queries.table(spark, "/root/testdata/sf0.1", "labels")
+    both = rows.where("held_out").join(labels, "doc_id")
+    n = both.count()
+    assert n > 1000
+    assert both.where("predicted = quality").count() >= 0.95 * n
+    assert rows.where("predicted <> cast(score >= 0.5 as int) OR score < 0 OR score > 1").count() == 0
+
+
+def test_quality_edges(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (4, None), (6, 0), (8, 1), (None, 1), (99, 0)], "doc_id long, quality int")
+    docs = edge_docs.drop("score")
+    for model in (quality.fit(edge_docs, labels, F.lit(True)), quality.fit(no_docs, labels, F.lit(True)), quality.fit(edge_docs, labels.limit(0), F.lit(True))):
+        rows = quality.score(docs, model).collect()
+        assert len(rows) == docs.count()
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+        assert len({r["score"] for r in rows if r["doc_id"] == 8}) == 1
+    assert quality.score(no_docs.drop("score"), model).count() == 0
+
+
+def test_pooling():
+    assert quality.pooled(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 3.0, 1.0])).tolist() == [0.0, 0.25, 0.25, 1.0]
+
+
+def test_fold(spark):
+    got = spark.createDataFrame([(7,), (None,)], "doc_id long").select(fold("doc_id", 3)).collect()
+    assert [r[0] for r in got] == [zlib.crc32(b"7") % 3, 0]
+
+
+def test_license_notices(spark, edge_docs, no_docs):
+    mit = licenses.NOTICES[0].words.split()
+    broken = " ".join([*mit[:9], "kindly", *mit[9:20], *mit[22:]])
+    rows = [(1, "Word " + " ".join(mit).title()), (2, broken), (3, " ".join(mit[:8])), (4, "cc BY, cc by. All rights, reserved"), (5, "general public of public license")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(1, 6)] == ["mit", "mit", "", "cc-by,reserved", ""]
+    assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"], got[4]["base_labels"], got[4]["score"]) == (3, 0, 4, "cc-by,reserved", 1.0)
+    assert got[1]["n_base"] == 0 and got[1]["first_word"] is None and got[1]["score"] == 1.0 > got[2]["score"] > 0.6
+    edges = licenses.scan_licenses(edge_docs)
+    assert edges.count() == edge_docs.count()
+    assert edges.where("doc_id = 8 AND n_words = 30000").count() == 2
+    assert edges.where("doc_id IS NULL").first()["n_words"] == 5
+    assert edges.where("doc_id IN (3, 4, 5) AND n_words = 0 AND labels = ''").count() == 3
+    assert licenses.scan_licenses(no_docs).count() == 0
