@@ -32,6 +32,7 @@ from taxaflow.session import settle
 LEAST, MASK_BITS, MOST = 256, 10, 8192  # bytes of a chunk: least, power of the mean beyond it, most
 WINDOW = 16  # bytes the rolling hash sees
 GEAR = np.random.default_rng(1).integers(0, 2**32, 256, np.uint32)
+BROADCAST_OWNERS = 500_000  # documents that publish, a key and a few hashes each; beyond it their texts are shuffled
 REPAIR = 64  # bytes first looked at either side of a join
 SAFE = re.compile(rb"[\x21-\x7e](?=[ \n])")
 
@@ -172,11 +173,11 @@ def publish(path: str):
     """Function that encodes the chunks a document owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, opener = codec(path), zstandard.ZstdDecompressor()
+        coder = codec(path)
         for batch in batches:
             names, ids = [], []
-            for packed, owned in zip(batch.column("raw").to_pylist(), batch.column("owned").to_pylist(), strict=True):
-                raw, wanted = opener.decompress(packed), set(owned)
+            for text, owned in zip(batch.column("text").to_pylist(), batch.column("owned").to_pylist(), strict=True):
+                raw, wanted = text.encode(), set(owned)
                 bounds, hashes = chunks_of(raw)
                 for start, end, name in zip([0, *bounds], bounds, hashes, strict=False):
                     if name in wanted:
@@ -234,8 +235,9 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
     marks = shared_chunks(texts)
     kind = texts.schema["doc_id"].dataType.simpleString()
     packed = texts.mapInArrow(squeeze, f"doc_id {kind}, key long, raw binary")
-    owned = marks.where("owner").groupBy("key").agg(F.collect_list("chunk").alias("owned"))
-    published = packed.join(owned, "key").select("raw", "owned").mapInArrow(publish(path), "chunk long, ids binary")
+    owned = settle(marks.where("owner").groupBy("key").agg(F.collect_list("chunk").alias("owned")))
+    owned = F.broadcast(owned) if owned.count() <= BROADCAST_OWNERS else owned
+    published = texts.join(owned, "key").select("text", "owned").mapInArrow(publish(path), "chunk long, ids binary")
     taken = marks.join(published, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("ready"))
     ids = ", ids binary" if with_ids else ""
     rows = packed.join(taken, "key", "left").select("doc_id", "raw", "ready")
