@@ -17,9 +17,11 @@ FAILURE_MESSAGE = "%d / %d pipeline runs failed to index. See logs for more deta
 def expand_pairs(records: DataFrame) -> DataFrame:
     """All run/background pairs of each spec record, with their order.
 
-    ``records`` has ``record_no, pipeline_run_ids, background_ids``.
+    ``records`` has ``record_no, pipeline_run_ids, background_ids``. The runs of a record are dealt
+    out before each is paired, so one large record is not expanded by one task.
     """
     runs = records.select("record_no", "background_ids", F.posexplode("pipeline_run_ids").alias("run_pos", "pipeline_run_id"))
+    runs = runs.repartition("record_no", "run_pos")
     return runs.select(
         "record_no", "run_pos", "pipeline_run_id", F.posexplode("background_ids").alias("background_pos", "background_id")
     )
