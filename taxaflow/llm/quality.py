@@ -21,7 +21,8 @@ from taxaflow.llm.common import over_slices, strings, whole_text
 from taxaflow.session import settle
 
 FEATURES = 160
-RIDGE = 1e-3
+RIDGE = 1e-2
+WIDTH = 2.0  # of the Gaussian kernel, in standard deviations of a statistic and per root of their number
 SEED = 20
 GRID = 1000  # calibration cells per unit of raw score
 
@@ -87,7 +88,7 @@ class Model(NamedTuple):
 
 def frequencies(width: int = len(STATISTICS), features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
-    return draw.normal(0, 1 / math.sqrt(width), (width, features)), draw.uniform(0, 2 * math.pi, features)
+    return draw.normal(0, 1 / math.sqrt(width) / WIDTH, (width, features)), draw.uniform(0, 2 * math.pi, features)
 
 
 def fourier(rows: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
