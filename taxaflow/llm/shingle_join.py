@@ -2,13 +2,15 @@
 
 A document's set is its distinct k-word shingles. Sets are ordered by one order for the whole
 corpus, common shingles last, and two sets that are similar enough share a shingle of their prefixes.
-Documents of equal sets are one unit; units of equal prefix and size are one group. Groups that share
-prefix shingles are paired, and pairs that share too few of them to reach the threshold are dropped;
-what is left is expanded to units and verified on the whole sets.
+Documents of equal sets are one unit; units of equal prefix and size are one group. A group leaves a
+shingle's list if its shared prefix shingles are too few for every size in the list. Groups that share
+a prefix shingle early enough are paired, and pairs whose prefixes share too little to reach the
+threshold are dropped; what is left is expanded to units and verified on the whole sets.
 
 Large clusters of near copies would give all pairs of their members, so pairs are made in two steps.
-First every group is compared with one leader only, chosen among the groups it shares most prefix
-shingles with, and every unit with the first of its group. Then pairs are made only between groups
+First every group is compared with a few leaders of the lists it is in, those it shares most prefix
+shingles with, and every unit with the first of its group. Leaders have few shingles of their own, so
+they are the likeliest links of a cluster. Then pairs are made only between groups
 not yet connected, where one side is not the list's main component. Both steps verify links; what
 the second leaves out are pairs inside a component, which cannot change the components.
 """
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 
 from taxaflow.llm.common import slices, whole_text
 from taxaflow.llm.components import components
-from taxaflow.session import settle
+from taxaflow.session import new_shared_path, settle
 
-COMMON_SHINGLES = 65_536  # shingles known as common; others count as rare, which affects speed only
+COMMON_SHINGLES = 262_144  # shingles known as common; others count as rare, which affects speed only
 COMMON_REPEATS = 3  # repeats in one task's run that make a shingle a candidate for that
 RUN_SHINGLES = 2_000_000
-BROADCAST_ROWS = 1_000_000  # ids, 8 bytes each
+BROADCAST_ROWS = 500_000  # ids and digests, 24 bytes each
+LEADERS = 12  # of a list of groups, each the one with most shared prefix shingles in its share of them; also the most for a group
 
 _draw = np.random.default_rng(9)
 FOLD = np.arange(256, dtype=np.uint8)
@@ -91,10 +94,11 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 def frequent(k: int):
-    """Function that emits the shingles which repeat among a run of documents, with their documents."""
+    """Function that emits the shingles which repeat among the different sets of a run of documents."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
+        different = {s.tobytes() for s in sets}
+        shingles, counts = np.unique(np.frombuffer(b"".join(different), np.uint64), return_counts=True)
         often = counts >= COMMON_REPEATS
         return pa.RecordBatch.from_arrays([signed(shingles[often]), pa.array(counts[often], pa.int64())], names=["shingle", "n"])
 
@@ -188,6 +192,19 @@ def fitting(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def overlap(n: Column, m: Column, percent: int) -> Column:
+    """Least intersection of sets of these sizes that are similar enough."""
+    return F.ceil((n + m) * percent / (100 + percent) - 1e-6)
+
+
+def early(place: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether the place in a set of size n is one of those where it must meet a partner of size m.
+
+    Of the places beyond, there are fewer than the least intersection.
+    """
+    return place <= n - overlap(n, m, percent)
+
+
 def enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     """Whether sets that share so many prefix shingles can be similar enough.
 
@@ -195,15 +212,54 @@ def enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     have, so beyond it only its own rest can be shared.
     """
     rest = F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) - 1
-    return shared + rest >= F.ceil((n + m) * percent / (100 + percent) - 1e-6)
+    return shared + rest >= overlap(n, m, percent)
+
 
+def hopeful(known: Column, n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Whether a set with so many shared prefix shingles can be similar enough to any of these sizes.
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of units whose sets are similar enough, as a settled table of links."""
+    The shared prefix shingles that a partner of size m asks for are more than
+    ``(n + m) * p / (100 + p) - max(n, m) * p / 100``, which is least at one end of the sizes.
+    """
+
+    def asked(m: Column) -> Column:
+        return (n + m) * percent / (100 + percent) - F.greatest(n, m) * percent / 100
+
+    smallest, largest = F.greatest(low, n * percent / 100), F.least(high, n * 100 / percent)
+    return known > F.least(asked(smallest), asked(largest)) - 1e-6
+
+
+def verified(pairs: DataFrame, texts: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of units whose whole sets are similar enough, as a settled table of links."""
     pairs = settle(pairs)
+    ids = pairs.select(F.col("a").alias("unit")).union(pairs.select(F.col("b").alias("unit"))).distinct()
+    sets = gather(texts, settle(units.join(ids, "unit", "left_semi").select("unit", "digest")), k)
     left = sets.select(F.col("unit").alias("a"), F.col("hashes").alias("a_hashes"))
     right = sets.select(F.col("unit").alias("b"), F.col("hashes").alias("b_hashes"))
-    return settle(pairs.join(left, "a").join(right, "b").mapInArrow(compare(percent), "a long, b long"))
+    links = pairs.join(left, "a").join(right, "b").mapInArrow(compare(percent), "a long, b long")
+    return settle(links.distinct())
+
+
+def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (g, h) of groups whose prefixes share enough; the wanted groups are broadcast while they are few."""
+    pairs = settle(pairs)
+    ids = settle(pairs.select(F.col("g").alias("grp")).union(pairs.select(F.col("h").alias("grp"))).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    prefixes = settle(rows.join(ids, "grp", "left_semi").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    left = prefixes.select(F.col("grp").alias("g"), F.struct("n", "prefix").alias("x"))
+    right = prefixes.select(F.col("grp").alias("h"), F.struct("n", "prefix").alias("y"))
+    n, m = F.col("x.n"), F.col("y.n")
+    shared = F.size(F.array_intersect("x.prefix", "y.prefix"))
+    return pairs.join(left, "g").join(right, "h").where(fitting(n, m, percent) & enough(shared, n, m, percent)).select("g", "h")
+
+
+def gather(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Whole shingle sets of the wanted units; their ids are broadcast while they are few."""
+    few = wanted.count() <= BROADCAST_ROWS
+    asked = F.broadcast(wanted) if few else wanted
+    found = texts.join(asked.select(F.col("unit").alias("doc_id")), "doc_id", "left_semi")
+    found = found.mapInArrow(hash_sets(k), "unit long, digest binary, hashes binary")
+    return settle(found.join(asked, ["unit", "digest"]).select("unit", "hashes"))
 
 
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
@@ -213,6 +269,13 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     return rows.column("shingle").to_numpy()[::-1].view(np.uint64)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, which is smaller there than a checkpoint."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: the size of its shingle set and its component.
 
@@ -223,29 +286,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     common = common_shingles(texts, k)
-    rows = settle(texts.mapInArrow(describe(k, percent, common), "doc_id long, n long, digest binary, grp long, prefix array<long>"))
+    rows = written(texts.mapInArrow(describe(k, percent, common), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "sets")
     units = settle(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("unit"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("unit IS NOT NULL"))
 
-    postings = rows.where("n > 0").select(F.explode("prefix").alias("shingle"), "grp", "n")
-    shared = postings.groupBy("shingle").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("shingle")
-    postings = settle(postings.join(settle(shared), "shingle").groupBy("shingle", "grp", "n").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
+    postings = rows.where("n > 0").select(F.posexplode("prefix").alias("place", "shingle"), "grp", "n")
+    shared = postings.groupBy("shingle").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = settle(shared.where("least <> most").select("shingle", "low", "high"))
+    postings = postings.join(shared, "shingle").groupBy("shingle", "grp", "n", "place", "low", "high").agg(F.count(F.lit(1)).alias("copies")).drop("copies")
+    postings = written(postings, "postings")
+    known = settle(postings.groupBy("grp").agg(F.count(F.lit(1)).alias("known")))
+    hope = hopeful(F.col("known"), F.col("n"), F.col("low"), F.col("high"), percent)
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    postings = postings.join(known, "grp").where(hope & early(F.col("place"), F.col("n"), smallest, percent)).drop("low", "high")
+    postings = written(postings, "postings")
 
     many = units.groupBy("grp").agg(F.min("unit").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("units"))
     many = settle(many)
-    wanted = units.join(postings.select("grp").union(many.where("units > 1").select("grp")).distinct(), "grp").select("unit", "digest")
-    sets = gather(texts, settle(wanted), k)
 
-    # One leader for every group, one for every unit of a group.
+    # A few leaders for every group, the first unit for every other unit of a group.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
     banded = postings.withColumn("band", band)
-    leaders = settle(banded.groupBy("shingle", "band").agg(F.min("grp").alias("leader"), F.max("grp").alias("last")).where("leader <> last").drop("last"))
-    votes = banded.join(leaders, ["shingle", "band"]).where("grp <> leader").groupBy("grp", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("grp").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"), F.max("votes").alias("votes"))
-    own = many.select("grp", F.col("first").alias("a"), F.col("n").alias("an"))
-    led = best.join(own, "grp").join(many.select(F.col("grp").alias("leader"), F.col("first").alias("b"), F.col("n").alias("bn")), "leader")
-    led = led.where(enough(F.col("votes"), F.col("an"), F.col("bn"), percent)).select("a", "b")
+    drawn = [F.max(F.when(F.pmod(F.xxhash64("grp"), F.lit(LEADERS)) == turn, F.struct("known", "grp")))["grp"] for turn in range(LEADERS)]
+    lead = F.array_compact(F.array(*drawn))
+    leaders = settle(banded.groupBy("shingle", "band").agg(lead.alias("leaders"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"))
+    votes = banded.join(leaders, ["shingle", "band"]).select("grp", F.explode("leaders").alias("leader")).where("grp <> leader")
+    votes = votes.groupBy("grp", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    led = votes.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), False), 1, LEADERS).alias("best"))
+    led = led.select("grp", F.explode("best.leader").alias("leader")).select(F.least("grp", "leader").alias("g"), F.greatest("grp", "leader").alias("h"))
+    firsts = many.select("grp", "first")
+    led = promising(led.distinct(), rows, percent).join(firsts.select(F.col("grp").alias("g"), F.col("first").alias("a")), "g")
+    led = led.join(firsts.select(F.col("grp").alias("h"), F.col("first").alias("b")), "h").select("a", "b")
     inside = units.join(many.where("units > 1"), "grp").where("unit <> first").select(F.col("unit").alias("a"), F.col("first").alias("b"))
-    links = verified(led.union(inside), sets, percent)
+    links = verified(led.union(inside), texts, units, k, percent)
     joined = components(links)
 
     # Pairs between what is not connected yet.
@@ -258,18 +330,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     main = per_side.groupBy("shingle").agg(F.max(F.struct("groups", "side")).alias("main"), F.count(F.lit(1)).alias("sides")).where("sides > 1")
     main = settle(main.select("shingle", F.col("main.side").alias("main")))
     sided = settle(sided.join(main, "shingle"))
-    minor = sided.where(~F.col("side").eqNullSafe(F.col("main"))).select("shingle", F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("side").alias("g_side"))
-    other = sided.select("shingle", F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("side").alias("h_side"), F.col("side").eqNullSafe(F.col("main")).alias("in_main"))
-    apart = ~F.col("g_side").eqNullSafe(F.col("h_side")) & (F.col("in_main") | (F.col("g") < F.col("h"))) & fitting(F.col("gn"), F.col("hn"), percent)
-    pairs = minor.join(other, "shingle").where(apart)
-    pairs = pairs.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.when(F.col("g") < F.col("h"), F.col("gn")).otherwise(F.col("hn")).alias("gn"), F.when(F.col("g") < F.col("h"), F.col("hn")).otherwise(F.col("gn")).alias("hn"))
-    pairs = pairs.groupBy("g", "h", "gn", "hn").agg(F.count(F.lit(1)).alias("shared")).where(enough(F.col("shared"), F.col("gn"), F.col("hn"), percent))
+    kept = [F.col(c) for c in ("n", "place", "known", "side")]
+    minor = sided.where(~F.col("side").eqNullSafe(F.col("main"))).select("shingle", F.col("grp").alias("g"), F.struct(*kept).alias("x"))
+    other = sided.select("shingle", F.col("grp").alias("h"), F.struct(*kept).alias("y"), F.col("side").eqNullSafe(F.col("main")).alias("in_main"))
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = ~F.col("x.side").eqNullSafe(F.col("y.side")) & (F.col("in_main") | (F.col("g") < F.col("h"))) & fitting(n, m, percent)
+    apart = apart & early(F.col("x.place"), n, m, percent) & early(F.col("y.place"), m, n, percent)
+    apart = apart & enough(F.least("x.known", "y.known"), n, m, percent)
+    pairs = minor.join(other, "shingle").where(apart).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    pairs = settle(promising(pairs, rows, percent))
     left = placed.select(F.col("grp").alias("g"), F.col("unit").alias("a"), F.col("component").alias("a_component"))
     right = placed.select(F.col("grp").alias("h"), F.col("unit").alias("b"), F.col("component").alias("b_component"))
     across = pairs.join(left, "g").join(right, "h").where("a_component <> b_component").select("a", "b")
     within = groups.where("side.split IS NOT NULL").select(F.col("grp").alias("g"))
     within = within.join(left, "g").join(right, F.col("g") == F.col("h")).where("a_component <> b_component AND a < b").select("a", "b")
-    more = verified(across.union(within), sets, percent)
+    more = verified(across.union(within), texts, units, k, percent)
     joined = components(links.union(more))
 
     by_set = units.join(joined, units["unit"] == joined["node"], "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
@@ -278,10 +353,3 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(empty)
 
-
-def gather(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the wanted units; their ids are broadcast while they are few."""
-    ids = wanted.select(F.col("unit").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    found = texts.join(ids, "doc_id", "left_semi").mapInArrow(hash_sets(k), "unit long, digest binary, hashes binary")
-    return settle(found.join(wanted, ["unit", "digest"]).dropDuplicates(["unit", "digest"]).select("unit", "hashes"))
