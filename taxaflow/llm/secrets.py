@@ -3,7 +3,8 @@
 Random strings encode badly: a vocabulary made from text gives them few characters per token. Runs of
 key-like characters that mix letters and digits are encoded, and those under the threshold are
 spans of kind ``random``, unless they have the form of a known digest or identifier or lie in a span
-already found. Spans are code points, end exclusive.
+already found. In a run over the threshold the pieces between its signs are looked at, so that words
+glued to a random string do not hide it. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ASSIGN_VALUE, ACCESS_SPAN = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{2}){16,64}")
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+")
+PIECE = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20
 CHARS_PER_TOKEN = 2.0
 
 
@@ -38,6 +41,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def low_stretches(run: str, encoding, ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of a run's pieces that are long enough and under the ratio.
+
+    A piece scores the characters it lacks at the ratio; numbers only lose, signs count nothing. All
+    maximal stretches of the scores are found (Ruzzo and Tompa), so a piece under the ratio is always
+    in one, whatever stands around it.
+    """
+    total, kept = 0.0, []  # score before and behind the stretch, its start and end, the last one that began lower
+    for m in PIECE.finditer(run):
+        piece, before = m[0], total
+        total += -len(piece) if piece.isdigit() else ratio * len(encoding.encode_ordinary(piece)) - len(piece)
+        if total <= before:
+            continue
+        low, start = before, m.start()
+        while True:
+            at = len(kept) - 1
+            while at >= 0 and kept[at][0] >= low:
+                at = kept[at][4]
+            if at < 0 or kept[at][1] >= total:
+                break
+            low, start = kept[at][0], kept[at][2]
+            del kept[at:]
+        kept.append((low, total, start, m.end(), at))
+    return ((start, end) for _, _, start, end, _ in kept if end - start >= LEAST)
+
+
 def random_spans(text: str, found: list[tuple[str, int, int]], encoding, ratio: float) -> Iterator[tuple[str, int, int]]:
     for m in CANDIDATE.finditer(text):
         run = m[0]
@@ -45,6 +74,9 @@ def random_spans(text: str, found: list[tuple[str, int, int]], encoding, ratio:
             continue
         if len(run) < ratio * len(encoding.encode_ordinary(run)):
             yield "random", m.start(), m.end()
+        else:
+            for start, end in low_stretches(run, encoding, ratio):
+                yield "random", m.start() + start, m.start() + end
 
 
 def scan(path: str, ratio: float):

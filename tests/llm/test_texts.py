@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.llm import languages, length_histogram, licenses, quality, queries, secrets
 from taxaflow.llm.common import fold
-from taxaflow.llm.vocabulary import tokenizer_path
+from taxaflow.llm.vocabulary import rank_encoding, tokenizer_path
 
 DIRECTORY = "/root/testdata/sf0.01"
 
@@ -40,6 +42,35 @@ def test_secret_spans(spark, text, found):
     assert spans_of(spark, text) == found
 
 
+def covered_share(alphabet, length, before="", behind=""):
+    """Share of random strings between the two texts that lie in spans as a whole."""
+    draw, encoding, n = random.Random(11), rank_encoding(tokenizer_path("byte_bpe_50k.tiktoken")), 300
+    whole = 0
+    for _ in range(n):
+        text = f"see {before}{''.join(draw.choices(alphabet, k=length))}{behind} end"
+        start = 4 + len(before)
+        found = secrets.base_spans(text)
+        found += secrets.random_spans(text, found, encoding, secrets.CHARS_PER_TOKEN)
+        places = {i for _, s, e in found for i in range(max(s, start), min(e, start + length))}
+        whole += len(places) == length
+    return whole / n
+
+
+BASE62 = string.ascii_letters + string.digits
+
+
+@pytest.mark.parametrize("before", ["/services/hooks/production/incoming/", "/home/user/projects/application/config/credentials/", "https_proxy_authorization_bearer_header="])
+def test_secrets_glued_to_words(before):
+    assert covered_share(BASE62, 20, before) > 0.93
+    assert covered_share(BASE62, 32, before, "/messages/production") > 0.98
+    assert covered_share(BASE62 + "+/", 40, before) > 0.9
+
+
+@pytest.mark.parametrize("text", ["/home/user/projects/application/config/credentials/version2/notes", "/archive/2021/03/14/15/26/53/the-title-of-an-article-about-nothing"])
+def test_plain_paths_are_no_secrets(spark, text):
+    assert spans_of(spark, text) == []
+
+
 def test_secret_query_over_whole_table(spark):
     kinds = {
         "assign": (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, re.I | re.A, 1),
