@@ -1,14 +1,15 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Random strings encode badly: a vocabulary made from text gives them few characters per token. Runs of
-key-like characters that mix letters and digits are encoded, and those under the threshold are
-spans of kind ``random``, unless they have the form of a known digest or identifier or lie in a span
-already found. In a run over the threshold the pieces between its signs are looked at, so that words
+key-like characters are encoded, or what the patterns leave of them, and those that mix letters and
+digits and are under the threshold are spans of kind ``random``, unless they have the form of a known
+digest or identifier. In other runs the pieces between signs are looked at, so that words
 glued to a random string do not hide it. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more
 ASSIGN_VALUE, ACCESS_SPAN = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGEST = re.compile(r"(?:[0-9a-fA-F]{2}){16,64}")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+")
+HEX_DIGITS = "|".join(f"[0-9a-fA-F]{{{n}}}" for n in (32, 40, 56, 64, 96, 128))
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|{HEX_DIGITS})(?![A-Za-z0-9])")  # identifiers and digests
+UNMIXED = re.compile(r"[0-9+/_=-]+|[A-Za-z+/_=-]+")
 PIECE = re.compile(r"[A-Za-z0-9]+")
 LEAST = 20
 CHARS_PER_TOKEN = 2.0
@@ -67,16 +69,31 @@ def low_stretches(run: str, encoding, ratio: float) -> Iterator[tuple[int, int]]
     return ((start, end) for _, _, start, end, _ in kept if end - start >= LEAST)
 
 
+def rests(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans in order leave of a run, where it is long enough."""
+    for s, e in [*taken, (end, end)]:
+        if s - start >= LEAST:
+            yield start, s
+        start = max(start, e)
+
+
 def random_spans(text: str, found: list[tuple[str, int, int]], encoding, ratio: float) -> Iterator[tuple[str, int, int]]:
+    spans, at = sorted((s, e) for _, s, e in found), 0
+    reach = list(itertools.accumulate((e for _, e in spans), max))
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or any(s < m.end() and m.start() < e for _, s, e in found):
-            continue
-        if len(run) < ratio * len(encoding.encode_ordinary(run)):
-            yield "random", m.start(), m.end()
-        else:
-            for start, end in low_stretches(run, encoding, ratio):
-                yield "random", m.start() + start, m.start() + end
+        while at < len(spans) and reach[at] <= m.start():
+            at += 1
+        last = at
+        while last < len(spans) and spans[last][0] < m.end():
+            last += 1
+        for start, end in rests(*m.span(), spans[at:last]):
+            run = text[start:end]
+            if not UNMIXED.fullmatch(run) and not KNOWN.fullmatch(run) and len(run) < ratio * len(encoding.encode_ordinary(run)):
+                yield "random", start, end
+                continue
+            for s, e in rests(0, len(run), [k.span() for k in KNOWN.finditer(run)]):
+                for low, high in low_stretches(run[s:e], encoding, ratio):
+                    yield "random", start + s + low, start + s + high
 
 
 def scan(path: str, ratio: float):
