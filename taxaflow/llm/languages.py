@@ -2,8 +2,8 @@
 
 A profile is the ranking of the most frequent 1- to 3-grams over letters, with one blank for any run
 of other characters. A text takes the language whose profile its own ranking is least out of place
-with. Profiles are learned from a sample of the training rows whose expected size per language is an
-argument; every text is judged whole.
+with. Profiles are learned from a sample of the different training texts whose size per language is
+an argument; every text is judged whole.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaflow.llm.common import over_slices, strings, whole_text
+from taxaflow.session import settle
 
 PROFILE_GRAMS = 400
-TRAIN_ROWS = 4000  # expected training rows per language
+TRAIN_ROWS = 4000  # most training texts per language
 UNKNOWN = "und"
 BLANK = 32
+LEAST_HASH, MOST_HASH = -(1 << 63), (1 << 63) - 1
 
 
 class Profiles(NamedTuple):
@@ -75,19 +77,39 @@ def count_grams(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def hash_cuts(hashes: DataFrame, found: dict[str, int], rows: int) -> dict[str, int]:
+    """Per language of ``found``, the hash of its ``rows``-th text by hash, or the largest one.
+
+    ``hashes`` has the different (lang, hash) and ``found`` their number. Hashes are ranked only
+    up to where about twice ``rows`` are expected, further up while that is too few.
+    """
+    cuts = dict.fromkeys(found, MOST_HASH)
+    asked = {lang: 2 * rows + 64 for lang, n in found.items() if n > rows}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    while asked:
+        tried = F.create_map(*(F.lit(x) for lang, n in asked.items() for x in (lang, min(MOST_HASH, LEAST_HASH + (n << 64) // found[lang]))))
+        ranked = hashes.where(F.col("hash") <= F.element_at(tried, F.col("lang"))).withColumn("rank", rank)
+        for r in ranked.where(F.col("rank") == rows).collect():
+            cuts[r["lang"]] = r["hash"]
+            del asked[r["lang"]]
+        asked = {lang: 4 * n for lang, n in asked.items()}
+    return cuts
+
+
 def learn_profiles(docs: DataFrame, train: Column, *, rows: int = TRAIN_ROWS, size: int = PROFILE_GRAMS) -> Profiles:
     """Profiles of the languages of the rows that ``train`` marks.
 
-    A language with more than ``rows`` such rows is learned from about ``rows`` of them, chosen by a
-    hash of the text. The result holds ``size`` n-grams per language.
+    Copies of a text count once per language. A language with more than ``rows`` different texts is
+    learned from those with the ``rows`` least hashes. The result holds ``size`` n-grams per language.
     """
     rows_of = docs.select(train.alias("train"), "lang", whole_text("text").alias("text")).where("train AND lang IS NOT NULL")
-    found = {r["lang"]: r["n"] for r in rows_of.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows_of = rows_of.select("lang", "text", F.xxhash64("text").alias("hash"))
+    hashes = settle(rows_of.select("lang", "hash").distinct())
+    found = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
-    parts = 1 << 20
-    share = F.create_map(*(F.lit(x) for lang, n in found.items() for x in (lang, -(-parts * rows // n))))
-    sample = rows_of.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    cuts = F.create_map(*(F.lit(x) for item in hash_cuts(hashes, found, rows).items() for x in item))
+    sample = rows_of.where(F.col("hash") <= F.element_at(cuts, F.col("lang"))).select("lang", "text").distinct()
     counts = sample.mapInArrow(over_slices(count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= size).collect()

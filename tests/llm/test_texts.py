@@ -156,6 +156,30 @@ def test_language_edges(spark, edge_docs, no_docs):
     assert languages.learn_profiles(edge_docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).languages == []
 
 
+def test_languages_learn_from_different_texts(spark):
+    texts = [f"uva pera limon manzana {word}" for word in ("roja", "verde", "dulce", "fresca", "madura", "amarga", "seca", "grande")]
+    docs = spark.createDataFrame([("es", t) for t in texts], "lang string, text string")
+    copies = spark.range(10_000).select(F.lit("en").alias("lang"), F.lit("apple plum cherry 0").alias("text"))
+    hashes = {r["text"]: r["hash"] for r in docs.select("text", F.xxhash64("text").alias("hash")).collect()}
+    least = sorted(texts, key=hashes.get)[:3]
+    docs = docs.unionByName(copies).union(spark.createDataFrame([("es", least[0])] * 500, "lang string, text string"))
+    profiles = languages.learn_profiles(docs, F.lit(True), rows=3)
+    assert profiles.languages == ["en", "es"] and (profiles.ranks >= 0).any(axis=1).all()
+    for lang, kept in (("en", ["apple plum cherry 0"]), ("es", least)):
+        grams, counts = np.unique(np.concatenate([languages.ngrams(t) for t in kept]), return_counts=True)
+        order = grams[np.argsort(-counts, kind="stable")[: profiles.size]]
+        ranks = profiles.ranks[profiles.languages.index(lang)]
+        assert [ranks[np.searchsorted(profiles.grams, g)] for g in order] == list(range(len(order)))
+        assert (ranks >= 0).sum() == len(order)
+    got = languages.identify(copies.limit(1).withColumn("doc_id", F.lit(1)), profiles).first()
+    assert got["lang_pred"] == "en"
+
+
+def test_hash_cuts_reach_further(spark):
+    hashes = spark.createDataFrame([("x", languages.MOST_HASH - i) for i in range(400)] + [("y", 5)], "lang string, hash long")
+    assert languages.hash_cuts(hashes, {"x": 400, "y": 1}, 10) == {"x": languages.MOST_HASH - 390, "y": languages.MOST_HASH}
+
+
 def test_out_of_place_distance():
     profiles = languages.Profiles(["x", "y"], np.array([1, 2, 3]), np.array([[0, 1, -1], [-1, 0, 1]]), 4)
     assert languages.distances(profiles, np.array([1, 2])).tolist() == [0.0, (4 + 1) / 8]
