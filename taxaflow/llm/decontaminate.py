@@ -28,8 +28,8 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def test_items(benchmark: DataFrame) -> DataFrame:
-    """Items with words: id, words, and the length of their windows. Items with a null id are left out."""
-    items = benchmark.select("item_id", ascii_words(whole_text("text")).alias("item_words")).where("item_id IS NOT NULL AND size(item_words) > 0")
+    """Items with words: id, words, and the length of their windows."""
+    items = benchmark.select("item_id", ascii_words(whole_text("text")).alias("item_words")).where("size(item_words) > 0")
     items = items.dropDuplicates().withColumn("item", F.xxhash64("item_id", "item_words"))
     return items.withColumn("length", F.least(F.size("item_words"), F.lit(WINDOW)))
 
@@ -113,12 +113,18 @@ def covered(found: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(found)), start, step, lambda done: done["words"])
 
 
+def ids_of(hits: Column) -> Column:
+    """The different ids of the hits in order, without nulls."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(hits, lambda h: h["item_id"]))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame:
     """Per document: words, hit words, items with an occurring window, and near items.
 
     Columns ``doc_id``, ``text_hash``, ``n_words``, ``n_hit``, ``items`` (sorted as strings),
     ``near_items`` and ``spans`` (from, to). A null or empty text has no words and no hits. Rows that
     repeat an id and text get the same result each. An empty benchmark leaves every document clean.
+    Items with a null id give hits and spans, but no entry in ``items`` and ``near_items``.
     """
     keys = ["doc_id", "text_hash"]
     texts = docs.select("doc_id", whole_text("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -140,7 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataF
         *keys,
         "n_words",
         covered(found).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform(occurring, lambda h: h["item_id"]))).alias("items"),
-        F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: h["near"]), lambda h: h["item_id"]))).alias("near_items"),
+        ids_of(occurring).alias("items"),
+        ids_of(F.filter("hits", lambda h: h["near"])).alias("near_items"),
         F.array_sort(F.array_distinct(found)).alias("spans"),
     )

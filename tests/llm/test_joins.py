@@ -46,6 +46,13 @@ def test_leaks_against_brute_force(spark, edge_docs):
     assert got == sorted((str(i), *brute_leaks(t, [x for x in items if x[0] is not None])) for i, t in rows)
 
 
+def test_items_without_an_id_are_hits(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "c d"), (3, "x y")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "b c"), (None, "d e"), (7, "c d")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["near_items"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {1: (4, ["7"], ["7"]), 2: (2, ["7"], ["7"]), 3: (0, [], [])}
+
+
 def test_near_matches(spark):
     item = "one two three four five six seven eight nine ten eleven"
     rows = [(1, "zero one two three four six five seven eight nine ten end"), (2, item), (3, "ten nine one two"), (4, "one two three four five extra six seven eight nine ten")]

@@ -68,6 +68,12 @@ def test_later_stages_against_brute_force(spark, stages):
     assert {r["doc_id"]: (bytes(r["ids"]), r["ids_sha256"]) for r in tokens.collect()} == {i: (x, hashlib.sha256(x).hexdigest()) for i, x in ids.items()}
 
 
+def test_items_without_an_id_drop_documents(spark, tmp_path):
+    spark.createDataFrame([(None, "b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c b"), (None, "b c")], "doc_id long, text string")
+    assert texts(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))) == {2: "c b"}
+
+
 def test_run_is_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, DIRECTORY).select("doc_id", "ids_sha256")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].select("doc_id", "ids_sha256").collect()))
