@@ -32,15 +32,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate component, that with the least id.
 
-    Rows that repeat an id are one document, of which one row stays; rows with a null id stay.
+    Rows equal in id and text are one document, of which one row stays; rows that repeat an id with
+    another text are other documents. A null id comes after all others.
     """
     own = docs.columns
-    found = shingle_join.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    once = known.groupBy("doc_id").agg(F.min(F.struct(*(c for c in own if c != "doc_id"))).alias("row"))
-    once = once.select(*(F.col(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in own))
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), F.struct(*own).alias("row"))
+    found = shingle_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    found = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    ids = keyed.select("key", F.col("row.doc_id").alias("id")).distinct()
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key"))["key"]
+    kept = ids.join(found, "key").groupBy("component").agg(least.alias("key")).select("key")
+    once = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return once.select(*(F.col("row")[c].alias(c) for c in own))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,16 @@ def test_later_stages_against_brute_force(spark, stages):
     assert {r["doc_id"]: (bytes(r["ids"]), r["ids_sha256"]) for r in tokens.collect()} == {i: (x, hashlib.sha256(x).hexdigest()) for i, x in ids.items()}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(60)) for name in ("one", "two", "three", "four"))
+    rows = [(5, one), (5, two), (5, two), (9, two + " end"), (None, three), (None, three), (None, three + " end"), (None, four), (8, four), (None, one), (None, ""), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, key long")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, DIRECTORY)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in got.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(5, one), (5, two), (None, three), (8, four), (None, ""), (7, "")]))
+
+
 def test_items_without_an_id_drop_documents(spark, tmp_path):
     spark.createDataFrame([(None, "b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, "a b c d"), (2, "c b"), (None, "b c")], "doc_id long, text string")
