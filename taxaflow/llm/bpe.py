@@ -216,11 +216,28 @@ def encode_rows(path: str, with_ids: bool):
 
 
 def shared_chunks(docs: DataFrame) -> DataFrame:
-    """Rows (key, chunk, owner) of chunks that several documents hold; ``owner`` marks the one that publishes."""
+    """Rows (key, chunk, owner, copies) of chunks that several documents hold, one per key and chunk.
+
+    ``owner`` marks the document that publishes, ``copies`` counts the rows that repeat the key.
+    """
     chunks = docs.select("key", "text").mapInArrow(cut, "key long, chunk long")
     owners = chunks.groupBy("chunk").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") != F.col("last"))
     owners = settle(owners.select("chunk", "first"))
-    return settle(chunks.join(owners, "chunk").select("key", "chunk", (F.col("key") == F.col("first")).alias("owner")))
+    marks = chunks.join(owners, "chunk").groupBy("key", "chunk", (F.col("key") == F.col("first")).alias("owner"))
+    return settle(marks.agg(F.count(F.lit(1)).alias("copies")))
+
+
+def ready_chunks(texts: DataFrame, marks: DataFrame, path: str) -> DataFrame:
+    """Per key, the ids of the chunks it shares, each chunk once."""
+    owned = settle(marks.where("owner").groupBy("key").agg(F.collect_list("chunk").alias("owned"), F.max("copies").alias("copies")))
+    few = owned.count() <= BROADCAST_OWNERS
+    once, repeated = (owned.where(c).drop("copies") for c in ("copies = 1", "copies > 1"))
+    published = texts.join(F.broadcast(once) if few else once, "key").select("text", "owned")
+    if repeated.limit(1).count():
+        copies = texts.join(F.broadcast(repeated) if few else repeated, "key", "left_semi").select("key", "text")
+        published = published.union(copies.dropDuplicates(["key"]).join(repeated, "key").select("text", "owned"))
+    published = published.mapInArrow(publish(path), "chunk long, ids binary")
+    return marks.join(published, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("ready"))
 
 
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -235,10 +252,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
     marks = shared_chunks(texts)
     kind = texts.schema["doc_id"].dataType.simpleString()
     packed = texts.mapInArrow(squeeze, f"doc_id {kind}, key long, raw binary")
-    owned = settle(marks.where("owner").groupBy("key").agg(F.collect_list("chunk").alias("owned")))
-    owned = F.broadcast(owned) if owned.count() <= BROADCAST_OWNERS else owned
-    published = texts.join(owned, "key").select("text", "owned").mapInArrow(publish(path), "chunk long, ids binary")
-    taken = marks.join(published, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("ready"))
+    taken = ready_chunks(texts, marks, path)
     ids = ", ids binary" if with_ids else ""
     rows = packed.join(taken, "key", "left").select("doc_id", "raw", "ready")
     return rows.mapInArrow(encode_rows(path, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")

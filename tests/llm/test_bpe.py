@@ -68,6 +68,23 @@ def test_shared_passages(spark, library):
     assert texts == set(rows)
 
 
+@pytest.mark.parametrize("owners", [bpe.BROADCAST_OWNERS, 0])
+def test_repeated_rows_share_each_chunk_once(spark, library, monkeypatch, owners):
+    monkeypatch.setattr(bpe, "BROADCAST_OWNERS", owners)
+    draw = random.Random(12)
+    passage = " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(2000))
+    rows = [(i, f"{i} {passage} {i}") for i in (1, 2)]
+    docs = spark.createDataFrame(rows * 20 + [(3, f"3 {passage} 3")], "doc_id long, text string")
+    for key in (docs["doc_id"], -docs["doc_id"]):
+        keyed = docs.withColumn("key", key)
+        marks = bpe.shared_chunks(keyed)
+        assert marks.count() == marks.select("key", "chunk").distinct().count() > 5
+        ready = {r["key"]: [c["chunk"] for c in r["ready"]] for r in bpe.ready_chunks(keyed, marks, tokenizer_path()).collect()}
+        assert len(ready) == 3 and all(len(c) == len(set(c)) == marks.count() / 3 for c in ready.values())
+    got = sorted((r["doc_id"], r["ids_sha256"]) for r in bpe.encode(docs).collect())
+    assert got == sorted((r["doc_id"], expected(library, r["text"])[1]) for r in docs.collect())
+
+
 def test_edges(edge_docs, no_docs, library):
     rows = edge_docs.select("doc_id", "text").collect()
     got = sorted((str(r[0]), r[1], r[2], r[3]) for r in bpe.encode(edge_docs, with_ids=False).collect())
