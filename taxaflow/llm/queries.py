@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, decontaminate, languages, length_histogram, licenses, max_score, quality, secrets, shingle_join, url_rules
+from taxaflow.llm import (
+    bpe,
+    decontaminate,
+    languages,
+    length_histogram,
+    lexical,
+    licenses,
+    max_score,
+    personal_data,
+    quality,
+    resampling,
+    secrets,
+    shingle_join,
+    url_rules,
+)
 from taxaflow.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +236,95 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 @query(OP10_SQL)
 def op10_url_rules(spark: SparkSession, directory: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, directory, "pages"), RULES)
+
+
+@query()
+def op11_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, directory, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(personal_data.BASE))
+
+    def number(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in personal_data.BASE),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("found")).alias("spans"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents),
+crc(i, v) AS (
+  SELECT b, list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, b)
+  FROM range(0, 256) AS t(b)),
+sums AS (SELECT list(v ORDER BY i) AS steps FROM crc),
+terms AS (
+  SELECT DISTINCT w FROM (
+    SELECT unnest(words) AS w FROM d
+    UNION ALL
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark)),
+hashed AS (
+  SELECT w, CAST(xor(4294967295, list_reduce(range(0, octet_length(encode(w))), lambda c, k: xor(steps[xor(c & 255, CAST('0x' || substr(hex(w), 2 * k + 1, 2) AS BIGINT)) + 1], c >> 8), 4294967295)) % 10000 AS INTEGER) AS bucket
+  FROM terms, sums),
+source AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(words) AS w FROM d) JOIN hashed USING (w) GROUP BY bucket),
+target AS (
+  SELECT bucket, count(*) AS t
+  FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS big_s, (SELECT coalesce(sum(t), 0) FROM target) AS big_t),
+gains AS (
+  SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (big_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1.0::DOUBLE) * (big_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(0, 10000) AS r(b) LEFT JOIN source ON source.bucket = b LEFT JOIN target ON target.bucket = b, totals),
+means AS (
+  SELECT r, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n
+  FROM (SELECT r, unnest(words) AS w FROM d) JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+weights AS (
+  SELECT d.r, doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN means ON d.r = means.r),
+scores AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weights),
+ranked AS (
+  SELECT *, n_features >= 20 AS fits, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () AS n
+  FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN fits AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query(OP12_SQL)
+def op12_resampling(spark: SparkSession, directory: str) -> DataFrame:
+    return resampling.resample(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+asked AS (SELECT q, w, count(*) AS repeats FROM (SELECT q, unnest(words) AS w FROM i) GROUP BY ALL),
+sums AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(len(words)), 0) AS BIGINT) AS n_terms FROM d WHERE len(words) > 0),
+held AS (
+  SELECT r, w, count(*) AS tf
+  FROM (SELECT r, unnest(words) AS w FROM d) WHERE w IN (SELECT w FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM held, sums GROUP BY w, n_docs),
+sizes AS (SELECT r, doc_id, 75 + (25 * len(words) * n_docs) // n_terms AS m FROM d, sums WHERE len(words) > 0),
+scores AS (
+  SELECT q, r, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (w) JOIN weights USING (w) JOIN sizes USING (r) GROUP BY q, r),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scores JOIN sizes USING (r) JOIN i USING (q) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query(OP13_SQL)
+def op13_lexical(spark: SparkSession, directory: str) -> DataFrame:
+    return lexical.search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
