@@ -180,20 +180,25 @@ def fill_periods(
     by: Sequence[str] = ("metric", "dimension"),
     start: Column | None = None,
     end: Column | None = None,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """Every period in ``[start, end)`` for every dimension; missing ones get the given policy.
 
     Without bounds the range is that of all periods given, so none of them is lost. Bounds of the
-    caller can widen it, and periods outside them are kept as they are.
+    caller can widen it, and periods outside them are kept as they are. ``expected`` lists dimensions
+    that have all periods from their ``since`` on though they may never have reported.
     """
     bounds = periods.agg(F.min("window_start").alias("low"), F.max("window_start").alias("high")).first()
-    if bounds.low is None:
+    if bounds.low is None and (expected is None or start is None or end is None):
         return periods.drop("window_end")
     step = F.expr(f"INTERVAL '{period}'")
     low, high = F.lit(bounds.low).cast("timestamp_ntz"), F.lit(bounds.high).cast("timestamp_ntz")
     low = low if start is None else F.least(low, start)
     high = high if end is None else F.greatest(high, end - step)
     grid = periods.select(*by).distinct().withColumn("window_start", F.explode(F.sequence(low, high, step)))
+    if expected is not None:
+        due = expected.withColumn("window_start", F.explode(F.sequence(low, high, step))).filter(F.col("window_start") + step > F.col("since"))
+        grid = grid.unionByName(due.select(*by, "window_start")).distinct()
     return grid.join(periods.drop("window_end"), [*by, "window_start"], "left").withColumn(
         "breach", F.coalesce("breach", F.lit(missing_breaches))
     )
@@ -227,10 +232,11 @@ def missing_data_alarm(
     period: str = "1 day",
     start: Column | None = None,
     end: Column | None = None,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
-    """Daily maximum above the limit; a day without data breaches too."""
+    """Daily maximum above the limit; a day without data breaches too, also of an expected dimension that never reports."""
     breaches = threshold_alarm(points, threshold, "max", period)
-    return consecutive_alarm(fill_periods(breaches, period, True, start=start, end=end), 1)
+    return consecutive_alarm(fill_periods(breaches, period, True, start=start, end=end, expected=expected), 1)
 
 
 def alarm_transitions(states: DataFrame, ok_action: Column, by: Sequence[str] = ("metric", "dimension")) -> DataFrame:

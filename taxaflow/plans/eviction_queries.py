@@ -11,7 +11,7 @@ from taxaflow.plans import jobs
 from taxaflow.plans.registry import query
 from taxaflow.plans.scoring_queries import sql
 from taxaflow.session import new_shared_path
-from taxaflow.sources import sinks
+from taxaflow.sources import keyed_tables
 from taxaflow.sources.tables import Tables
 
 NOW = "TIMESTAMP_NTZ'1998-07-01 12:00:00'"
@@ -331,7 +331,7 @@ def evict(t: Tables) -> DataFrame:
     return result["index"]
 
 
-CYCLES, CYCLE_CAPACITY, CYCLE_RUNS = 3, 4, 3
+CYCLES, CYCLE_CAPACITY, CYCLE_RUNS, CYCLE_BUCKET = 3, 4, 3, 500
 
 
 def cycle_sql(c: int) -> str:
@@ -401,20 +401,21 @@ docs0 AS (SELECT pipeline_run_id, background_id FROM idx)""",
     )
 )
 def evict_cycles(t: Tables) -> DataFrame:
-    """Three eviction jobs, each fed with the tables the one before wrote: status, log and documents."""
+    """Three eviction jobs over the same tables: status index, task log and documents."""
     keys = ["pipeline_run_id", "background_id"]
-    index, tasks = src.index_documents(t), op.completed_tasks(src.completed_documents(t))
+    index, tasks, documents = (new_shared_path(t.spark, name) for name in ("index", "tasks", "documents"))
+    status = src.index_documents(t)
+    keyed_tables.upsert_table(t.spark, index, status, keys, bucket_rows=CYCLE_BUCKET)
+    keyed_tables.upsert_table(t.spark, tasks, op.completed_tasks(src.completed_documents(t)), jobs.TASK_KEY, jobs.TASK_KEY)
+    keyed_tables.upsert_table(t.spark, documents, status.select(*keys), keys, bucket_rows=CYCLE_BUCKET)
     running = op.running_tasks(src.running_listing(t)).filter("false")
-    documents = new_shared_path(t.spark, "documents")
-    sinks.upsert_table(t.spark, documents, index.select(*keys), keys, buckets=16)
     for cycle in range(CYCLES):
-        index_path, tasks_path = new_shared_path(t.spark, "index"), new_shared_path(t.spark, "tasks")
         jobs.evict_job(
-            t.spark, index, src.source_runs(t), running, tasks, documents, index_path, tasks_path, now(), str(cycle),
-            buckets=16, strict=False, concurrency=CYCLE_CAPACITY, runs_per_task=CYCLE_RUNS,
+            t.spark, src.source_runs(t), running, documents, index, tasks, now(), str(cycle),
+            strict=False, concurrency=CYCLE_CAPACITY, runs_per_task=CYCLE_RUNS,
         )
-        index, tasks = t.spark.read.parquet(index_path), t.spark.read.parquet(tasks_path)
-    left = t.spark.read.parquet(documents).select(*keys, F.lit(True).alias("has_documents"))
+    index, tasks = keyed_tables.read_table(t.spark, index), keyed_tables.read_table(t.spark, tasks)
+    left = keyed_tables.read_table(t.spark, documents).select(*keys, F.lit(True).alias("has_documents"))
     logged = tasks.select("deletion_task", F.lit(True).alias("logged"))
     rows = index.select(*keys, "is_complete", "deletion_task").join(left, keys, "full").join(logged, "deletion_task", "left")
     return rows.select(*keys, "is_complete", "deletion_task", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("logged", "has_documents")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from taxaflow.plans.scoring_queries import (
     sql,
 )
 from taxaflow.session import new_shared_path
-from taxaflow.sources import files, sinks
-from taxaflow.sources.tables import Tables, scan_table
+from taxaflow.sources import files, keyed_tables, sinks
+from taxaflow.sources.tables import Tables, key_bounds, range_predicates, scan_table
 
 NOW = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 EXECUTION_ARN = """concat('arn:aws:states:us-west-2:1:execution:', IF(user_id % 2 = 0, 'prod-main-1', 'dev-main-1'),
@@ -37,6 +39,14 @@ def scan_tables(t: Tables) -> DataFrame:
     return lineitem.filter("l_quantity >= 25").select("l_suppkey", "l_partkey", "l_returnflag", "l_quantity")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem")
+def scan_ranges(t: Tables) -> DataFrame:
+    """The table by the ranges that a relational scan would be split into, all of them together."""
+    predicates = range_predicates("l_suppkey", key_bounds(t.lineitem, "l_suppkey", 8), "l_orderkey", 2)
+    parts = [t.lineitem.filter(p).select("l_orderkey", "l_linenumber", "l_suppkey") for p in predicates]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query(sql(INDEX, select="SELECT background_id, pipeline_run_id FROM idx"))
 def scan_index(t: Tables) -> DataFrame:
     """Every status document; a table scan needs no paging."""
@@ -49,14 +59,26 @@ def list_objects(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT strftime(l_shipdate, '%Y-%m') AS version, l_returnflag AS index_version, 'sample-' || l_suppkey AS sample,
+    """SELECT 'flag=' || l_returnflag AS prefix, CAST(sum(length(l_orderkey || '-' || l_linenumber) + 1) AS BIGINT) AS bytes
+    FROM lineitem GROUP BY l_returnflag"""
+)
+def list_store(t: Tables) -> DataFrame:
+    """Objects written by prefix, then listed by tasks."""
+    root = new_shared_path(t.spark, "objects")
+    lines = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    lines.write.partitionBy("flag").text(root)
+    prefixes = [f"flag={r[0]}" for r in t.lineitem.select("l_returnflag").distinct().collect()]  # three flags
+    listed = files.list_store(t.spark, root, prefixes, ".txt")
+    return listed.groupBy(F.substring_index("key", "/", 1).alias("prefix")).agg(F.sum("size").alias("bytes"))
+
+
+SCORES = """SELECT strftime(l_shipdate, '%Y-%m') AS version, l_returnflag AS index_version, 'sample-' || l_suppkey AS sample,
         l_shipdate AS timestamp, CAST(l_quantity AS INTEGER) AS wall_seconds, l_extendedprice AS NT_aupr, l_tax AS NR_aupr
     FROM lineitem"""
-)
-def load_benchmarks(t: Tables) -> DataFrame:
-    """Scores written as CSV with a header and loaded back."""
-    path = new_shared_path(t.spark, "benchmarks")
-    t.lineitem.selectExpr(
+
+
+def _scores(lineitem: DataFrame) -> DataFrame:
+    return lineitem.selectExpr(
         "date_format(l_shipdate, 'yyyy-MM') AS version",
         "l_returnflag AS index_version",
         "concat('sample-', l_suppkey) AS sample",
@@ -64,10 +86,29 @@ def load_benchmarks(t: Tables) -> DataFrame:
         "CAST(l_quantity AS INT) AS wall_seconds",
         "l_extendedprice AS NT_aupr",
         "l_tax AS NR_aupr",
-    ).write.option("header", True).csv(path)
+    )
+
+
+@query(SCORES)
+def load_benchmarks(t: Tables) -> DataFrame:
+    """Scores written as CSV with a header and loaded back."""
+    path = new_shared_path(t.spark, "benchmarks")
+    _scores(t.lineitem).write.option("header", True).csv(path)
     return files.load_benchmarks(t.spark, path)
 
 
+@query(SCORES)
+def append_benchmarks(t: Tables) -> DataFrame:
+    """Two deliveries of scores, the first of them twice, and the table that holds them once."""
+    table, deliveries = new_shared_path(t.spark, "scores"), []
+    for half in ("l_linenumber % 2 = 0", "l_linenumber % 2 = 1"):
+        deliveries.append(new_shared_path(t.spark, "benchmarks"))
+        _scores(t.lineitem.filter(half)).write.option("header", True).csv(deliveries[-1])
+    for path in (*deliveries, deliveries[0]):
+        files.append_benchmarks(t.spark, path, table)
+    return keyed_tables.read_table(t.spark, table).drop("loaded_from")
+
+
 def _old_documents(t: Tables) -> DataFrame:
     """An earlier index state: one document per run and part class, scored 0."""
     return t.lineitem.selectExpr(
@@ -84,15 +125,15 @@ def _old_documents(t: Tables) -> DataFrame:
         SELECT 1 FROM new n WHERE n.pipeline_run_id = o.pipeline_run_id AND n.tax_id = o.tax_id)"""
 )
 def upsert_documents(t: Tables) -> DataFrame:
-    """Two upserts into a partitioned table, then its content."""
+    """Two upserts into a keyed table whose buckets split, then its content."""
     keys = ["pipeline_run_id", "tax_id"]
     new = t.lineitem.groupBy(F.col("l_suppkey").alias("pipeline_run_id"), (F.col("l_partkey") % 200).alias("tax_id")).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("counts")
     )
     path = new_shared_path(t.spark, "documents")
     for rows in (_old_documents(t), new):
-        sinks.upsert_table(t.spark, path, rows, keys, buckets=16)
-    return t.spark.read.parquet(path).select(*keys, "counts")
+        keyed_tables.upsert_table(t.spark, path, rows, keys, bucket_rows=2000)
+    return keyed_tables.read_table(t.spark, path).select(*keys, "counts")
 
 
 @query(
@@ -166,6 +207,35 @@ def archive_if_absent(t: Tables) -> DataFrame:
     return sinks.archive_if_absent(executions, archived, "prod-main-1", "prod")
 
 
+@query(
+    f"""WITH executions AS (
+        SELECT {EXECUTION_ARN.replace("IF(user_id % 2 = 0, 'prod-main-1', 'dev-main-1')",
+            "CASE WHEN user_id % 2 = 0 THEN 'prod-main-1' ELSE 'dev-main-1' END").replace(
+            "IF(user_id % 3 = 0, ':prod-', ':test-')", "CASE WHEN user_id % 3 = 0 THEN ':prod-' ELSE ':test-' END")} AS execution_arn,
+            event_type, user_id FROM events WHERE user_id % 2 = 0 AND user_id % 3 = 0)
+    SELECT execution_arn, 'description' AS kind, 's3://out/' || user_id || '/sfn-desc/' || execution_arn AS path,
+        CASE WHEN event_type = 'click' THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status, CAST(NULL AS INTEGER) AS events FROM executions
+    UNION ALL
+    SELECT execution_arn, 'history', 's3://out/' || user_id || '/sfn-hist/' || execution_arn, NULL, 2 FROM executions"""
+)
+def archive_executions(t: Tables) -> DataFrame:
+    """Some executions archived while they run, then all of them; what the archive holds stays as it is."""
+    arn, path = F.expr(EXECUTION_ARN).alias("execution_arn"), new_shared_path(t.spark, "archive")
+    steps = F.expr("stack(2, 1, 'ExecutionStarted', 2, event_type) AS (event_id, type)")
+    for status, chosen in (("RUNNING", "event_type = 'click'"), ("SUCCEEDED", "true")):
+        events = t.events.filter(chosen)
+        described = events.select(arn, F.expr("""concat('{"OutputPrefix":"s3://out/', user_id, '/"}')""").alias("input"), F.lit(status).alias("status"))
+        history = events.select(arn, "event_type").select("execution_arn", steps)
+        sinks.archive(t.spark, path, sinks.archived_objects(described, history, "prod-main-1", "prod"))
+    return keyed_tables.read_table(t.spark, path).select(
+        "execution_arn",
+        "kind",
+        "path",
+        F.get_json_object("body", "$.status").alias("status"),
+        F.json_array_length(F.get_json_object("body", "$.events")).alias("events"),
+    )
+
+
 @query(
     """WITH named AS (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2, strpos(p_name, ' ') - 2)
             || upper(substr(p_name, strpos(p_name, ' ') + 1, 1)) || substr(p_name, strpos(p_name, ' ') + 2) AS stage,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.operators import eviction, scoring
-from taxaflow.sources import sinks
+from taxaflow.sources import keyed_tables, sinks
 
 
 @dataclass
@@ -33,55 +35,54 @@ def index_job(
     requests = scoring.request_validation(events).filter("is_valid")
     pairs = requests.select(*sinks.STATUS_KEYS).distinct()
     begun = sinks.begun_documents(pairs, now)
-    sinks.upsert_table(spark, status_path, begun, sinks.STATUS_KEYS, buckets=8)
+    keyed_tables.upsert_table(spark, status_path, begun, sinks.STATUS_KEYS)
     scored = scoring.scored_taxon_counts(
         tables.counts, tables.runs, tables.configs, tables.lineages, tables.summaries, now=now, requests=pairs
     )
     documents = scoring.taxon_documents(scored, tables.contigs, pairs)
-    sinks.upsert_table(spark, documents_path, documents, sinks.DOCUMENT_KEYS)
+    keyed_tables.upsert_table(spark, documents_path, documents, sinks.DOCUMENT_KEYS)
     done = begun.withColumn("is_complete", F.lit(True))
-    sinks.upsert_table(spark, status_path, done, sinks.STATUS_KEYS, buckets=8)
-    written = spark.read.parquet(documents_path).join(pairs, sinks.STATUS_KEYS, "left_semi")
-    return scoring.index_runs(requests, written, spark.read.parquet(status_path))
+    keyed_tables.upsert_table(spark, status_path, done, sinks.STATUS_KEYS)
+    written = keyed_tables.read_table(spark, documents_path).join(pairs, sinks.STATUS_KEYS, "left_semi")
+    return scoring.index_runs(requests, written, keyed_tables.read_table(spark, status_path))
+
+
+TASK_KEY = ("deletion_task",)
+FAILURES = (PySparkException, Py4JJavaError, OSError)
 
 
 def evict_job(
     spark: SparkSession,
-    index: DataFrame,
     source_runs: DataFrame,
     running: DataFrame,
-    completed: DataFrame,
     documents_path: str,
     index_path: str,
     tasks_path: str,
     now: Column,
     cycle: str,
     *,
-    buckets: int = 64,
     dry_run: bool = False,
     strict: bool = True,
     **options,
 ) -> DataFrame:
-    """One eviction cycle: documents deleted in place, index and task log written to new paths.
+    """One eviction cycle over three keyed tables: documents, status index and task log.
 
-    ``documents_path`` is a table of ``sinks.upsert_table``; only the buckets of evicted runs are
-    written again. ``cycle`` makes task ids unique; a repeat of the same cycle with the same inputs
-    gives the same tables. The order is documents, index, task log: a cycle that breaks off leaves
-    the inputs of the caller valid. The report covers reconciled tasks, clean-up and starts;
-    ``strict`` raises when it is not empty, after everything is written. A dry run writes nothing.
+    Earlier tasks are reconciled first: status documents of succeeded ones and log rows of succeeded and
+    failed ones go. Then the documents of the planned runs are deleted, their status documents marked,
+    and the new tasks logged. Each step touches only the buckets of its own rows and is one version of
+    its table; a step that fails is part of the report and changes nothing, and a cycle that breaks off
+    is taken up by the next one. Without deleted documents nothing is marked, without marks nothing is
+    logged. ``cycle`` makes task ids unique. The report covers reconciled tasks, clean-up and starts;
+    ``strict`` raises when it is not empty, after all steps. A dry run writes nothing.
     """
+    index, completed = keyed_tables.read_table(spark, index_path), keyed_tables.read_table(spark, tasks_path)
     result = eviction.evict(index, source_runs, running, completed, now=now, dry_run=dry_run, node=f"evict-{cycle}", **options)
     steps: list[tuple[str, str | None]] = []
     starts: list[tuple[int, str | None, str | None]] = []
     if not dry_run:
-        failure = delete_documents(spark, documents_path, result["evicted"], buckets) if "evicted" in result else None
-        if failure is not None:
-            # Nothing was started: no run is marked and no task counts as done.
-            starts = [(0, failure, None)]
-            result = eviction.evict(index, source_runs, running, completed, now=now, node=f"evict-{cycle}", **{**options, "concurrency": 0})
-        for step, frame, path in (("pipeline_runs", result["index"], index_path), ("succeeded", result["completed_tasks"], tasks_path)):
-            frame.write.mode("overwrite").parquet(path)
-            steps.append((step, None))
+        steps = clean_up(spark, result["statuses"], index_path, tasks_path)
+        if "evicted" in result:
+            starts = [(0, *start(spark, result, index, f"evict-{cycle}", documents_path, index_path, tasks_path))]
     report = eviction.eviction_report(
         result["statuses"],
         spark.createDataFrame(steps, "step STRING, error STRING"),
@@ -92,15 +93,50 @@ def evict_job(
     return report
 
 
-def delete_documents(spark: SparkSession, path: str, evicted: DataFrame, buckets: int) -> str | None:
-    """Delete the evicted runs from a bucketed table; the error's kind when it could not be done."""
+def attempt(step: Callable[[], None]) -> str | None:
+    """Run a step; the kind of its error when it failed."""
     try:
-        sinks.finish_replacing(spark, path)
-        evicted = evicted.withColumn("bucket", sinks.bucket_of(sinks.RUN_KEY, buckets))
-        touched = [r.bucket for r in evicted.select("bucket").distinct().collect()]
-        if touched:
-            table = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-            sinks.replace_buckets(spark, path, eviction.delete_evicted(table, evicted), touched)
+        step()
         return None
-    except PySparkException as error:
-        return error.getCondition() or type(error).__name__
+    except FAILURES as error:
+        return (error.getCondition() if isinstance(error, PySparkException) else None) or type(error).__name__
+
+
+def clean_up(spark: SparkSession, statuses: DataFrame, index_path: str, tasks_path: str) -> list[tuple[str, str | None]]:
+    """Remove what finished tasks left; one (step, error) for the status documents and each outcome of tasks.
+
+    Status documents go before the log rows of their tasks, so what is left after a failure is found again.
+    """
+    done = eviction.task_cleanup_plan(statuses).filter("drop_status_document")
+    steps = [("pipeline_runs", attempt(lambda: keyed_tables.delete_rows(spark, index_path, done, lambda rows: eviction.delete_status_documents(rows, done))))]
+    for outcome in ("succeeded", "failed"):
+        tasks = statuses.filter(outcome).select("deletion_task").distinct()
+        if outcome == "succeeded" and steps[0][1] is not None:
+            continue
+        error = attempt(lambda tasks=tasks: keyed_tables.delete_rows(spark, tasks_path, tasks, lambda rows: eviction.delete_tasks(rows, tasks), TASK_KEY))
+        steps.append((outcome, error))
+    return steps
+
+
+def start(
+    spark: SparkSession, result: dict, index: DataFrame, node: str, documents_path: str, index_path: str, tasks_path: str
+) -> tuple[str | None, str | None]:
+    """Delete the documents of the planned runs, mark their status documents, log their tasks: start and mark error."""
+    evicted = result["evicted"]
+    failure = attempt(lambda: delete_documents(spark, documents_path, evicted))
+    if failure is not None:
+        return failure, None
+
+    def mark() -> None:
+        done = eviction.task_cleanup_plan(result["statuses"]).filter("drop_status_document")
+        own = index.join(evicted.select(eviction.RUN).distinct(), eviction.RUN, "left_semi")
+        marked = eviction.mark_being_deleted(eviction.delete_status_documents(own, done), evicted)
+        keyed_tables.upsert_table(spark, index_path, marked, sinks.STATUS_KEYS)
+        keyed_tables.upsert_table(spark, tasks_path, eviction.finished_tasks(result["batches"], node), TASK_KEY, TASK_KEY)
+
+    return None, attempt(mark)
+
+
+def delete_documents(spark: SparkSession, path: str, evicted: DataFrame) -> None:
+    """Delete the evicted runs from a keyed table of documents."""
+    keyed_tables.delete_rows(spark, path, evicted, lambda rows: eviction.delete_evicted(rows, evicted))

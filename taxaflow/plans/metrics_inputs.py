@@ -72,6 +72,14 @@ def age_points(t: Tables) -> DataFrame:
     )
 
 
+def expected_alarms(t: Tables) -> DataFrame:
+    """Alarms that must exist: sources that never report, due from one of the first three days on."""
+    first = t.events.agg(F.min("ts").alias("first"))
+    nations = t.nation.selectExpr("'IndexAgeDays' AS metric", "concat('silent-', n_nationkey) AS dimension", "n_nationkey % 3 AS days")
+    since = F.expr("first + make_dt_interval(CAST(days AS INT))")
+    return nations.join(F.broadcast(first)).select("metric", "dimension", since.alias("since"))  # one row
+
+
 def gauge_points(t: Tables) -> DataFrame:
     """Whole-numbered gauges, so averages do not depend on the order of addition."""
     return t.events.selectExpr(

@@ -168,6 +168,23 @@ BACKLOG = filled("QueueDepth", QUEUE, "value", "100", "5 minutes", "FALSE", 3)
 BACKLOG_HOURLY = filled("QueueDepth", QUEUE, "value", "100", "1 hour", "FALSE", 3)
 MISSING = filled("IndexAgeDays", "'env-' || user_id", "value * 2", "400", "1 day", "TRUE", 1)
 
+# The same with dimensions that never report, due from their own day on.
+MISSING_EXPECTED = MISSING.replace(
+    "FROM (SELECT DISTINCT dimension FROM periods)\n)",
+    """FROM (SELECT DISTINCT dimension FROM periods)
+    UNION ALL
+    SELECT 'silent-' || n_nationkey, unnest(generate_series((SELECT min(window_start) FROM periods) + to_days(CAST(n_nationkey % 3 AS INTEGER)),
+        (SELECT max(window_start) FROM periods), INTERVAL '1 day')) FROM nation
+),
+due AS (SELECT dimension, min(window_start) AS window_start FROM (
+    SELECT dimension, window_start FROM periods UNION ALL SELECT dimension, window_start FROM grid WHERE dimension LIKE 'silent-%') GROUP BY dimension)""",
+)
+
+
+@query(sql(MISSING_EXPECTED, select="SELECT * FROM states"))
+def missing_data_alarm_expected(t: Tables) -> DataFrame:
+    return op.missing_data_alarm(src.age_points(t), expected=src.expected_alarms(t))
+
 
 @query(sql(BACKLOG, select="SELECT * FROM states"))
 def backlog_alarm(t: Tables) -> DataFrame:

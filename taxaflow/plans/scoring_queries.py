@@ -11,6 +11,7 @@ from taxaflow.plans import jobs
 from taxaflow.plans import scoring_inputs as src
 from taxaflow.plans.registry import query
 from taxaflow.session import new_shared_path
+from taxaflow.sources.keyed_tables import read_table
 from taxaflow.sources.tables import Tables
 
 NOW = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
@@ -379,5 +380,5 @@ def index_runs(t: Tables) -> DataFrame:
     documents_path, status_path = new_shared_path(t.spark, "documents"), new_shared_path(t.spark, "status")
     for _ in range(2):
         results = jobs.index_job(t.spark, tables, src.request_events(t), documents_path, status_path, F.expr(NOW))
-    status = t.spark.read.parquet(status_path).select("pipeline_run_id", "background_id", "is_complete", "created_at", "last_read_at", "deletion_task")
+    status = read_table(t.spark, status_path).select("pipeline_run_id", "background_id", "is_complete", "created_at", "last_read_at", "deletion_task")
     return results.join(status, ["pipeline_run_id", "background_id"])

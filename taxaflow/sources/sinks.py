@@ -1,15 +1,13 @@
-"""Keyed upserts, bulk export, run status, archive and metric sinks."""
+"""Bulk export, run status, archive and metric sinks; keyed tables are in ``keyed_tables``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.functions.scoring import document_id
-from taxaflow.session import new_shared_path, settle
+from taxaflow.session import settle
+from taxaflow.sources.keyed_tables import rewrite, upsert_documents
 
 STATUS_KEYS = ["pipeline_run_id", "background_id"]
 DOCUMENT_KEYS = ["tax_id", "tax_level", "pipeline_run_id", "background_id"]
@@ -19,92 +17,6 @@ DOCUMENT_FIELDS = [
 ]
 
 
-# ---- keyed tables ---------------------------------------------------------------------------
-
-
-def upsert_documents(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``existing`` with the rows of ``new`` replacing those of the same key.
-
-    Rows whose key is absent from ``new`` stay, so a taxon that disappeared keeps its old document.
-    ``new`` has each key once.
-    """
-    kept = existing.join(new.select(*keys), list(keys), "left_anti").select(*existing.columns)
-    return kept.unionByName(new)
-
-
-RUN_KEY = ("pipeline_run_id",)
-STAGED = "_staged"  # readers skip folders that start with an underscore
-
-
-def bucket_of(by: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
-
-
-def upsert_table(
-    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], buckets: int = 64, by: Sequence[str] = RUN_KEY
-) -> None:
-    """Upsert into a parquet table partitioned by a hash bucket of ``by``, a part of the keys.
-
-    By default a run's rows share one bucket, so a run touches one bucket whatever it holds, and
-    the files of all other buckets stay. ``buckets`` stays the same for a table; about its size
-    over the size a rewrite should have. Running the same upsert again gives the same table.
-    """
-    new = settle(new.withColumn("bucket", bucket_of(by, buckets)))
-    finish_replacing(spark, path)
-    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-    table = _read_if_present(spark, path)
-    merged = new
-    if table is not None:
-        merged = upsert_documents(table.filter(F.col("bucket").isin(touched)), new, [*keys, "bucket"])
-    replace_buckets(spark, path, merged, touched)
-
-
-def replace_buckets(spark: SparkSession, path: str, rows: DataFrame, touched: Sequence[int]) -> None:
-    """Make ``rows`` the content of the touched buckets; a touched bucket without rows goes.
-
-    The rows are written once, next to the table, and complete before any bucket is swapped. A swap
-    that broke off is finished by the next call. Rebalancing sizes the write tasks: small buckets
-    share one, a large bucket gets several.
-    """
-    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{STAGED}")
-    folder, files = _folder(spark, path)
-    for bucket in touched:
-        if not files.exists(folder(f"{path}/{STAGED}/bucket={bucket}")):
-            files.delete(folder(f"{path}/bucket={bucket}"), True)
-    finish_replacing(spark, path)
-
-
-def finish_replacing(spark: SparkSession, path: str) -> None:
-    """Swap in the buckets of a complete staged write, and remove the staging folder."""
-    folder, files = _folder(spark, path)
-    staged = folder(f"{path}/{STAGED}")
-    if not files.exists(staged):
-        return
-    if files.exists(folder(f"{path}/{STAGED}/_SUCCESS")):
-        for status in files.listStatus(staged):
-            name = status.getPath().getName()
-            if name.startswith("bucket="):
-                files.delete(folder(f"{path}/{name}"), True)
-                files.rename(status.getPath(), folder(f"{path}/{name}"))
-    files.delete(staged, True)
-
-
-def _folder(spark: SparkSession, path: str):
-    """Constructor of paths, and the file system that holds ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    return folder, folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or None when the folder is absent or holds no file yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 # ---- bulk export ----------------------------------------------------------------------------
 
 
@@ -177,6 +89,40 @@ def archive_if_absent(
     )
 
 
+ARCHIVE_KEY = ["execution_arn", "kind"]
+
+
+def archived_objects(executions: DataFrame, events: DataFrame, machine_prefix: str, name_prefix: str) -> DataFrame:
+    """The objects of an archive: description and history of every matching execution, as ``kind, path, body``.
+
+    ``executions`` has ``execution_arn``, the JSON ``input`` that names the output prefix, and any other
+    columns of the description; ``events`` has ``execution_arn, event_id`` and the columns of a history
+    event, which is listed in order of its id. An execution without events has an empty history.
+    """
+    nothing = executions.select("execution_arn").limit(0)
+    wanted = archive_if_absent(executions, nothing, machine_prefix, name_prefix)
+    described = executions.select("execution_arn", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+    event = F.struct("event_id", *(c for c in events.columns if c not in ("execution_arn", "event_id")))
+    listed = events.join(wanted.select("execution_arn"), "execution_arn", "left_semi").groupBy("execution_arn")
+    histories = listed.agg(F.sort_array(F.collect_list(event)).alias("events"))
+    told = wanted.join(histories, "execution_arn", "left").select(
+        "execution_arn", F.coalesce(F.to_json(F.struct("events")), F.lit('{"events":[]}')).alias("body")
+    )
+    paths = wanted.select("execution_arn", F.expr("stack(2, 'description', description_path, 'history', history_path) AS (kind, path)"))
+    bodies = described.withColumn("kind", F.lit("description")).unionByName(told.withColumn("kind", F.lit("history")))
+    return paths.join(bodies, ARCHIVE_KEY).select(*ARCHIVE_KEY, "path", "body")
+
+
+def archive(spark: SparkSession, path: str, objects: DataFrame) -> None:
+    """Add the objects that a keyed archive does not hold yet; those it holds stay as they are."""
+    new = settle(objects)
+
+    def change(old: DataFrame | None) -> DataFrame:
+        return new if old is None else old.unionByName(new.join(old.select(*ARCHIVE_KEY), ARCHIVE_KEY, "left_anti").select(*old.columns))
+
+    rewrite(spark, path, new, ["execution_arn"], change, adds=True)
+
+
 def emit_metrics(metrics: DataFrame, path: str) -> None:
     """Append metric rows to a table partitioned by namespace."""
     metrics.write.mode("append").partitionBy("namespace").parquet(path)

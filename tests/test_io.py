@@ -9,6 +9,7 @@ from taxaflow import schemas
 from taxaflow.functions import text
 from taxaflow.session import new_shared_path, shared_dir
 from taxaflow.sources import files, sinks, tables
+from taxaflow.sources.keyed_tables import read_table
 
 
 def now():
@@ -25,59 +26,6 @@ def test_jdbc_options():
         tables.jdbc_options("jdbc:x", "t", key="id")
 
 
-def keyed(spark, *rows_):
-    return spark.createDataFrame(list(rows_), "run BIGINT, tax BIGINT, v STRING")
-
-
-def test_upsert_replaces_by_key_and_keeps_the_rest(spark, rows):
-    old = keyed(spark, (1, 1, "a"), (1, 2, "b"), (2, 1, "c"))
-    new = keyed(spark, (1, 2, "B"), (3, 1, "D"))
-    got = sinks.upsert_documents(old, new, ["run", "tax"])
-    assert rows(got) == [(1, 1, "a"), (1, 2, "B"), (2, 1, "c"), (3, 1, "D")]
-
-
-def test_upsert_table_can_be_repeated(spark, rows):
-    path = new_shared_path(spark, "test-table")
-    first = keyed(spark, *[(r, t, "a") for r in range(20) for t in range(5)])
-    second = keyed(spark, *[(r, 0, "b") for r in range(0, 40, 3)])
-    for batch in (first, second, second):
-        sinks.upsert_table(spark, path, batch, ["run", "tax"], buckets=8, by=["run"])
-    want = {(r, t): "a" for r in range(20) for t in range(5)} | {(r, 0): "b" for r in range(0, 40, 3)}
-    got = spark.read.parquet(path).select("run", "tax", "v")
-    assert rows(got) == sorted((*k, v) for k, v in want.items())
-
-
-def files_of(spark, path):
-    return {f"{r[0]}" for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
-
-
-def test_upsert_of_a_run_leaves_other_buckets_in_place(spark, rows):
-    path = new_shared_path(spark, "test-table")
-    sinks.upsert_table(spark, path, keyed(spark, *[(r, t, "a") for r in range(30) for t in range(4)]), ["run", "tax"], buckets=8, by=["run"])
-    before = files_of(spark, path)
-    sinks.upsert_table(spark, path, keyed(spark, (100, 1, "b"), (100, 2, "b")), ["run", "tax"], buckets=8, by=["run"])
-    after = files_of(spark, path)
-    touched = {f.split("bucket=")[1].split("/")[0] for f in before ^ after}
-    assert len(touched) == 1 and len(before & after) >= 6
-    assert spark.read.parquet(path).count() == 122
-    folder, files_there = sinks._folder(spark, path)
-    assert not files_there.exists(folder(f"{path}/{sinks.STAGED}"))
-
-
-def test_broken_off_swap_is_finished(spark, rows):
-    """Buckets staged but not swapped in are taken over by the next call."""
-    path = new_shared_path(spark, "test-table")
-    first = keyed(spark, *[(r, 0, "a") for r in range(20)])
-    sinks.upsert_table(spark, path, first, ["run", "tax"], buckets=4, by=["run"])
-    merged = first.withColumn("v", F.lit("b")).withColumn("bucket", sinks.bucket_of(["run"], 4))
-    merged.write.partitionBy("bucket").parquet(f"{path}/{sinks.STAGED}")
-    assert rows(spark.read.parquet(path).select("v").distinct()) == [("a",)]
-    sinks.finish_replacing(spark, path)
-    assert rows(spark.read.parquet(path).select("v").distinct()) == [("b",)]
-    sinks.replace_buckets(spark, path, merged.limit(0), [0, 1, 2])
-    assert rows(spark.read.parquet(path).select("bucket").distinct()) == [(3,)]
-
-
 def index_of(spark):
     day = dt.datetime(2024, 1, 1)
     return spark.createDataFrame(
@@ -137,6 +85,78 @@ def test_load_benchmarks_checks_the_column_count(spark, tmp_path, line):
         files.load_benchmarks(spark, str(path)).collect()
 
 
+def test_files_are_appended_once(spark, tmp_path, rows):
+    """Loading a file again adds nothing; a bad row in any file leaves the table as it was."""
+    table, good = new_shared_path(spark, "scores"), "v1,2021-01-22,{},2021-07-02T11:50:01,9,0.5,1.0\n"
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(HEADER + good.format(name + "1") + good.format(name + "2"))
+    files.append_benchmarks(spark, str(tmp_path / "a.csv"), table)
+    for path in (tmp_path / "a.csv", tmp_path, tmp_path / "b.csv"):
+        files.append_benchmarks(spark, str(path), table)
+    want = [("a1",), ("a2",), ("b1",), ("b2",)]
+    assert rows(read_table(spark, table), "sample") == want
+    (tmp_path / "c.csv").write_text(HEADER + good.format("c1") + "v1,2021-01-22,c2,2021-07-02T11:50:01,9,0.5\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|Malformed"):
+        files.append_benchmarks(spark, str(tmp_path), table)
+    assert rows(read_table(spark, table), "sample") == want
+    (tmp_path / "c.csv").write_text(HEADER + good.format("c1"))
+    files.append_benchmarks(spark, str(tmp_path), table)
+    assert rows(read_table(spark, table), "sample") == [*want, ("c1",)]
+
+
+def test_a_store_is_listed_by_tasks(spark, tmp_path, rows):
+    """A partition for every outer prefix; folders below, prefixes without objects, and suffixes."""
+    for name, size in (("x/1/a.fa", 4), ("x/1/b.txt", 2), ("x/2/3/c.fa", 7), ("y/d.fa", 0), ("xx/e.fa", 1)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("A" * size)
+    listed = files.list_store(spark, str(tmp_path), ["x/", "x/1", "y", "absent"])
+    assert listed.rdd.getNumPartitions() == 3
+    assert rows(listed, "key", "size") == [("x/1/a.fa", 4), ("x/1/b.txt", 2), ("x/2/3/c.fa", 7), ("y/d.fa", 0)]
+    assert rows(files.list_store(spark, f"file://{tmp_path}", [""], ".fa"), "key") == [("x/1/a.fa",), ("x/2/3/c.fa",), ("xx/e.fa",), ("y/d.fa",)]
+    modified = listed.where("key = 'y/d.fa'").first()["last_modified"]
+    assert abs((modified - dt.datetime.fromtimestamp((tmp_path / "y/d.fa").stat().st_mtime, dt.timezone.utc).replace(tzinfo=None)).total_seconds()) < 1
+
+
+def test_ranges_of_a_skewed_key_hold_about_equal_rows(spark, rows):
+    """A third of the rows in one narrow range, another third under one key."""
+    keys = spark.range(30_000).selectExpr("CASE id % 3 WHEN 0 THEN id * 1000 WHEN 1 THEN 5000 + id % 200 ELSE 77 END AS k", "id")
+    keys = keys.union(spark.createDataFrame([(None, -5), (-9, None)], "k BIGINT, id BIGINT"))
+    bounds = tables.key_bounds(keys, "k", 12)
+    assert 77 in bounds and 78 in bounds
+    predicates = tables.range_predicates("k", bounds)
+    counts = [keys.where(p).count() for p in predicates]
+    assert sum(counts) == 30_002 and sorted(counts)[-2] <= 2 * 30_000 / 12
+    dealt = tables.range_predicates("k", bounds, "id", 4)
+    assert len(dealt) == len(predicates) + 3
+    counts = [keys.where(p).count() for p in dealt]
+    assert sum(counts) == 30_002 and max(counts) <= 1.5 * 30_000 / 12
+    assert tables.range_predicates("k", tables.key_bounds(keys.limit(0), "k", 4)) == ["1 = 1"]
+    assert tables.key_bounds(keys, "k", 1) == []
+
+
+def test_archive_writes_what_is_absent(spark, rows):
+    """A description that is archived stays; a history that is missing beside it is added."""
+    executions = spark.createDataFrame(
+        [(f"arn:aws:states:us-west-2:1:execution:prod-main-1:prod-{i}", '{"OutputPrefix": "s3://o/"}', "DONE") for i in range(3)]
+        + [("arn:aws:states:us-west-2:1:execution:dev-main-1:prod-9", '{"OutputPrefix": "s3://o"}', "DONE")],
+        "execution_arn STRING, input STRING, status STRING",
+    )
+    events = executions.where("execution_arn NOT LIKE '%prod-2'").selectExpr("execution_arn", "explode(sequence(2, 1, -1)) AS event_id", "'Entered' AS type")
+    objects = sinks.archived_objects(executions, events, "prod-main-1", "prod")
+    path, first = new_shared_path(spark, "archive"), executions.first()["execution_arn"]
+    early = objects.where(F.col("execution_arn") == first).where("kind = 'description'").withColumn("body", F.lit("early"))
+    for batch in (early, objects, objects):
+        sinks.archive(spark, path, batch)
+    held = read_table(spark, path)
+    assert held.count() == 6 and held.select("execution_arn", "kind").distinct().count() == 6
+    of_first = held.where(F.col("execution_arn") == first)
+    assert rows(of_first, "kind", "path", "body") == [
+        ("description", f"s3://o/sfn-desc/{first}", "early"),
+        ("history", f"s3://o/sfn-hist/{first}", '{"events":[{"event_id":1,"type":"Entered"},{"event_id":2,"type":"Entered"}]}'),
+    ]
+    assert rows(held.where("execution_arn LIKE '%prod-2' AND kind = 'history'"), "body") == [('{"events":[]}',)]
+
+
 def test_list_objects(spark, tmp_path, rows):
     (tmp_path / "d" / "2024-01-01").mkdir(parents=True)
     (tmp_path / "d" / "2024-01-01" / "nt.fa").write_text("ACGT")

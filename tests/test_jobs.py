@@ -9,7 +9,8 @@ from taxaflow import schemas
 from taxaflow.operators import eviction, scoring
 from taxaflow.plans import eviction_inputs, jobs, scoring_inputs
 from taxaflow.session import new_shared_path
-from taxaflow.sources import sinks
+from taxaflow.sources import keyed_tables
+from taxaflow.sources.keyed_tables import read_table
 from taxaflow.sources.tables import Tables
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -43,8 +44,8 @@ def test_index_job_and_its_repeat(spark, rows, scoring_tables):
         seen.append(rows(result, "pipeline_run_id", "background_id", "success"))
         assert all(r.documents > 0 for r in result.collect())
     assert seen == [[(1, 1, True)], [(1, 1, True), (2, 2, True)], [(1, 1, True), (2, 2, True)]]
-    assert rows(spark.read.parquet(status), "pipeline_run_id", "background_id", "is_complete") == [(1, 1, True), (2, 2, True)]
-    written = spark.read.parquet(documents)
+    assert rows(read_table(spark, status), "pipeline_run_id", "background_id", "is_complete") == [(1, 1, True), (2, 2, True)]
+    written = read_table(spark, documents)
     assert written.count() == written.select("doc_id").distinct().count()
     assert written.count() == scoring_tables.counts.filter("pipeline_run_id IN (1, 2)").select("pipeline_run_id", "tax_id").distinct().count()
 
@@ -58,79 +59,116 @@ def test_failure_leaves_the_status_incomplete(spark, rows, scoring_tables):
     whole, scoring_tables.counts = scoring_tables.counts, broken
     with pytest.raises(Exception, match="bad row"):
         jobs.index_job(spark, scoring_tables, events, documents, status, now())
-    assert rows(spark.read.parquet(status), "is_complete") == [(False,)]
+    assert rows(read_table(spark, status), "is_complete") == [(False,)]
     scoring_tables.counts = whole
     jobs.index_job(spark, scoring_tables, events, documents, status, now())
-    assert rows(spark.read.parquet(status), "is_complete") == [(True,)]
+    assert rows(read_table(spark, status), "is_complete") == [(True,)]
 
 
 EXPIRED = "TIMESTAMP_NTZ'1998-07-01 12:00:00'"
 
 
-def eviction_tables(spark):
+KEYS = ["pipeline_run_id", "background_id"]
+
+
+def eviction_tables(spark, index=None, completed=None):
+    """Source runs, running tasks, and paths of the documents, the status index and the task log."""
     t = Tables(spark, DIRECTORY)
-    index = eviction_inputs.index_documents(t)
-    documents = new_shared_path(spark, "documents")
-    keys = ["pipeline_run_id", "background_id"]
-    sinks.upsert_table(spark, documents, index.select(*keys), keys, buckets=16)
+    index = eviction_inputs.index_documents(t) if index is None else index
+    completed = eviction.completed_tasks(eviction_inputs.completed_documents(t)) if completed is None else completed
+    documents, status, tasks = (new_shared_path(spark, name) for name in ("documents", "status", "tasks"))
+    keyed_tables.upsert_table(spark, documents, index.select(*KEYS), KEYS, bucket_rows=100)
+    keyed_tables.upsert_table(spark, status, index, KEYS, bucket_rows=100)
+    keyed_tables.upsert_table(spark, tasks, completed, jobs.TASK_KEY, jobs.TASK_KEY)
     running = eviction.running_tasks(eviction_inputs.running_listing(t))
-    return index, eviction_inputs.source_runs(t), running, eviction.completed_tasks(eviction_inputs.completed_documents(t)), documents
+    return eviction_inputs.source_runs(t), running, documents, status, tasks
+
+
+def versions(spark, *paths):
+    return [keyed_tables.current_version(spark, p).number for p in paths]
 
 
 def test_evict_job(spark, rows):
-    index, source, running, completed, documents = eviction_tables(spark)
-    status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
-    arguments = (spark, index, source, running, completed, documents, status, tasks, F.expr(EXPIRED), "a")
-    options = {"buckets": 16, "concurrency": 100_000, "runs_per_task": 50}
-    report = jobs.evict_job(*arguments, strict=False, **options)
+    source, running, documents, status, tasks = eviction_tables(spark)
+    whole = read_table(spark, documents).count()
+    arguments = (spark, source, running, documents, status, tasks, F.expr(EXPIRED))
+    options = {"concurrency": 100_000, "runs_per_task": 50}
+    report = jobs.evict_job(*arguments, "a", strict=False, **options)
     assert rows(report, "severity", "message") == [("error", "Failed tasks found"), ("error", "Missing tasks found")]
-    marked = spark.read.parquet(status).filter("deletion_task LIKE 'evict-a:%'").select("pipeline_run_id", "background_id")
-    left = spark.read.parquet(documents)
+    marked = read_table(spark, status).filter("deletion_task LIKE 'evict-a:%'").select(*KEYS)
+    left = read_table(spark, documents)
     assert marked.count() > 0 and left.count() > 0
-    assert left.join(marked, ["pipeline_run_id", "background_id"], "left_semi").count() == 0
-    assert left.count() + marked.count() >= index.count()
+    assert left.join(marked, KEYS, "left_semi").count() == 0
+    assert left.count() + marked.count() >= whole - marked.count()
     with pytest.raises(eviction.EvictionError, match="Missing tasks found"):
-        jobs.evict_job(*arguments, **options)
+        jobs.evict_job(*arguments, "b", **options)
 
 
 def test_dry_run_writes_nothing(spark):
-    index, source, running, completed, documents = eviction_tables(spark)
-    paths = [new_shared_path(spark, name) for name in ("status", "tasks")]
-    before = spark.read.parquet(documents).select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()
-    jobs.evict_job(spark, index, source, running, completed, documents, *paths, F.expr(EXPIRED), "a", buckets=16, dry_run=True, strict=False, concurrency=1000)
-    assert sorted(map(str, before)) == sorted(map(str, spark.read.parquet(documents).select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()))
-    folder, files = sinks._folder(spark, paths[0])
-    assert not any(files.exists(folder(p)) for p in paths)
+    source, running, *paths = eviction_tables(spark)
+    before = versions(spark, *paths)
+    jobs.evict_job(spark, source, running, *paths, F.expr(EXPIRED), "a", dry_run=True, strict=False, concurrency=1000)
+    assert versions(spark, *paths) == before
 
 
 def test_failed_deletion_is_reported_and_marks_nothing(spark, rows):
-    index, source, running, completed, _ = eviction_tables(spark)
-    status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
-    report = jobs.evict_job(
-        spark, index, source, running, completed, new_shared_path(spark, "absent"), status, tasks, F.expr(EXPIRED), "a", strict=False, concurrency=1000
-    )
+    source, running, _, status, tasks = eviction_tables(spark)
+    report = jobs.evict_job(spark, source, running, new_shared_path(spark, "absent"), status, tasks, F.expr(EXPIRED), "a", strict=False, concurrency=1000)
     assert ("error", "Eviction start failed") in rows(report, "severity", "message")
-    assert spark.read.parquet(status).filter("deletion_task LIKE 'evict-a:%'").count() == 0
+    assert read_table(spark, status).filter("deletion_task LIKE 'evict-a:%'").count() == 0
+
+
+def failing(monkeypatch, path):
+    """Every write of the table at ``path`` fails at its last step."""
+    plain = keyed_tables.publish
+
+    def publish(spark, at, version):
+        if at == path:
+            raise OSError("store is down")
+        plain(spark, at, version)
+
+    monkeypatch.setattr(keyed_tables, "publish", publish)
+
+
+def test_failed_clean_up_is_a_warning(spark, rows, monkeypatch):
+    """The report has the clean-up steps that failed; what they left is cleaned up by the next cycle."""
+    source, running, documents, status, tasks = eviction_tables(spark)
+    arguments = (spark, source, running, documents, status, tasks, F.expr(EXPIRED))
+    before = rows(read_table(spark, tasks), "deletion_task")
+    with monkeypatch.context() as broken:
+        failing(broken, tasks)
+        report = rows(jobs.evict_job(*arguments, "a", strict=False, concurrency=0), "severity", "message")
+    assert ("warning", "Succeeded task deletion failed") in report and ("warning", "Failed task deletion failed") in report
+    assert ("warning", "Pipeline_run cleanup failed") not in report
+    assert rows(read_table(spark, tasks), "deletion_task") == before
+    with monkeypatch.context() as broken:
+        failing(broken, status)
+        report = rows(jobs.evict_job(*arguments, "b", strict=False, concurrency=0), "severity", "message")
+    assert ("warning", "Pipeline_run cleanup failed") not in report  # the first cycle had removed them all
+    source, running, documents, status, tasks = eviction_tables(spark)
+    with monkeypatch.context() as broken:
+        failing(broken, status)
+        report = rows(jobs.evict_job(spark, source, running, documents, status, tasks, F.expr(EXPIRED), "c", strict=False, concurrency=1000), "severity", "message")
+    assert ("warning", "Pipeline_run cleanup failed") in report
+    assert ("error", "Task ID set failed after eviction started") in report
+    assert ("warning", "Succeeded task deletion failed") not in report  # kept, so that the runs are found again
+    assert read_table(spark, tasks).filter("deletion_task LIKE 'evict-c:%'").count() == 0
 
 
 def test_cycles_make_progress(spark, rows):
     """Twenty expired runs, two tasks of three runs a cycle: every cycle deletes the next runs."""
     day = dt.datetime(1998, 1, 1)
     index = spark.createDataFrame([(r, 1, True, day, day, None) for r in range(1, 21)], schemas.RUN_STATUS)
-    source = index.select("pipeline_run_id")
-    _, _, running, completed, _ = eviction_tables(spark)
-    completed = completed.limit(0)
-    running = running.limit(0)
-    documents, keys = new_shared_path(spark, "documents"), ["pipeline_run_id", "background_id"]
-    sinks.upsert_table(spark, documents, index.select(*keys), keys, buckets=4)
+    logged = eviction.completed_tasks(eviction_inputs.completed_documents(Tables(spark, DIRECTORY))).limit(0)
+    _, running, documents, status, tasks = eviction_tables(spark, index, logged)
     left, statuses, logged = [], [], []
     for c in range(5):
-        status, tasks = new_shared_path(spark, "status"), new_shared_path(spark, "tasks")
-        jobs.evict_job(spark, index, source, running, completed, documents, status, tasks, F.expr(EXPIRED), str(c), buckets=4, concurrency=2, runs_per_task=3)
-        index, completed = spark.read.parquet(status), spark.read.parquet(tasks)
-        left.append(sinks._read_if_present(spark, documents).count() if c < 3 else 0)
-        statuses.append(index.count())
-        logged.append(rows(completed, "deletion_task"))
+        jobs.evict_job(
+            spark, index.select("pipeline_run_id"), running.limit(0), documents, status, tasks, F.expr(EXPIRED), str(c), concurrency=2, runs_per_task=3
+        )
+        left.append(read_table(spark, documents).count())
+        statuses.append(read_table(spark, status).count())
+        logged.append(rows(read_table(spark, tasks), "deletion_task"))
     assert left == [14, 8, 2, 0, 0]
     assert statuses == [20, 14, 8, 2, 0]
     assert logged == [[(f"evict-{c}:0",), (f"evict-{c}:1",)] for c in range(3)] + [[("evict-3:0",)], []]
