@@ -3,10 +3,13 @@
 Training tokens are stored as postings: a term, its document and its places there. Only lists that
 test windows start from are stored, those of every window's two rarest terms. Lists are intersected
 after their places are moved by the term's offset in its item, so that one shift of an item in a
-document is one value; a window is tried where both its lists agree, or nearly for proximity
-matches, and then compared word by word. Columns and SQL functions only.
+document is one value. Shifts are grouped into cells a little wider than the slop, so that a group holds
+no more than an item's places whatever the text repeats; a window is tried where both its lists have the
+same shift, or nearly the same for proximity matches, and then compared word by word. Only texts with
+something to try are read for that. Columns and SQL functions only.
 
-Test terms and items are broadcast while they are few, and joined by a shuffle beyond that.
+Test terms, items and the ids of such texts are broadcast while they are few, and joined by a shuffle
+beyond that.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from taxaflow.session import settle
 WINDOW = 10
 SLOP = 2
 BROADCAST_ROWS = 200_000
+SPAN_BITS = 4  # of a span's length in its packed form; a window has at most WINDOW words
+SPAN = 1 << SPAN_BITS
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -63,12 +68,13 @@ def build_index(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFra
 
 
 def intersect(index: DataFrame, items: DataFrame, windows: DataFrame, keys: list[str], slop: int) -> DataFrame:
-    """Places to try: per document, its items with every window where the two rarest lists agree."""
+    """Places to try: per document, its items with every window where the two rarest lists agree within the slop."""
     uses = windows.select("item", F.explode("lists").alias("list")).select("item", F.col("list.place").alias("place"), F.col("list.term").alias("term")).distinct()
     moved = index.join(small(uses), "term").select(*keys, "item", "place", F.explode("places").alias("pos"))
-    shifts = moved.groupBy(*keys, "item").agg(F.collect_set(F.struct("place", (F.col("pos") - F.col("place")).alias("shift"))).alias("shifts"))
+    shifts = moved.select(*keys, "item", F.struct("place", (F.col("pos") - F.col("place")).alias("shift")).alias("at"))
+    cell = F.floor(F.col("at.shift") / (slop + 1))  # shifts no further apart than the slop meet in the cell of one of them
+    cells = shifts.withColumn("cell", F.explode(F.array(cell, cell + 1))).groupBy(*keys, "item", "cell").agg(F.collect_set("at").alias("shifts"))
     per_item = windows.groupBy("item").agg(F.collect_list(F.struct("start", F.col("lists")[0]["place"].alias("a"), F.col("lists")[1]["place"].alias("b"))).alias("windows"))
-    asked = small(items.join(per_item, "item").select("item", "item_id", "item_words", "length", "windows"))
 
     def tries(window: Column) -> Column:
         def agrees(one: Column) -> Column:
@@ -77,18 +83,20 @@ def intersect(index: DataFrame, items: DataFrame, windows: DataFrame, keys: list
         at = F.filter("shifts", lambda one: (one["place"] == window["a"]) & agrees(one))
         return F.transform(at, lambda one: F.struct(window["start"].alias("start"), (one["shift"] + window["start"]).alias("pos")))
 
-    tried = shifts.join(asked, "item").withColumn("tries", F.flatten(F.transform("windows", tries))).where(F.size("tries") > 0)
-    return tried.groupBy(*keys).agg(F.collect_list(F.struct("item_id", "item_words", "length", "tries")).alias("candidates"))
+    found = cells.join(small(per_item), "item").select(*keys, "item", F.explode(F.flatten(F.transform("windows", tries))).alias("try")).distinct()
+    tried = found.groupBy(*keys, "item").agg(F.collect_list("try").alias("tries"))
+    asked = small(items.select("item", "item_id", "item_words", "length"))
+    return tried.join(asked, "item").groupBy(*keys).agg(F.collect_list(F.struct("item_id", "item_words", "length", "tries")).alias("candidates"))
 
 
 def exact_spans(candidate: Column) -> Column:
-    """Document places of the candidate's windows that stand there word by word."""
+    """Document places of the candidate's windows that stand there word by word, each as ``SPAN * start + length``."""
     hit = F.filter(
         candidate["tries"],
         lambda t: (t["pos"] >= 0)
         & (F.slice("words", F.greatest(t["pos"], F.lit(0)) + 1, candidate["length"]) == F.slice(candidate["item_words"], t["start"] + 1, candidate["length"])),
     )
-    return F.transform(hit, lambda t: F.struct(t["pos"].alias("from"), (t["pos"] + candidate["length"]).alias("to")))
+    return F.transform(hit, lambda t: t["pos"].cast("bigint") * SPAN + candidate["length"])
 
 
 def near(candidate: Column, slop: int) -> Column:
@@ -102,15 +110,15 @@ def near(candidate: Column, slop: int) -> Column:
     )
 
 
-def covered(found: Column) -> Column:
-    """Words in the union of the spans."""
-    start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("end"))
+def covered(spans: Column) -> Column:
+    """Words in the union of spans in order."""
+    start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("end"))
 
     def step(done: Column, span: Column) -> Column:
-        new = F.greatest(F.lit(0), span["to"] - F.greatest(done["end"], span["from"]))
+        new = F.greatest(F.lit(0).cast("bigint"), span["to"] - F.greatest(done["end"], span["from"]))
         return F.struct((done["words"] + new).alias("words"), F.greatest(done["end"], span["to"]).alias("end"))
 
-    return F.aggregate(F.array_sort(F.array_distinct(found)), start, step, lambda done: done["words"])
+    return F.aggregate(spans, start, step, lambda done: done["words"])
 
 
 def ids_of(hits: Column) -> Column:
@@ -135,18 +143,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataF
     lists = windows.select(F.explode("lists").alias("list")).select(F.col("list.term").alias("term"))
     index = settle(build_index(tokens, lists, keys))
     tried = settle(intersect(index, items, windows, keys, slop))
-    tried = tried.select(F.col("doc_id").alias("tried_id"), F.col("text_hash").alias("tried_hash"), "candidates")
-    rows = texts.join(tried, F.col("doc_id").eqNullSafe(F.col("tried_id")) & (F.col("text_hash") == F.col("tried_hash")), "left")
-    rows = rows.select(*keys, F.coalesce("candidates", F.array().cast(tried.schema["candidates"].dataType)).alias("candidates"), ascii_words(F.col("text")).alias("words"))
+    named = small(tried.select(F.col("doc_id").alias("tried_id"), F.col("text_hash").alias("tried_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("tried_id")) & (F.col("text_hash") == F.col("tried_hash"))
+    read = texts.join(named, same, "left_semi").dropDuplicates(keys)
+    tried = tried.withColumnsRenamed({"doc_id": "tried_id", "text_hash": "tried_hash"})
+    read = read.join(tried, same).select(*keys, "candidates", ascii_words(F.col("text")).alias("words"))
     hits = F.transform("candidates", lambda c: F.struct(c["item_id"].cast("string").alias("item_id"), exact_spans(c).alias("spans"), near(c, slop).alias("near")))
-    rows = rows.select(*keys, F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
-    occurring = F.filter("hits", lambda h: F.size(h["spans"]) > 0)
-    found = F.flatten(F.transform("hits", lambda h: h["spans"]))
+    read = read.select(*keys, hits.alias("hits"))
+    packed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["spans"]))))
+    begin = F.transform(packed, lambda s: F.struct(F.shiftright(s, SPAN_BITS).alias("from"), (F.shiftright(s, SPAN_BITS) + s.bitwiseAND(SPAN - 1)).alias("to")))
+    found = read.select(
+        F.col("doc_id").alias("tried_id"),
+        F.col("text_hash").alias("tried_hash"),
+        begin.alias("spans"),
+        ids_of(F.filter("hits", lambda h: F.size(h["spans"]) > 0)).alias("items"),
+        ids_of(F.filter("hits", lambda h: h["near"])).alias("near_items"),
+    )
+    found = found.withColumn("n_hit", covered(F.col("spans")))
+    rows = texts.select(*keys, F.size(ascii_words(F.col("text"))).cast("long").alias("n_words")).join(found, same, "left")
+    none = F.array().cast("array<string>")
     return rows.select(
         *keys,
         "n_words",
-        covered(found).alias("n_hit"),
-        ids_of(occurring).alias("items"),
-        ids_of(F.filter("hits", lambda h: h["near"])).alias("near_items"),
-        F.array_sort(F.array_distinct(found)).alias("spans"),
+        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.coalesce("items", none).alias("items"),
+        F.coalesce("near_items", none).alias("near_items"),
+        F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"),
     )

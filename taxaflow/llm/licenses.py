@@ -2,22 +2,25 @@
 
 Every rolling word pair of a document is hashed and joined to the places of the same pair in the
 templates. A match votes for its diagonal, document place minus template place. Votes are summed per
-document, template and diagonal; neighbouring diagonals are merged, since an added or missing word
-shifts the rest of a template by one; and the merged span counts if it verifies: its pairs, compared
-word by word in the join, cover enough of the template. Columns and SQL functions only.
+document, template and diagonal. A base phrase stands where one diagonal has all its pairs. For a notice
+neighbouring diagonals are merged, since an added or missing word shifts the rest of it by one: every
+band of diagonals no wider than ``DRIFT`` is one span. A span counts if it verifies: the template's
+pairs, compared word by word in the join, that follow each other in the document in the template's
+order cover enough of it. Columns and SQL functions only.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.llm.common import ascii_words, whole_text
+from taxaflow.session import settle
 
 COVER = 0.6  # least share of a notice's word pairs
-DRIFT = 3  # words between diagonals that belong together
+DRIFT = 8  # words that may be added to or missing from a notice within one span
 
 
 class Template(NamedTuple):
@@ -74,26 +77,50 @@ def diagonals(docs: DataFrame, keys: list[str], templates: list[Template]) -> Da
     return votes.groupBy(*keys, "template", "diagonal").agg(F.collect_set("place").alias("places"))
 
 
-def spans(found: DataFrame, keys: list[str], templates: list[Template]) -> DataFrame:
-    """Neighbouring diagonals merged: template, first word, share of the template's pairs found."""
-    reading = Window.partitionBy(*keys, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(reading) > DRIFT, F.lit(True))
-    loose = F.element_at(F.array(*(F.lit(not t.exact) for t in templates)), F.col("template") + 1)
-    run = F.sum((apart | ~loose).cast("int")).over(reading)
-    merged = found.withColumn("run", run).groupBy(*keys, "template", "run")
-    merged = merged.agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("pairs"))
-    size = F.element_at(F.array(*(F.lit(len(t.words.split()) - 1) for t in templates)), F.col("template") + 1)
-    least = F.element_at(F.array(*(F.lit(1.0 if t.exact else COVER) for t in templates)), F.col("template") + 1)
-    shared = merged.withColumn("cover", F.col("pairs") / size).where(F.col("cover") >= least)
-    return shared.withColumn("exact", ~F.element_at(F.array(*(F.lit(not t.exact) for t in templates)), F.col("template") + 1))
+def of_template(values: list) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1)
+
+
+def phrases(found: DataFrame, keys: list[str], templates: list[Template]) -> DataFrame:
+    """Places where a base phrase stands: all its pairs on one diagonal."""
+    whole = found.where(of_template([t.exact for t in templates]) & (F.size("places") == of_template(sizes(templates))))
+    return whole.select(*keys, "template", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"), F.lit(True).alias("exact"))
+
+
+def notices(found: DataFrame, keys: list[str], templates: list[Template]) -> DataFrame:
+    """Notices that verify, with the best share of their pairs that one span has in order."""
+    size = of_template(sizes(templates))
+    votes = found.where(~of_template([t.exact for t in templates]))
+    held = votes.groupBy(*keys, "template").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("held"))
+    likely = held.where(F.size("held") >= size * COVER).select(*(F.col(c).alias(f"l_{c}") for c in (*keys, "template")))
+    same = F.col("doc_id").eqNullSafe(F.col("l_doc_id")) & (F.col("text_hash") == F.col("l_text_hash")) & (F.col("template") == F.col("l_template"))
+    places = votes.join(likely, same, "left_semi").select(*keys, "template", "diagonal", F.explode("places").alias("place"))
+    bands = places.withColumn("band", F.explode(F.sequence(F.col("diagonal") - DRIFT, F.col("diagonal"))))
+    firsts = bands.groupBy(*keys, "template", "band", "place").agg(F.min(F.col("diagonal") + F.col("place")).alias("pos"))
+    spans = firsts.groupBy(*keys, "template", "band").agg(F.sort_array(F.collect_list(F.struct("place", "pos"))).alias("pairs"))  # a pair for each place of the template
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("reached"))
+    rising = F.aggregate(
+        "pairs",
+        start,
+        lambda done, pair: F.struct(
+            (done["n"] + (pair["pos"] > done["reached"]).cast("int")).alias("n"), F.greatest(done["reached"], pair["pos"]).alias("reached")
+        ),
+        lambda done: done["n"],
+    )
+    best = spans.withColumn("cover", rising / size).where(F.col("cover") >= COVER).groupBy(*keys, "template").agg(F.max("cover").alias("cover"))
+    return best.select(*keys, "template", F.lit(None).cast("int").alias("start"), "cover", F.lit(False).alias("exact"))
+
+
+def sizes(templates: list[Template]) -> list[int]:
+    return [len(t.words.split()) - 1 for t in templates]
 
 
 def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """One row per document: words, places of base phrases, their labels, all labels, and a score.
 
     ``n_base`` counts the places of exact phrases, ``first_word`` and ``last_word`` are the smallest
-    and largest of them (null without any). ``score`` is the best share of a template found, 1 for
-    an exact phrase. A null or empty text has no words. Rows that repeat an id and text get the same
+    and largest of them (null without any). ``score`` is the best share of a template found in order in
+    one span, 1 for an exact phrase. A null or empty text has no words. Rows that repeat an id and text get the same
     result each; other columns of ``docs`` are left out.
     """
     templates = templates or TEMPLATES
@@ -101,8 +128,9 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> D
     keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
     keys = ["doc_id", "text_hash"]
     counted = keyed.select(*keys, F.size(ascii_words(F.col("text"))).cast("long").alias("n_words"))
-    label = F.element_at(F.array(*(F.lit(t.label) for t in templates)), F.col("template") + 1)
-    found = spans(diagonals(keyed, keys, templates), keys, templates).withColumn("label", label)
+    votes = settle(diagonals(keyed, keys, templates))
+    found = phrases(votes, keys, templates).unionByName(notices(votes, keys, templates))
+    found = found.withColumn("label", of_template([t.label for t in templates]))
     found = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(
         F.count(F.when(F.col("exact"), 1)).alias("n_base"),
         F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),

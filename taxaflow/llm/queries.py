@@ -58,34 +58,46 @@ def op1_bpe(spark: SparkSession, directory: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
   FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL),
-sized AS (SELECT item_id, words, least(10, len(words)) AS k FROM b WHERE len(words) > 0),
-windows AS (
-  SELECT DISTINCT item_id, k, array_to_string(words[s:s + k - 1], ' ') AS gram
-  FROM sized, unnest(range(1, len(words) - k + 2)) AS t(s)),
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+sized AS (SELECT q, item_id, words, least(10, len(words)) AS k FROM b WHERE len(words) > 0),
+places AS (SELECT q, item_id, k, s, words[s:s + k - 1] AS words FROM sized, unnest(range(1, len(words) - k + 2)) AS t(s)),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(words, ' ') AS gram FROM places),
 grams AS (
-  SELECT doc_id, s, k, array_to_string(words[s:s + k - 1], ' ') AS gram
+  SELECT r, s, k, array_to_string(words[s:s + k - 1], ' ') AS gram
   FROM d, (SELECT DISTINCT k FROM windows), unnest(range(1, len(words) - k + 2)) AS t(s)),
-found AS (SELECT doc_id, item_id, s, g.k FROM grams g JOIN windows w ON g.gram = w.gram AND g.k = w.k),
-hit AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM found, unnest(range(0, k)) AS t(i) GROUP BY doc_id),
+found AS (SELECT r, item_id, s, g.k FROM grams g JOIN windows w ON g.gram = w.gram AND g.k = w.k),
+hit AS (SELECT r, count(DISTINCT s + i) AS n FROM found, unnest(range(0, k)) AS t(i) GROUP BY r),
 items AS (
-  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+  SELECT r, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY r),
+tokens AS (SELECT r, i - 1 AS pos, words[i] AS w FROM d, unnest(range(1, len(words) + 1)) AS t(i)),
+counts AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
+rated AS (
+  SELECT q, item_id, s, k, i - 1 AS off, p.words[i] AS w, row_number() OVER (PARTITION BY q, s ORDER BY n, i) AS place, count(n) OVER (PARTITION BY q, s) AS held
+  FROM places p, unnest(range(1, k + 1)) AS t(i) LEFT JOIN counts ON counts.w = p.words[i]),
+tries AS (
+  SELECT DISTINCT x.r, a.q, a.s, x.pos - a.off AS pos
+  FROM rated a JOIN rated b ON a.q = b.q AND a.s = b.s AND a.place = 1 AND b.place = least(2, a.k) AND a.held = a.k
+  JOIN tokens x ON x.w = a.w JOIN tokens y ON y.w = b.w AND y.r = x.r AND abs((x.pos - a.off) - (y.pos - b.off)) <= 2),
+close AS (
+  SELECT DISTINCT r, CAST(p.item_id AS VARCHAR) AS item_id
+  FROM tries JOIN places p USING (q, s) JOIN d USING (r)
+  WHERE list_has_all(d.words[greatest(pos - 2, 0) + 1:greatest(pos - 2, 0) + k + 4], p.words)),
+nearby AS (SELECT r, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM close GROUP BY r)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
-       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated,
+       coalesce(nearby.n, 0) AS n_near, sha256(coalesce(nearby.ids, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN nearby USING (r)
 """
 
 
 @query(OP2_SQL)
 def op2_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
-    # The SQL leaves out items without an id, which the operator itself counts as hits.
-    benchmark = table(spark, directory, "benchmark").where("item_id IS NOT NULL")
-    leaks = decontaminate.find_leaks(table(spark, directory, "documents"), benchmark)
+    leaks = decontaminate.find_leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return leaks.select(
         "doc_id",
         "n_words",
@@ -93,6 +105,8 @@ def op2_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
     )
 
 
@@ -168,14 +182,19 @@ templates(template, label, exact, line) AS (VALUES
 split AS (SELECT template, label, exact, string_split(line, ' ') AS words FROM templates),
 places AS (SELECT template, label, exact, len(words) - 1 AS size, i AS place, words[i + 1] AS a, words[i + 2] AS b FROM split, unnest(range(0, len(words) - 1)) AS t(i)),
 votes AS (SELECT DISTINCT doc_id, template, label, exact, size, pos - place AS diagonal, place FROM pairs p JOIN places t ON p.a = t.a AND p.b = t.b),
-lines AS (SELECT DISTINCT doc_id, template, exact, diagonal FROM votes),
-gaps AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3, true) AS fresh FROM lines),
-runs AS (SELECT doc_id, template, diagonal, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM gaps),
-spans AS (
-  SELECT v.doc_id, v.label, v.exact, min(v.diagonal) AS start, count(DISTINCT v.place) / CAST(any_value(v.size) AS DOUBLE) AS cover
-  FROM votes v JOIN runs r ON v.doc_id = r.doc_id AND v.template = r.template AND v.diagonal = r.diagonal
-  GROUP BY v.doc_id, v.template, v.label, v.exact, r.run),
-kept AS (SELECT * FROM spans WHERE cover >= CASE WHEN exact THEN 1.0 ELSE 0.6 END),
+phrases AS (SELECT doc_id, label, exact, diagonal AS start, 1.0 AS cover FROM votes WHERE exact GROUP BY doc_id, template, label, exact, size, diagonal HAVING count(*) = size),
+likely AS (SELECT doc_id, template FROM votes WHERE NOT exact GROUP BY doc_id, template, size HAVING count(DISTINCT place) >= 0.6 * size),
+firsts AS (
+  SELECT doc_id, template, label, size, diagonal - back AS band, place, min(diagonal + place) AS pos
+  FROM votes JOIN likely USING (doc_id, template), unnest(range(0, 9)) AS t(back) GROUP BY ALL),
+ordered AS (
+  SELECT *, pos > coalesce(max(pos) OVER (PARTITION BY doc_id, template, band ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rising
+  FROM firsts),
+notices AS (
+  SELECT doc_id, label, false AS exact, NULL::BIGINT AS start, max(cover) AS cover
+  FROM (SELECT doc_id, template, label, band, count(*) FILTER (WHERE rising) / CAST(size AS DOUBLE) AS cover FROM ordered GROUP BY doc_id, template, label, band, size)
+  WHERE cover >= 0.6 GROUP BY doc_id, template, label),
+kept AS (SELECT * FROM phrases UNION ALL SELECT * FROM notices),
 found AS (
   SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word, max(start) FILTER (WHERE exact) AS last_word,
          array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (WHERE exact), []))), ',') AS base_labels,

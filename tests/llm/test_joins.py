@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from taxaflow.llm import decontaminate, max_score, shingle_join, url_rules
+from taxaflow.llm import decontaminate, max_score, queries, shingle_join, url_rules
 from taxaflow.llm.components import components
 from taxaflow.llm.queries import RULES
+from tests.oracle import compare
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -43,7 +48,8 @@ def test_leaks_against_brute_force(spark, edge_docs):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("item_id", F.lit(2))
     benchmark = spark.createDataFrame(items + items[:3], "item_id long, text string").withColumn("doc_id", F.lit(3))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_leaks(docs, benchmark).collect())
-    assert got == sorted((str(i), *brute_leaks(t, [x for x in items if x[0] is not None])) for i, t in rows)
+    want = [(str(i), *brute_leaks(t, items)) for i, t in rows]
+    assert got == sorted((i, n, hit, [x for x in found if x != "None"]) for i, n, hit, found in want)
 
 
 def test_items_without_an_id_are_hits(spark):
@@ -53,6 +59,29 @@ def test_items_without_an_id_are_hits(spark):
     assert got == {1: (4, ["7"], ["7"]), 2: (2, ["7"], ["7"]), 3: (0, [], [])}
 
 
+def test_query_counts_items_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e"), (2, "c d"), (3, "x y")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, "b c"), (7, "c d")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    frame = queries.op2_decontaminate(spark, str(tmp_path))
+    assert compare(frame, con, queries.OP2_SQL) is None
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in frame.collect()} == {1: (3, 1, True), 2: (2, 1, True), 3: (0, 0, False)}
+
+
+def test_a_text_of_one_repeated_word(spark):
+    """20,000 equal words against items of that word: every window of every place, in time linear in the text."""
+    rows = [(1, "la " * 20_000), (2, "la la"), (3, "do " + "la " * 9 + "do"), (4, "do " + "la " * 12 + "do")]
+    items = [(1, "la " * 12), (2, "do " + "la " * 9), (3, "la di")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    started = time.monotonic()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {1: (20_000, 20_000, ["1"]), 2: (2, 0, []), 3: (11, 10, ["2"]), 4: (14, 13, ["1", "2"])}
+    assert time.monotonic() - started < 120
+
+
 def test_near_matches(spark):
     item = "one two three four five six seven eight nine ten eleven"
     rows = [(1, "zero one two three four six five seven eight nine ten end"), (2, item), (3, "ten nine one two"), (4, "one two three four five extra six seven eight nine ten")]
@@ -142,7 +171,7 @@ def test_components_of_long_chains(spark):
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
-    for name, value in (("SHARD_ROWS", 50), ("QUERY_ROWS", 3), ("SEED_ROWS", 12), ("PROBE_TERMS", 3)):
+    for name, value in (("SHARD_CELLS", 50 * 9), ("QUERY_ROWS", 3), ("SEED_ROWS", 12), ("PROBE_TERMS", 3)):
         monkeypatch.setattr(max_score, name, value)
     draw = random.Random(6)
     rows = [(i, [draw.choice([-1.0, 0.25, 0.5, 1.5]) * draw.randint(0, 3) for _ in range(9)]) for i in range(300)]
@@ -157,6 +186,37 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_a_task_keeps_the_thresholds_of_its_earlier_shards():
+    """The same shard again gives only what still reaches a query's k-th score, and its best rows stay."""
+    draw = np.random.default_rng(5)
+    matrix, ids = draw.integers(-50, 50, (600, 6)), np.arange(600)
+
+    def pair(rows, names):
+        return {"block": 0, "width": 6, "ids": names.tobytes(), "matrix": rows.tobytes(), "q_block": 0, "q_width": 6, "q_ids": ids[:3].tobytes(), "q_matrix": matrix[:3].tobytes()}
+
+    low = draw.integers(-2, 2, (600, 6))
+    batch = pa.RecordBatch.from_pylist([pair(matrix, ids), pair(low, ids + 1000)])
+    first, second = max_score.search_pairs(4)(iter([batch]))
+    assert first.num_rows == 12 and second.num_rows == 0
+    scores = matrix[:3] @ matrix.T
+    for query in range(3):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[query]) if i != query)[:4]
+        assert [(-r["score"], r["vec_id"]) for r in first.to_pylist() if r["query_id"] == query] == best
+
+
+def test_shards_are_moved_once(spark):
+    """Only the queries are repeated; the join has one row for every shard and query block."""
+    frame = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 8), x -> CAST((id * x) % 17 AS DOUBLE)) AS embedding")
+    plan = max_score.top_k(frame, F.col("vec_id") % 100 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
+def test_scores_beyond_64_bits_fail(spark):
+    frame = spark.createDataFrame([(0, [1e13]), (1, [1e13])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        max_score.top_k(frame, F.col("vec_id") == 0).collect()
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in max_score.top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 2048), (0, 2, 2, 1024 * 2048)]

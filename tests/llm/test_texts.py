@@ -71,6 +71,22 @@ def test_secrets_that_look_like_others(alphabet, length, before):
     assert covered_share(alphabet, length, before) > 0.95
 
 
+ORDINARY = [
+    "2024-01-01T00-00-00Z_backup_v1_2_3_final_copy", "com/watch/v=dQw4w9WgXcQ/list", "INTERNATIONALIZATION", "COUNTERREVOLUTIONARIES", "ACGTTGCAACGTNNACGTACGGTACA",
+    "report_2023-11-05_final_v2_reviewed_3", "lib/python3/site-packages/numpy/core/include", "img_20240131_235959_0001_large_copy", "release-notes-2024-02-29-build-1234",
+    "MAXIMUM_RETRY_COUNT_EXCEEDED_ERROR_1", "en_US/LC_MESSAGES/gnome-control-center-2_0", "x86_64-unknown-linux-gnu-gcc-12", "aarch64-apple-darwin-2024-01-01",
+    "users/1042/orders/99817/items/3/edit", "chapter-12-section-3-paragraph-4-note-5", "v1_28_0-rc_1-20240101-1200-amd64", "S01E02_1080p_WEB_x264_final_cut_2",
+    "2024/03/17/why-we-moved-to-postgres-16", "ISO-8859-15_to_UTF-8_conversion_2", "test_upload_of_10_files_in_2_batches_ok", "BrowserWindowPreferencesController2",
+]
+
+
+@pytest.mark.parametrize("run", ORDINARY)
+def test_names_paths_and_times_are_no_secrets(run):
+    encoding = rank_encoding(tokenizer_path("byte_bpe_50k.tiktoken"))
+    text = f"see {run} end"
+    assert list(secrets.random_spans(text, secrets.base_spans(text), encoding, secrets.CHARS_PER_TOKEN)) == []
+
+
 def test_digests_and_identifiers_are_no_secrets(spark):
     digests = " ".join(("0AF1" * 32)[:n] for n in (32, 40, 56, 64, 96, 128))
     text = digests + " /objects/in/the/production/storage/of/the/application/550E8400-E29B-41D4-A716-446655440000/" + "0AF1" * 10
@@ -206,6 +222,44 @@ def test_quality_edges(spark, edge_docs, no_docs):
     assert quality.score(no_docs.drop("score"), model).count() == 0
 
 
+def test_quality_fit_against_a_dense_one(spark):
+    """Scaling, folds, choice of width and ridge, weights, and calibration, by NumPy on all rows at once."""
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices(["the", "cat", "sat", "$$$", "A!", "|", "dog."], k=draw.randrange(3, 60))) for _ in range(240)]
+    marks = [int("$$$" not in t or t.count("|") > 4) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    kept = [i for i in range(240) if i % 5]
+    stats, y = np.array([quality.statistics(texts[i]) for i in kept]), np.array([float(marks[i]) for i in kept])
+    folded = spark.createDataFrame([(r.tolist(),) for r in stats], "stats array<double>").select("stats", F.pmod(F.xxhash64("stats"), F.lit(quality.FOLDS)).alias("f"))
+    by_row = {tuple(r["stats"]): r["f"] for r in folded.collect()}
+    folds = np.array([by_row[tuple(r)] for r in stats])
+    spread = np.where(stats.std(axis=0) > 1e-9, stats.std(axis=0), 1.0)
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.spread, spread)
+
+    def dense(x, t, ridge):
+        penalty = ridge * len(x) / quality.FEATURES * np.eye(x.shape[1])
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(x.T @ x + penalty, x.T @ t)
+
+    errors = {}
+    for width in quality.WIDTHS:
+        x = quality.fourier(stats, stats.mean(axis=0), spread, width)
+        for ridge in quality.RIDGES:
+            errors[width, ridge] = sum(float(((x[folds == f] @ dense(x[folds != f], y[folds != f], ridge) - y[folds == f]) ** 2).sum()) for f in set(folds))
+    width, ridge = min(errors, key=errors.get)
+    assert model.width == width
+    x = quality.fourier(stats, stats.mean(axis=0), spread, width)
+    assert np.allclose(model.weights, dense(x, y, ridge), atol=1e-6)
+    cells = np.round(np.clip(x @ model.weights, -1, 2) * quality.GRID)
+    steps = np.unique(cells)
+    levels = quality.pooled(np.array([y[cells == c].mean() for c in steps]), np.array([float((cells == c).sum()) for c in steps]))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    raw = quality.fourier(np.array([quality.statistics(t) for t in texts]), stats.mean(axis=0), spread, width) @ model.weights
+    assert np.allclose([got[i] for i in range(240)], np.clip(np.interp(raw, steps / quality.GRID, levels), 0, 1), atol=1e-3)
+
+
 def test_pooling():
     assert quality.pooled(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 3.0, 1.0])).tolist() == [0.0, 0.25, 0.25, 1.0]
 
@@ -215,6 +269,18 @@ def test_fold(spark):
     assert [r[0] for r in got] == [zlib.crc32(b"7") % 3, 0]
 
 
+def test_a_notice_verifies_only_in_order(spark):
+    """All pairs of a notice, but backwards or each followed by a foreign word, are no notice."""
+    mit = licenses.NOTICES[0].words.split()
+    pairs = [f"{a} {b}" for a, b in zip(mit, mit[1:], strict=False)]
+    moved = [*mit[:14], *"some more words in between than a span may have".split(), *mit[14:]]
+    late = [*mit[len(mit) // 2 :], *mit[: len(mit) // 2]]
+    rows = [(1, " ".join(reversed(pairs))), (2, " foreign ".join(pairs)), (3, " ".join(mit[:20] + ["a", "b", "c"] + mit[20:])), (4, " ".join(moved)), (5, " ".join(late)), (6, " ".join(mit * 400))]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(1, 7)] == ["", "", "mit", "", "", "mit"]
+    assert got[6]["score"] == 1.0 and got[3]["score"] > 0.9
+
+
 def test_license_notices(spark, edge_docs, no_docs):
     mit = licenses.NOTICES[0].words.split()
     broken = " ".join([*mit[:9], "kindly", *mit[9:20], *mit[22:]])
