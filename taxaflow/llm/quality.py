@@ -2,8 +2,10 @@
 
 A document becomes a few statistics of its whole text. Random Fourier features of the standardised
 statistics approximate a Gaussian kernel. Each task sums its products of features; Spark adds the
-sums cell by cell, so the driver sees only a matrix of fixed size. Scores of labelled documents are
-counted on a fixed grid and calibrated by pooling adjacent violators.
+sums cell by cell, so the driver sees only matrices of fixed size. The sums are kept by fold of the
+training rows and for a few kernel widths: width and ridge are those of the least squared error on the
+folds left out, which follows from the same sums. Scores of labelled training documents are counted on a
+fixed grid and calibrated by pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from taxaflow.llm.common import over_slices, strings, whole_text
 from taxaflow.session import settle
 
 FEATURES = 160
-RIDGE = 1e-2
-WIDTH = 2.0  # of the Gaussian kernel, in standard deviations of a statistic and per root of their number
+WIDTHS = (0.5, 1.0, 2.0, 4.0)  # of the Gaussian kernel, in standard deviations of a statistic and per root of their number
+RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)  # both tried on folds of the training rows
+FOLDS = 4
 SEED = 20
 GRID = 1000  # calibration cells per unit of raw score
 
@@ -77,10 +80,11 @@ def statistics(text: str) -> list[float]:
 
 
 class Model(NamedTuple):
-    """Scaling of the statistics, random frequencies, ridge weights and calibration steps."""
+    """Scaling of the statistics, kernel width, ridge weights and calibration steps."""
 
     mean: np.ndarray
     spread: np.ndarray
+    width: float
     weights: np.ndarray
     steps: np.ndarray
     levels: np.ndarray
@@ -88,14 +92,14 @@ class Model(NamedTuple):
 
 def frequencies(width: int = len(STATISTICS), features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
-    return draw.normal(0, 1 / math.sqrt(width) / WIDTH, (width, features)), draw.uniform(0, 2 * math.pi, features)
+    return draw.normal(0, 1 / math.sqrt(width), (width, features)), draw.uniform(0, 2 * math.pi, features)
 
 
-def fourier(rows: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Fourier features of the scaled statistics, with a constant last."""
+def fourier(rows: np.ndarray, mean: np.ndarray, spread: np.ndarray, width: float) -> np.ndarray:
+    """Fourier features of the scaled statistics for a kernel width, with a constant last."""
     directions, phases = frequencies()
     scaled = np.clip((rows - mean) / spread, -8, 8)
-    waves = math.sqrt(2 / FEATURES) * np.cos(scaled @ directions + phases)
+    waves = math.sqrt(2 / FEATURES) * np.cos(scaled @ directions / width + phases)
     return np.hstack([waves, np.ones((len(rows), 1))])
 
 
@@ -110,27 +114,60 @@ def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def products(mean: np.ndarray, spread: np.ndarray):
-    """Function that sums the products of a partition's features and labels, a row per matrix cell."""
+    """Function that sums the products of a partition's features and labels, a row per fold, width and matrix cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros((FEATURES + 2, FEATURES + 2)), 0
+        side = FEATURES + 2
+        total, rows = np.zeros((FOLDS, len(WIDTHS), side, side)), 0
         for batch in batches:
-            waves = fourier(stacked(batch), mean, spread)
-            both = np.hstack([waves, batch.column("label").to_numpy(zero_copy_only=False).reshape(-1, 1)])
-            total += both.T @ both
-            rows += len(both)
+            folds = batch.column("fold").to_numpy(zero_copy_only=False)
+            label = batch.column("label").to_numpy(zero_copy_only=False).reshape(-1, 1)
+            for w, width in enumerate(WIDTHS):
+                both = np.hstack([fourier(stacked(batch), mean, spread, width), label])
+                for fold in np.unique(folds):
+                    part = both[folds == fold]
+                    total[fold, w] += part.T @ part
+            rows += len(folds)
         if rows:
-            upper = np.triu_indices(FEATURES + 2)
-            cells = upper[0] * (FEATURES + 2) + upper[1]
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[upper], pa.float64())], names=["cell", "value"])
+            upper = np.triu_indices(side)
+            cells = upper[0] * side + upper[1]
+            for fold in range(FOLDS):
+                for w in range(len(WIDTHS)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(cells), fold * len(WIDTHS) + w, np.int32)), pa.array(cells, pa.int32()), pa.array(total[fold, w][upper], pa.float64())],
+                        names=["part", "cell", "value"],
+                    )
 
     return run
 
 
-def raw_cells(mean: np.ndarray, spread: np.ndarray, weights: np.ndarray):
+def solved(matrix: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from the summed products of features and label; the constant is not penalised."""
+    rows = matrix[-2, -2]  # the constant's square, summed
+    penalty = ridge * rows / FEATURES * np.eye(FEATURES + 1)
+    penalty[-1, -1] = 1e-9
+    return np.linalg.solve(matrix[:-1, :-1] + penalty, matrix[:-1, -1])
+
+
+def squared_error(matrix: np.ndarray, weights: np.ndarray) -> float:
+    """Sum of squared errors of the weights on the rows whose products were summed."""
+    return float(weights @ matrix[:-1, :-1] @ weights - 2 * weights @ matrix[:-1, -1] + matrix[-1, -1])
+
+
+def chosen(parts: np.ndarray) -> tuple[int, float]:
+    """Place of the width, and the ridge, of least squared error on folds left out; ``parts`` by fold and width."""
+    errors = {}
+    for w in range(len(WIDTHS)):
+        whole = parts[:, w].sum(axis=0)
+        for ridge in RIDGES:
+            errors[w, ridge] = sum(squared_error(part, solved(whole - part, ridge)) for part in parts[:, w] if (whole - part)[-2, -2] > 0)
+    return min(errors, key=errors.get)
+
+
+def raw_cells(mean: np.ndarray, spread: np.ndarray, width: float, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = fourier(stacked(batch), mean, spread) @ weights
+            raw = fourier(stacked(batch), mean, spread, width) @ weights
             cells = np.round(np.clip(raw, -1, 2) * GRID).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), batch.column("label")], names=["cell", "label"])
 
@@ -154,40 +191,40 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     """Model learned from the documents that ``train`` marks and ``labels`` covers.
 
     Labels of one document that differ, or null labels: the largest non-null one counts. All labelled
-    training rows are used. Without any, the model scores 0.5 everywhere.
+    training rows are used, and nothing else is learned from or tried on. Rows of equal statistics are in
+    one fold. Without any row, the model scores 0.5 everywhere.
     """
     width = len(STATISTICS)
     marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
-    chosen = docs.where(train).select("doc_id", whole_text("text").alias("text"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    stats = chosen.mapInArrow(over_slices(describe), f"doc_id {kind}, stats array<double>")
-    rows = settle(stats.join(marks, "doc_id").select("stats", "label"))
+    texts = docs.where(train).select("doc_id", whole_text("text").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    stats = texts.mapInArrow(over_slices(describe), f"doc_id {kind}, stats array<double>")
+    rows = settle(stats.join(marks, "doc_id").select("stats", "label", F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).cast("int").alias("fold")))
     moments = rows.select(*(f(F.col("stats")[i]).alias(f"{f.__name__}_{i}") for f in (F.avg, F.stddev_pop) for i in range(width)), F.count(F.lit(1)).alias("n")).first()
     if not moments["n"]:
-        return Model(np.zeros(width), np.ones(width), np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
+        return Model(np.zeros(width), np.ones(width), 1.0, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
     mean = np.array([moments[f"avg_{i}"] for i in range(width)])
     spread = np.array([moments[f"stddev_pop_{i}"] for i in range(width)])
     spread = np.where(spread > 1e-9, spread, 1.0)
-    cells = rows.mapInArrow(products(mean, spread), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    matrix = np.zeros((FEATURES + 2) ** 2)
-    for cell in cells:
-        matrix[cell["cell"]] = cell["value"]
-    matrix = matrix.reshape(FEATURES + 2, -1)
-    matrix = np.triu(matrix) + np.triu(matrix, 1).T
-    penalty = RIDGE * moments["n"] / FEATURES * np.eye(FEATURES + 1)
-    penalty[-1, -1] = 1e-9
-    weights = np.linalg.solve(matrix[:-1, :-1] + penalty, matrix[:-1, -1])
-    raw = rows.mapInArrow(raw_cells(mean, spread, weights), "cell int, label double")
+    summed = rows.mapInArrow(products(mean, spread), "part int, cell int, value double").groupBy("part", "cell").agg(F.sum("value").alias("value"))
+    parts = np.zeros((FOLDS * len(WIDTHS), (FEATURES + 2) ** 2))
+    found = summed.toArrow()  # FOLDS x widths x cells rows, whatever the input
+    parts[found.column("part").to_numpy(), found.column("cell").to_numpy()] = found.column("value").to_numpy()
+    parts = parts.reshape(FOLDS, len(WIDTHS), FEATURES + 2, FEATURES + 2)
+    parts = np.triu(parts) + np.triu(parts, 1).swapaxes(-1, -2)
+    best, ridge = chosen(parts)
+    weights = solved(parts[:, best].sum(axis=0), ridge)
+    raw = rows.mapInArrow(raw_cells(mean, spread, WIDTHS[best], weights), "cell int, label double")
     grid = raw.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("label")).orderBy("cell").collect()
     counts = np.array([r["n"] for r in grid], float)
     levels = pooled(np.array([r["label"] for r in grid]), counts)
-    return Model(mean, spread, weights, np.array([r["cell"] / GRID for r in grid]), levels)
+    return Model(mean, spread, WIDTHS[best], weights, np.array([r["cell"] / GRID for r in grid]), levels)
 
 
 def apply_model(model: Model):
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = np.array([statistics(t) for t in strings(batch)]).reshape(-1, len(STATISTICS))
-        raw = fourier(rows, model.mean, model.spread) @ model.weights
+        raw = fourier(rows, model.mean, model.spread, model.width) @ model.weights
         scores = np.clip(np.interp(raw, model.steps, model.levels), 0, 1)
         names = [c for c in batch.schema.names]
         return pa.RecordBatch.from_arrays(
