@@ -3,8 +3,9 @@
 Random strings encode badly: a vocabulary made from text gives them few characters per token. Runs of
 key-like characters are encoded, or what the patterns leave of them, and those that mix letters and
 digits and are under the threshold are spans of kind ``random``, unless they have the form of a known
-digest or identifier. In other runs the pieces between signs are looked at, so that words
-glued to a random string do not hide it. Spans are code points, end exclusive.
+digest or identifier. In runs with signs the pieces between them are looked at, so that words
+glued to a random string do not hide it and signs do not make words look random. Spans are code points,
+end exclusive.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ ASSIGN_VALUE, ACCESS_SPAN = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HEX_DIGITS = "|".join(f"[0-9a-fA-F]{{{n}}}" for n in (32, 40, 56, 64, 96, 128))
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|{HEX_DIGITS})(?![A-Za-z0-9])")  # identifiers and digests
-UNMIXED = re.compile(r"[0-9+/_=-]+|[A-Za-z+/_=-]+")
+MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+=*")  # a run without signs but padding
 PIECE = re.compile(r"[A-Za-z0-9]+")
+SIGNS = "+/_=-"
 LEAST = 20
 CHARS_PER_TOKEN = 2.0
+BASES = re.compile(r"[ACGTUNacgtun]{12,}")  # nucleotide sequences
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -43,17 +46,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def lacking(piece: str, encoding, ratio: float) -> float:
+    """Characters that a piece lacks at the ratio; numbers and nucleotide sequences only lose.
+
+    A word in capitals counts as what it is in small letters, which the vocabulary knows better.
+    """
+    if piece.isdigit() or BASES.fullmatch(piece):
+        return -len(piece)
+    tokens = len(encoding.encode_ordinary(piece))
+    if len(piece) > 3 and piece.isalpha() and (piece.isupper() or piece.istitle()):
+        tokens = min(tokens, len(encoding.encode_ordinary(piece.lower())))
+    return ratio * tokens - len(piece)
+
+
 def low_stretches(run: str, encoding, ratio: float) -> Iterator[tuple[int, int]]:
     """Stretches of a run's pieces that are long enough and under the ratio.
 
-    A piece scores the characters it lacks at the ratio; numbers only lose, signs count nothing. All
+    A piece scores the characters it lacks at the ratio; signs count nothing. All
     maximal stretches of the scores are found (Ruzzo and Tompa), so a piece under the ratio is always
     in one, whatever stands around it.
     """
     total, kept = 0.0, []  # score before and behind the stretch, its start and end, the last one that began lower
     for m in PIECE.finditer(run):
-        piece, before = m[0], total
-        total += -len(piece) if piece.isdigit() else ratio * len(encoding.encode_ordinary(piece)) - len(piece)
+        before = total
+        total += lacking(m[0], encoding, ratio)
         if total <= before:
             continue
         low, start = before, m.start()
@@ -66,7 +82,17 @@ def low_stretches(run: str, encoding, ratio: float) -> Iterator[tuple[int, int]]
             low, start = kept[at][0], kept[at][2]
             del kept[at:]
         kept.append((low, total, start, m.end(), at))
-    return ((start, end) for _, _, start, end, _ in kept if end - start >= LEAST)
+    return (with_signs(run, start, end) for _, _, start, end, _ in kept if end - start >= LEAST)
+
+
+def with_signs(run: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch with the signs that can only be its own: ``+`` beside it, and any that begin or end the run."""
+    while start and run[start - 1] == "+":
+        start -= 1
+    while end < len(run) and run[end] == "+":
+        end += 1
+    begins, ends = not run[:start].strip(SIGNS), not run[end:].strip(SIGNS)
+    return 0 if begins else start, len(run) if ends else end
 
 
 def rests(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -88,7 +114,7 @@ def random_spans(text: str, found: list[tuple[str, int, int]], encoding, ratio:
             last += 1
         for start, end in rests(*m.span(), spans[at:last]):
             run = text[start:end]
-            if not UNMIXED.fullmatch(run) and not KNOWN.fullmatch(run) and len(run) < ratio * len(encoding.encode_ordinary(run)):
+            if MIXED.fullmatch(run) and not KNOWN.fullmatch(run) and len(run) < ratio * len(encoding.encode_ordinary(run)):
                 yield "random", start, end
                 continue
             for s, e in rests(0, len(run), [k.span() for k in KNOWN.finditer(run)]):
