@@ -4,8 +4,9 @@ A dimension is a query term and a vector's component its posting. In a shard eve
 and a highest possible contribution; what lies above the lowest is the term's impact. Terms are split
 where the impact bounds of the smaller ones, summed, cannot lift a vector over the threshold: the
 others are essential and are traversed for all vectors, the rest is probed, largest bound first, only
-for vectors that can still compete. Shards and query blocks meet by an equality join on their two
-numbers, and the shards' best rows are merged by score and id.
+for vectors that can still compete. Shards stay where they are and are moved once; the queries, which
+are few beside them, are repeated to every shard. A task keeps the threshold that each query reached in
+its earlier shards, and the shards' best rows are merged by score and id.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 4096
+SHARD_CELLS = 1 << 21  # components of a shard, 16 MB
 QUERY_ROWS = 1024
 SEED_ROWS = 256
 PROBE_TERMS = 8
@@ -49,14 +50,13 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Rows in numbered blocks of about ``size``."""
-    number = max(1, -(-rows.count() // size))
-    return rows.repartition(number).mapInArrow(pack, "block int, width int, ids binary, matrix binary"), number
+def blocks(rows: DataFrame, number: int) -> DataFrame:
+    """Rows in so many numbered blocks of about equal size."""
+    return rows.repartition(number).mapInArrow(pack, "block int, width int, ids binary, matrix binary")
 
 
-def best_of(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, own: int, k: int):
-    """Places and scores of the k best columns of ``terms`` (dimension x vector), ties to the smaller id."""
+def best_of(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, own: int, k: int, least: int):
+    """Places and scores of the k best columns of ``terms`` (dimension x vector) that reach ``least``, ties to the smaller id."""
     reach = np.sort(np.stack([query * low, query * high]), axis=0)
     base, impact = int(reach[0].sum()), reach[1] - reach[0]
     order = np.argsort(impact, kind="stable")  # smallest bound first
@@ -66,7 +66,7 @@ def best_of(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndar
     seed, rest = others[:SEED_ROWS], others[SEED_ROWS:]
     places, scores = seed, query @ terms[:, seed]
     if len(rest) and len(seed) >= k:
-        threshold = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+        threshold = max(least, int(np.partition(scores, len(scores) - k)[len(scores) - k]))
         split = int(np.searchsorted(below, threshold - base, side="left"))  # terms before it cannot reach the threshold alone
         essential, probed = order[split:], order[:split][::-1]
         partial = np.zeros(terms.shape[1], np.int64)
@@ -84,14 +84,23 @@ def best_of(query: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndar
         places, scores = np.concatenate([seed, rest[alive]]), np.concatenate([scores, partial[alive]])
     elif len(rest):
         places, scores = others, query @ terms[:, others]
+    places, scores = places[scores >= least], scores[scores >= least]
     chosen = np.lexsort((ids[places], -scores))[:k]
     return places[chosen], scores[chosen]
 
 
+def check_range(shard: np.ndarray, asked: np.ndarray) -> None:
+    """Fail where a score might not fit 64 bits, rather than give a wrong one."""
+    most = [int(max(-m.min(initial=0), m.max(initial=0))) for m in (shard, asked)]
+    if most[0] * most[1] * shard.shape[1] >= 1 << 63:
+        raise OverflowError("components are too large for 64-bit scores")
+
+
 def search_pairs(k: int):
     """Function over pairs of a query block and a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[int, np.ndarray] = {}  # by query block, each query's k-th score in the shards before
         for batch in batches:
             for pair in batch.to_pylist():
                 width = max(pair["width"], pair["q_width"])
@@ -99,9 +108,12 @@ def search_pairs(k: int):
                 shard, asked = np.zeros((len(ids), width), np.int64), np.zeros((len(queries), width), np.int64)
                 shard[:, : pair["width"]] = np.frombuffer(pair["matrix"], np.int64).reshape(len(ids), -1)
                 asked[:, : pair["q_width"]] = np.frombuffer(pair["q_matrix"], np.int64).reshape(len(queries), -1)
+                check_range(shard, asked)
                 terms = np.ascontiguousarray(shard.T)
                 low, high = shard.min(axis=0), shard.max(axis=0)
-                found = [best_of(q, terms, low, high, ids, int(own), k) for q, own in zip(asked, queries, strict=True)]
+                least = reached.setdefault(pair["q_block"], np.full(len(queries), np.iinfo(np.int64).min))
+                found = [best_of(q, terms, low, high, ids, int(own), k, int(bar)) for q, own, bar in zip(asked, queries, least, strict=True)]
+                least[:] = [max(bar, scores[-1]) if len(scores) == k else bar for bar, (_, scores) in zip(least, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(queries, [len(p) for p, _ in found]), pa.int64()),
@@ -120,16 +132,18 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: int = 102
     Rows with a null id, or whose vector is null or holds a null or non-finite component, take no
     part. Every row but those of the query's own id is a candidate, repeated rows each on their own;
     a query id that repeats is asked once, with its least vector. Vectors of unequal length count as
-    ending in zeros. ``k`` is the feature; nothing else is cut.
+    ending in zeros. Components so large that a score might not fit 64 bits fail the search. ``k`` is
+    the feature; nothing else is cut.
     """
     rows = embeddings.select("vec_id", scaled(F.col("embedding"), scale).alias("vector"), is_query.alias("asked"))
     rows = rows.where("vector IS NOT NULL AND vec_id IS NOT NULL")
     asked = rows.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    shards, n_shards = blocks(rows.select("vec_id", "vector"), SHARD_ROWS)
-    queries, n_queries = blocks(asked, QUERY_ROWS)
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width"), F.count_if("asked").alias("asked")).first()
+    n_shards = max(1, -(-sizes["rows"] * (sizes["width"] or 0) // SHARD_CELLS))
+    shards = blocks(rows.select("vec_id", "vector"), n_shards)
+    queries = blocks(asked, max(1, -(-sizes["asked"] // QUERY_ROWS)))
     queries = queries.select(F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    left = shards.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    found = left.join(right, ["block", "q_block"]).mapInArrow(search_pairs(k), "query_id long, vec_id long, score long")
+    repeated = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    found = shards.join(repeated, "block").mapInArrow(search_pairs(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
