@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.llm.common import over_slices, strings, whole_text
 from taxaflow.llm.vocabulary import codec, tokenizer_path
+from taxaflow.session import settle
 
 BLOCK = 1024
 
@@ -40,6 +41,7 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     texts = docs.select(whole_text("text").alias("text"))
     pairs = texts.mapInArrow(encoded_lengths(path or tokenizer_path()), "n_tokens long, n_docs long")
     histogram = pairs.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    histogram = settle(histogram)  # used twice below, and a row a length
     histogram = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     totals = histogram.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("tokens"))
