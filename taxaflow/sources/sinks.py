@@ -106,7 +106,7 @@ def archived_objects(executions: DataFrame, events: DataFrame, machine_prefix: s
     listed = events.join(wanted.select("execution_arn"), "execution_arn", "left_semi").groupBy("execution_arn")
     histories = listed.agg(F.sort_array(F.collect_list(event)).alias("events"))
     told = wanted.join(histories, "execution_arn", "left").select(
-        "execution_arn", F.coalesce(F.to_json(F.struct("events")), F.lit('{"events":[]}')).alias("body")
+        "execution_arn", F.when(F.col("events").isNull(), '{"events":[]}').otherwise(F.to_json(F.struct("events"))).alias("body")
     )
     paths = wanted.select("execution_arn", F.expr("stack(2, 'description', description_path, 'history', history_path) AS (kind, path)"))
     bodies = described.withColumn("kind", F.lit("description")).unionByName(told.withColumn("kind", F.lit("history")))
