@@ -79,10 +79,11 @@ counts AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
 rated AS (
   SELECT q, item_id, s, k, i - 1 AS off, p.words[i] AS w, row_number() OVER (PARTITION BY q, s ORDER BY n, i) AS place, count(n) OVER (PARTITION BY q, s) AS held
   FROM places p, unnest(range(1, k + 1)) AS t(i) LEFT JOIN counts ON counts.w = p.words[i]),
-tries AS (
-  SELECT DISTINCT x.r, a.q, a.s, x.pos - a.off AS pos
-  FROM rated a JOIN rated b ON a.q = b.q AND a.s = b.s AND a.place = 1 AND b.place = least(2, a.k) AND a.held = a.k
-  JOIN tokens x ON x.w = a.w JOIN tokens y ON y.w = b.w AND y.r = x.r AND abs((x.pos - a.off) - (y.pos - b.off)) <= 2),
+anchors AS MATERIALIZED (
+  SELECT r, q, s, pos - off AS pos, place, least(2, k) AS second FROM rated JOIN tokens USING (w) WHERE held = k AND place <= least(2, k)),
+tries AS MATERIALIZED (
+  SELECT DISTINCT f.r, f.q, f.s, f.pos
+  FROM anchors f JOIN (SELECT r, q, s, pos + d AS pos FROM anchors, unnest(range(-2, 3)) AS t(d) WHERE place = second) g USING (r, q, s, pos) WHERE f.place = 1),
 close AS (
   SELECT DISTINCT r, CAST(p.item_id AS VARCHAR) AS item_id
   FROM tries JOIN places p USING (q, s) JOIN d USING (r)
