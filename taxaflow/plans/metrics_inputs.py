@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from taxaflow.sources.tables import Tables
 
@@ -74,10 +75,10 @@ def age_points(t: Tables) -> DataFrame:
 
 def expected_alarms(t: Tables) -> DataFrame:
     """Alarms that must exist: sources that never report, due from one of the first three days on."""
-    first = t.events.agg(F.min("ts").alias("first"))
+    first = t.events.agg(F.min("ts")).first()[0]
     nations = t.nation.selectExpr("'IndexAgeDays' AS metric", "concat('silent-', n_nationkey) AS dimension", "n_nationkey % 3 AS days")
-    since = F.expr("first + make_dt_interval(CAST(days AS INT))")
-    return nations.join(F.broadcast(first)).select("metric", "dimension", since.alias("since"))  # one row
+    since = F.lit(first).cast("timestamp_ntz") + F.expr("make_dt_interval(CAST(days AS INT))")
+    return nations.select("metric", "dimension", since.alias("since"))
 
 
 def gauge_points(t: Tables) -> DataFrame:
