@@ -6,9 +6,13 @@ least key publishes their ids, the others take them. All other text is encoded w
 two pieces is repaired by encoding the words around it again: from a place left of it to one right of
 it at which no token can cross, further out until both sides' own tokens agree with those places.
 
-Places no token can cross are those where a blank or line feed follows a printable ASCII character:
-the pattern that splits words ends a word there whatever surrounds it, and no special token contains
-a blank. What a document takes for a chunk is decoded and compared with the chunk first, so a hash
+Places no token can cross are those where a blank or line feed follows a printable ASCII character, or
+a sign follows a letter: the pattern that splits words ends a word there whatever surrounds it, and no
+special token of the vocabulary has such a place, which is checked. Letters here are ASCII and those of
+scripts written without blanks. Inside a long run of the latter there is no such place. There the bytes
+around a join are encoded again from one token border to another; if the first new token is the old one
+there and the last one too, all neighbours are as merging leaves them, which makes the whole run exact.
+What a document takes for a chunk is decoded and compared with the chunk first, so a hash
 that repeats costs work and changes nothing.
 """
 
@@ -34,7 +38,16 @@ WINDOW = 16  # bytes the rolling hash sees
 GEAR = np.random.default_rng(1).integers(0, 2**32, 256, np.uint32)
 BROADCAST_OWNERS = 500_000  # documents that publish, a key and a few hashes each; beyond it their texts are shuffled
 REPAIR = 64  # bytes first looked at either side of a join
-SAFE = re.compile(rb"[\x21-\x7e](?=[ \n])")
+
+# Fixed values, UTF-8: letters of scripts without blanks (Thai consonants, kana, ideographs, Hangul), and signs.
+LETTER = rb"(?:\xe0\xb8[\x81-\xae]|\xe3\x81[\x81-\xbf]|\xe3\x82[\x80-\x96\xa1-\xbf]|\xe3\x83[\x80-\xba]|\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe8][\x80-\xbf]{2}|\xe9[\x80-\xbd][\x80-\xbf]|\xe9\xbe[\x80-\xa5]|\xea[\xb1-\xbf][\x80-\xbf]|[\xeb-\xec][\x80-\xbf]{2}|\xed[\x80-\x9d][\x80-\xbf])"
+SIGN = rb"(?:[\x00-\x20!-&(-,.:;?@~{}]|\xe3\x80[\x80-\x82\x88-\x91]|\xef\xbc[\x81-\x8f\x9a-\xa0])"
+SAFE = re.compile(rb"[\x21-\x7e](?=[ \n])|(?:[A-Za-z]|" + LETTER + rb")(?=" + SIGN + rb")")
+LETTERS = re.compile(LETTER + rb"+")
+
+
+def is_safe(raw: bytes, place: int) -> bool:
+    return any(m is not None and m.end() == place for m in (SAFE.match(raw, max(0, place - width)) for width in (1, 3)))
 
 
 def rolling_cuts(data: np.ndarray) -> np.ndarray:
@@ -128,7 +141,7 @@ class Tape:
 
     def repaired(self, ids: np.ndarray, here: int, end: int) -> np.ndarray:
         raw = self.raw
-        if SAFE.match(raw, here - 1):
+        if is_safe(raw, here):
             self.starts.append(here)
             return ids
         reach = REPAIR
@@ -143,17 +156,47 @@ class Tape:
                 before = self.tokens_before(left)
                 token = int(np.searchsorted(ends, right - here, side="left"))
                 if before is not None and token < len(ends) and ends[token] == right - here:
-                    part, count = before
                     between = self.coder.encode(raw[left:right].decode())
-                    del self.parts[part + 1 :], self.starts[part + 1 :]
-                    self.parts[part] = self.parts[part][:count]
-                    self.starts.append(left)
-                    return np.concatenate([between, ids[token + 1 :]])
+                    return self.spliced(before, left, np.concatenate([between, ids[token + 1 :]]))
+            agreed = self.agreed(ids, ends, here, reach)
+            if agreed is not None:
+                return self.spliced(*agreed)
             reach *= 2
 
 
+    def agreed(self, ids: np.ndarray, ends: np.ndarray, here: int, reach: int) -> tuple[tuple[int, int], int, np.ndarray] | None:
+        """Where to go on and with what, if letters on both sides agree with the bytes between encoded again."""
+        raw = self.raw
+        first = next((m.start() for m in LETTERS.finditer(raw, max(0, here - reach), here) if m.end() == here), None)
+        after = LETTERS.match(raw, here, min(here + int(ends[-1]), here + reach))
+        if first is None or after is None:
+            return None
+        last = after.end()
+        whole = (p for p in range(first, here) if raw[p] & 0xC0 != 0x80)
+        found = next(((p, at) for p in whole if (at := self.tokens_before(p)) is not None), None)
+        right = next((here + int(e) for e in ends[: np.searchsorted(ends, last - here, side="right")][::-1] if here + e == len(raw) or raw[here + e] & 0xC0 != 0x80), None)
+        if found is None or right is None:
+            return None
+        left, (part, count) = found
+        token = int(np.searchsorted(ends, right - here, side="left"))
+        between = self.coder.encode(raw[left:right].decode())
+        if count == len(self.parts[part]) or between[0] != self.parts[part][count] or between[-1] != ids[token]:
+            return None
+        return (part, count), left, np.concatenate([between, ids[token + 1 :]])
+
+    def spliced(self, before: tuple[int, int], left: int, ids: np.ndarray) -> np.ndarray:
+        """Drop the tokens from ``left`` on, where ``ids`` will stand instead."""
+        part, count = before
+        del self.parts[part + 1 :], self.starts[part + 1 :]
+        self.parts[part] = self.parts[part][:count]
+        self.starts.append(left)
+        return ids
+
+
 def assemble(coder: Codec, raw: bytes, ready: dict[int, np.ndarray]) -> np.ndarray:
     """Ids of a text, taking the ids of chunks that ``ready`` has."""
+    if any(SAFE.search(token.encode()) for token in coder.special):
+        raise ValueError("a special token of this vocabulary can cross a join")
     bounds, hashes = chunks_of(raw)
     tape, pending = Tape(coder, raw), 0
     for start, end, name in zip([0, *bounds], bounds, hashes, strict=False):

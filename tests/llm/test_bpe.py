@@ -47,6 +47,42 @@ def test_joins_are_repaired(monkeypatch, limits):
         assert list(bpe.assemble(coder, raw, ready)) == list(coder.encode(text))
 
 
+@pytest.mark.parametrize("limits", [(256, 10, 8192), (16, 4, 64), (8, 3, 24)])
+@pytest.mark.parametrize("signs", ["", "。，", "a;(é's -\u0e31|"])
+def test_joins_without_blanks(monkeypatch, limits, signs):
+    for name, value in zip(("LEAST", "MASK_BITS", "MOST"), limits, strict=True):
+        monkeypatch.setattr(bpe, name, value)
+    coder, draw = codec(tokenizer_path()), random.Random(7)
+    common = "日本語中国的是在不了有和人這中大のをにはアンกนา가한" + signs
+    for turn in range(120):
+        size = draw.choice([40, 900, 4000])
+        letters = common if turn % 2 else "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(300)) + signs
+        text = "".join(draw.choices(letters, k=size))
+        raw = text.encode()
+        bounds, names = bpe.chunks_of(raw)
+        ready = {n: coder.encode(raw[a:b].decode()) for a, b, n in zip([0, *bounds], bounds, names, strict=False) if draw.random() < 0.6}
+        assert list(bpe.assemble(coder, raw, ready)) == list(coder.encode(text))
+
+
+def test_repairs_of_long_texts_without_blanks_stay_local():
+    coder, draw = codec(tokenizer_path()), random.Random(9)
+    raw = "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(60_000)).encode()
+    bounds, names = bpe.chunks_of(raw)
+    ready = {n: coder.encode(raw[a:b].decode()) for a, b, n in zip([0, *bounds], bounds, names, strict=False)}
+    encoded, plain = [], coder.encode
+
+    class Counted:
+        special, lengths, decode_bytes = coder.special, coder.lengths, staticmethod(coder.decode_bytes)
+
+        @staticmethod
+        def encode(text):
+            encoded.append(len(text))
+            return plain(text)
+
+    assert list(bpe.assemble(Counted, raw, ready)) == list(plain(raw.decode()))
+    assert len(encoded) < 4 * len(bounds) and sum(encoded) < 60_000
+
+
 def test_wrong_chunk_ids_change_nothing():
     coder, text = codec(tokenizer_path()), "some words that are shared " * 100
     names = bpe.chunks_of(text.encode())[1]
