@@ -1,8 +1,12 @@
 """Scored taxon counts and the nested document per taxon, for any number of runs at once.
 
-No broadcast hints: Spark broadcasts a side when its measured size allows, and joins by sorted
-shuffle with skew splitting otherwise. Each join key differs from the next one, so a hot run or a
-hot taxon can be split in every join.
+Spark broadcasts a side when its measured size allows, and joins by sorted shuffle with skew
+splitting otherwise. Each join key differs from the next one, so a hot run or a hot taxon can be split
+in every join. Only run configs get a hint, behind a count: Spark takes the size of a join for the product of
+its sides, and would move every count for a table of a few bytes a run.
+
+Requested pairs are scored with one move of the counts for all that a taxon has: its lineages and its
+models of the requested backgrounds come as one row of short lists. A count is repeated per background after it.
 """
 
 from __future__ import annotations
@@ -12,7 +16,11 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions.rows import evaluated_once
 from taxaflow.functions.scoring import document_id, lineage_join_id, taxon_zscore
+from taxaflow.session import new_shared_path, settle
+
+BROADCAST_RUNS = 500_000  # about 40 bytes each
 
+COUNT_TYPES = ["NT", "NR", "merged_NT_NR"]
 COUNT_KEYS = ["pipeline_run_id", "tax_id", "count_type", "tax_level"]
 SCORED_COLUMNS = [
     "pipeline_run_id", "tax_id", "count_type", "tax_level", "genus_taxid", "family_taxid",
@@ -39,6 +47,47 @@ def run_config(runs: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
+def broadcast_if_few(rows: DataFrame, limit: int = BROADCAST_RUNS) -> DataFrame:
+    """The rows with a broadcast hint where they are counted to be few and the session does not forbid it."""
+    allowed = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip() != "-1"
+    return F.broadcast(rows) if allowed and rows.limit(limit + 1).count() <= limit else rows
+
+
+def requested_pairs(requests: DataFrame) -> DataFrame:
+    """The different pairs, parsed once."""
+    return settle(requests.select("pipeline_run_id", "background_id").distinct())
+
+
+def requested_runs(runs: DataFrame, configs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every requested run once, with its config and the list of its requested backgrounds."""
+    wanted = requests.groupBy("pipeline_run_id").agg(F.collect_set(F.struct("background_id")).alias("_backgrounds"))
+    return wanted.join(run_config(runs, configs), "pipeline_run_id", "left")
+
+
+LINEAGE = ["genus_name", "common_name"]
+MODEL = ["stdev", "mean", "stdev_mass_normalized", "mean_mass_normalized"]
+
+
+def taxon_profiles(lineages: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One row per taxon that carries a lineage: its ranges, and the models of all ids that join to it.
+
+    The lists hold a taxon's ranges, and a model per background, count type and level. They are written to
+    the shared folder, because a join to rows just aggregated on its key cannot be split.
+    """
+    ranges = lineages.select(
+        F.col("taxid").alias("_taxid"),
+        F.struct("version_start", "version_end", "genus_name", F.col("family_common_name").alias("common_name")).alias("_range"),
+    )
+    models = summaries.select(
+        lineage_join_id(F.col("tax_id")).alias("_taxid"),
+        F.struct("background_id", "tax_id", "tax_level", "count_type", *MODEL).alias("_model"),
+    )
+    both = ranges.unionByName(models, allowMissingColumns=True).filter("_taxid IS NOT NULL")
+    path = new_shared_path(lineages.sparkSession, "taxon-profiles")
+    both.groupBy("_taxid").agg(F.collect_list("_range").alias("_ranges"), F.collect_list("_model").alias("_models")).write.parquet(path)
+    return lineages.sparkSession.read.parquet(path)
+
+
 def versioned_lineage(counts: DataFrame, lineages: DataFrame) -> DataFrame:
     """Lineage valid at the run's lineage version, both ends inclusive.
 
@@ -106,20 +155,61 @@ def scored_taxon_counts(
         raise ValueError("give either background_id or requests")
     wanted = counts.withColumnRenamed("count", "counts")
     if requests is not None:
-        wanted = of_requested_runs(wanted, requests)
-        summaries = summaries.join(requests.select("background_id"), "background_id", "left_semi")
-    with_run = wanted.join(run_config(runs, configs), "pipeline_run_id", "left")
-    with_lineage = versioned_lineage(with_run, lineages)
-    if requests is not None:
-        pairs = requests.select("pipeline_run_id", "background_id").distinct()
-        with_lineage = with_lineage.join(pairs, "pipeline_run_id")
-    with_model = background_summary(with_lineage, summaries, background_id)
+        requests = requested_pairs(requests)
+        with_model = requested_models(wanted, runs, configs, lineages, summaries, requests)
+    else:
+        with_run = wanted.join(broadcast_if_few(run_config(runs, configs)), "pipeline_run_id", "left")
+        with_model = background_summary(versioned_lineage(with_run, lineages), summaries, background_id)
     scored = with_model.withColumn("created_at", now).withColumn("zscore", zscore_column()).select(*SCORED_COLUMNS)
     return scored.orderBy("tax_id") if ordered else scored
 
 
+def requested_models(
+    counts: DataFrame, runs: DataFrame, configs: DataFrame, lineages: DataFrame, summaries: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """Counts of the requested pairs with run config, lineage and model, as the joins one by one give them.
+
+    Rows stay where the join by ``lineage_taxon_join_id`` put them.
+    """
+    backgrounds = broadcast_if_few(requests.select("background_id").distinct())
+    chosen = summaries.join(backgrounds, "background_id", "left_semi")
+    profiles = taxon_profiles(lineages, chosen)
+    left = counts.join(broadcast_if_few(requested_runs(runs, configs, requests)), "pipeline_run_id")
+    left = left.withColumn("lineage_taxon_join_id", lineage_join_id(F.col("tax_id")))
+    joined = left.join(profiles, F.col("lineage_taxon_join_id") == F.col("_taxid"), "left")
+    valid = "r.version_start <= lineage_version AND r.version_end >= lineage_version"
+    same = " AND ".join(f"m.{c} = {c}" for c in ("background_id", "tax_id", "tax_level", "count_type"))
+    kept = [*left.columns]
+    kept.remove("_backgrounds")
+    ranged = joined.selectExpr(*kept, "_backgrounds", "_models", f"explode_outer(filter(_ranges, r -> {valid})) AS _r")
+    paired = ranged.selectExpr(*kept, "_models", *(f"_r.{c}" for c in LINEAGE), "inline(_backgrounds)")
+    found = paired.selectExpr(*kept, *LINEAGE, "background_id", f"explode_outer(filter(_models, m -> {same})) AS _m")
+    return found.selectExpr(*kept, *LINEAGE, "background_id", *(f"_m.{c}" for c in MODEL))
+
+
+def requested_documents(
+    counts: DataFrame,
+    runs: DataFrame,
+    configs: DataFrame,
+    lineages: DataFrame,
+    summaries: DataFrame,
+    contigs: DataFrame,
+    requests: DataFrame,
+) -> DataFrame:
+    """``taxon_documents`` of the requested pairs, with the counts moved for contigs and for taxa only.
+
+    Contigs are looked up before a count is repeated per background. The rows of a document share their
+    taxon, so they are grouped where the join by taxon put them.
+    """
+    requests = requested_pairs(requests)
+    wanted = of_requested_runs(counts.withColumnRenamed("count", "counts"), requests)
+    with_model = requested_models(with_contigs(wanted, contigs, requests), runs, configs, lineages, summaries, requests)
+    scored = with_model.withColumn("zscore", zscore_column())
+    return grouped_documents(scored, "lineage_taxon_join_id").drop("lineage_taxon_join_id")
+
+
 def of_requested_runs(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    return rows.join(requests.select("pipeline_run_id"), "pipeline_run_id", "left_semi")
+    return rows.join(broadcast_if_few(requests.select("pipeline_run_id").distinct()), "pipeline_run_id", "left_semi")
 
 
 def contig_filter(contigs: DataFrame) -> DataFrame:
@@ -127,8 +217,8 @@ def contig_filter(contigs: DataFrame) -> DataFrame:
     return contigs.filter(F.col("lineage_json").isNotNull() & ~F.col("lineage_json").isin("", "{}"))
 
 
-def contig_counts(contigs: DataFrame) -> DataFrame:
-    """Contigs per run, taxon and count type; species and genus both count, NULL and 0 do not."""
+def contig_taxids(contigs: DataFrame) -> DataFrame:
+    """Run, count type and taxon of every count a contig gives; species and genus both count, NULL and 0 do not."""
     taxids = contigs.selectExpr(
         "pipeline_run_id",
         """stack(6,
@@ -137,24 +227,28 @@ def contig_counts(contigs: DataFrame) -> DataFrame:
             'NR', genus_taxid_nr, 'merged_NT_NR', genus_taxid_merged_nt_nr
         ) AS (count_type, tax_id)""",
     )
-    return (
-        taxids.filter(F.col("tax_id") != 0)
-        .groupBy("pipeline_run_id", "tax_id", "count_type")
-        .agg(F.count("*").alias("contigs"))
-    )
+    return taxids.filter(F.col("tax_id") != 0)
+
+
+def contig_counts(contigs: DataFrame) -> DataFrame:
+    """Contigs per run, taxon and count type."""
+    return contig_taxids(contigs).groupBy("pipeline_run_id", "tax_id", "count_type").agg(F.count("*").alias("contigs"))
 
 
 def with_contigs(scored: DataFrame, contigs: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Contig count of each scored row, looked up by the raw taxon id, 0 where none was found.
 
-    With ``requests`` only the contigs of those runs are counted.
+    With ``requests`` only the contigs of those runs are counted. A run's taxon has one row of counts, so
+    both sides meet by run and taxon, and rows that were dealt by these stay where they are.
     """
     if requests is not None:
         contigs = of_requested_runs(contigs, requests)
-    found = contig_counts(contig_filter(contigs))
-    return scored.join(found, ["pipeline_run_id", "tax_id", "count_type"], "left").withColumn(
-        "contigs", F.coalesce("contigs", F.lit(0).cast("bigint"))
+    per_taxon = contig_taxids(contig_filter(contigs)).groupBy("pipeline_run_id", "tax_id").agg(
+        *(F.count_if(F.col("count_type") == c).alias(f"_contigs_{c}") for c in COUNT_TYPES)
     )
+    of_type = F.coalesce(*(F.when(F.col("count_type") == c, F.col(f"_contigs_{c}")) for c in COUNT_TYPES), F.lit(0).cast("bigint"))
+    joined = scored.join(per_taxon, ["pipeline_run_id", "tax_id"], "left")
+    return joined.select(*scored.columns, of_type.alias("contigs"))
 
 
 def taxon_documents(scored: DataFrame, contigs: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -163,13 +257,18 @@ def taxon_documents(scored: DataFrame, contigs: DataFrame, requests: DataFrame |
     A group has at most one row per count type, level and matching lineage range, so the list is
     short whatever the data size. Scalars come from the least (tax_level, count_type) row.
     """
+    return grouped_documents(with_contigs(scored, contigs, requests))
+
+
+def grouped_documents(scored: DataFrame, *places: str) -> DataFrame:
+    """Documents of scored rows with contigs; ``places`` are columns of the taxon that rows are already dealt by."""
     rank = f"min(struct(tax_level, count_type, struct({', '.join(DOCUMENT_SCALARS)}) AS scalars)) AS _head"
     entries = f"sort_array(collect_list(struct(tax_level, {', '.join(METRIC_FIELDS)}))) AS _metrics"
-    grouped = with_contigs(scored, contigs, requests).groupBy(*DOCUMENT_KEYS).agg(F.expr(rank), F.expr(entries))
+    grouped = scored.groupBy(*places, *DOCUMENT_KEYS).agg(F.expr(rank), F.expr(entries))
     doc_id = document_id(F.col("tax_id"), F.col("tax_level"), F.col("pipeline_run_id"), F.col("background_id"))
     metric = ", ".join(f"m.{c} AS {c}" for c in METRIC_FIELDS)
     return grouped.selectExpr(
-        *DOCUMENT_KEYS, "_head.scalars.*", f"transform(_metrics, m -> struct({metric})) AS metric_list"
+        *places, *DOCUMENT_KEYS, "_head.scalars.*", f"transform(_metrics, m -> struct({metric})) AS metric_list"
     ).withColumn("doc_id", doc_id)
 
 

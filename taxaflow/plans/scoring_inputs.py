@@ -30,7 +30,8 @@ def _hits(t: Tables) -> DataFrame:
 
 
 def taxon_counts(t: Tables) -> DataFrame:
-    grouped = _hits(t).groupBy("pipeline_run_id", "tax_id", "p", "count_type", "tax_level").agg(
+    """Counts by hits, which are hardly ever alike in all keys, dealt by run and taxon as the look-up of contigs wants them."""
+    grouped = _hits(t).repartition("pipeline_run_id", "tax_id").groupBy("pipeline_run_id", "tax_id", "p", "count_type", "tax_level").agg(
         F.expr("CAST(count(*) AS DOUBLE) AS n"),
         F.expr("sum(quantity) AS count"),
         F.expr("CAST(sum(cents) AS DOUBLE) AS cents"),

@@ -205,3 +205,24 @@ def test_scored_plan_pushes_columns_and_avoids_loops(spark):
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert "l_shipdate" not in plan
+
+
+def test_requested_documents_move_counts_for_contigs_and_taxa_only(spark):
+    """The documents of the scored rows, and no exchange by pair between the join by taxon and the grouping."""
+    from taxaflow.plans import scoring_inputs as src
+    from taxaflow.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    pairs = src.pipeline_runs(t).selectExpr("id AS pipeline_run_id", "explode(array(1L, 2L)) AS background_id")
+    inputs = (src.taxon_counts(t), src.pipeline_runs(t), src.alignment_configs(t), src.taxon_lineages(t), src.taxon_summaries(t))
+    want = op.taxon_documents(op.scored_taxon_counts(*inputs, now=now(), requests=pairs), src.contigs(t), pairs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = op.requested_documents(*inputs, src.contigs(t), pairs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert [line for line in plan.split("\n") if "Exchange" in line and "background_id" in line] == []
+        found = {r.doc_id: r for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {r.doc_id: r for r in want.select(*got.columns).collect()}
