@@ -148,9 +148,9 @@ def upsert_documents(t: Tables) -> DataFrame:
     )
 )
 def bulk_export(t: Tables) -> DataFrame:
-    """Bulk files written and read back as action/document pairs."""
+    """Bulk files written compressed and read back as action/document pairs."""
     path = new_shared_path(t.spark, "bulk")
-    sinks.bulk_export(documents(t), path)
+    sinks.bulk_export(documents(t), path, compression="gzip")
     pairs = t.spark.read.option("lineSep", '\n{"index"').text(path)
     whole = F.when(F.col("value").startswith('{"index"'), F.col("value")).otherwise(
         F.concat(F.lit('{"index"'), F.col("value"))

@@ -226,3 +226,11 @@ def test_requested_documents_move_counts_for_contigs_and_taxa_only(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == {r.doc_id: r for r in want.select(*got.columns).collect()}
+
+
+def test_bulk_files_can_be_compressed(spark, tmp_path):
+    args = tables(spark, [count_row(tax_id=t) for t in range(1, 8)])
+    documents = op.taxon_documents(op.scored_taxon_counts(*args, now=now(), background_id=1), contig_frame(spark))
+    sinks.bulk_export(documents.coalesce(1), str(tmp_path / "bulk"), batch_size=3, compression="gzip")
+    assert len(list((tmp_path / "bulk").glob("*.txt.gz"))) == 3
+    assert spark.read.text(str(tmp_path / "bulk")).count() == 14
