@@ -162,3 +162,16 @@ def test_expired_versions_take_their_files_along(spark, rows):
     assert all(files.exists(folder(f"{path}/{f}")) for f in kept)
     assert not any(files.exists(folder(f"{path}/{f}")) for f in gone if f not in kept)
     assert rows(read_table(spark, path).select("v").distinct()) == [("d",)]
+
+
+def test_an_upsert_stages_its_rows_compressed(spark):
+    """New rows are kept beside the table in less space than their values take."""
+    from taxaflow.session import shared_dir
+
+    def held():
+        folder, files = keyed_tables.file_system(spark, shared_dir(spark))
+        return files.getContentSummary(folder(shared_dir(spark))).getLength()
+
+    path, before = new_shared_path(spark, "test-table"), held()
+    upsert(spark, path, many(spark, 2000, "long text " * 20, taxa=10), bucket_rows=20_000)
+    assert held() - before < 20_000 * 200 / 4
