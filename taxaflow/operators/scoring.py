@@ -212,6 +212,16 @@ def of_requested_runs(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_few(requests.select("pipeline_run_id").distinct()), "pipeline_run_id", "left_semi")
 
 
+def document_ids(counts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Ids of ``requested_documents``: look-ups neither add nor remove one, so counts and pairs give them."""
+    requests = requested_pairs(requests)
+    least = F.expr("IF(bool_or(tax_level IS NULL), NULL, min(tax_level)) AS tax_level")
+    taxa = of_requested_runs(counts, requests).groupBy("pipeline_run_id", "tax_id").agg(least)
+    backgrounds = requests.groupBy("pipeline_run_id").agg(F.collect_set(F.struct("background_id")).alias("_backgrounds"))
+    pairs = taxa.join(broadcast_if_few(backgrounds), "pipeline_run_id").selectExpr("*", "inline(_backgrounds)")
+    return pairs.select(document_id(*(F.col(c) for c in ("tax_id", "tax_level", "pipeline_run_id", "background_id"))).alias("doc_id"))
+
+
 def contig_filter(contigs: DataFrame) -> DataFrame:
     """Contigs with a lineage that says something."""
     return contigs.filter(F.col("lineage_json").isNotNull() & ~F.col("lineage_json").isin("", "{}"))

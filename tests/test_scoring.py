@@ -234,3 +234,13 @@ def test_bulk_files_can_be_compressed(spark, tmp_path):
     sinks.bulk_export(documents.coalesce(1), str(tmp_path / "bulk"), batch_size=3, compression="gzip")
     assert len(list((tmp_path / "bulk").glob("*.txt.gz"))) == 3
     assert spark.read.text(str(tmp_path / "bulk")).count() == 14
+
+
+def test_document_ids_need_counts_and_pairs_only(spark, rows):
+    """The ids of the documents, an unknown level among them, without a look-up that carries rows."""
+    counts = [count_row(level=2), count_row(level=1, count_type="NR"), count_row(tax_id=0, level=None), count_row(tax_id=0), count_row(run=2), count_row(run=3)]
+    args = tables(spark, counts, [(1, 0, "Illumina", 7)], [(7, 3)], [(10, "a", "A", 1, 5)])
+    requests = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2), (9, 1)], "pipeline_run_id BIGINT, background_id BIGINT")
+    got = op.document_ids(args[0], requests)
+    assert rows(got) == rows(op.requested_documents(*args, contig_frame(spark), requests), "doc_id")
+    assert rows(got) == [("0_1_1",), ("0_1_2",), ("10_1_1_1",), ("10_1_1_2",), ("10_1_2_2",)]
