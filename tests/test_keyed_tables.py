@@ -175,3 +175,18 @@ def test_an_upsert_stages_its_rows_compressed(spark):
     path, before = new_shared_path(spark, "test-table"), held()
     upsert(spark, path, many(spark, 2000, "long text " * 20, taxa=10), bucket_rows=20_000)
     assert held() - before < 20_000 * 200 / 4
+
+
+def test_small_buckets_share_folders(spark, rows, monkeypatch):
+    """Hundreds of small buckets of a write lie in a few files; replaced ones are read no more."""
+    path = new_shared_path(spark, "test-table")
+    upsert(spark, path, many(spark, 2000), bucket_rows=20)
+    assert len(keyed_tables.current_version(spark, path).buckets) >= 256 and len(files_of(spark, path)) <= 64
+    upsert(spark, path, many(spark, 700, "b"), bucket_rows=20)
+    upsert(spark, path, keyed(spark, (1999, 0, "c")), bucket_rows=20)
+    assert len(files_of(spark, path)) <= 128
+    assert rows(read_table(spark, path).groupBy("v").count()) == [("a", 5199), ("b", 2800), ("c", 1)]
+    monkeypatch.setattr(keyed_tables, "GROUP_ROWS", 20)
+    upsert(spark, path, many(spark, 2000, "d"), bucket_rows=20)
+    folders = {b.folder for b in keyed_tables.current_version(spark, path).buckets.values()}
+    assert len(folders) >= 256 and rows(read_table(spark, path).groupBy("v").count()) == [("d", 8000)]
