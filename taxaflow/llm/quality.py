@@ -27,6 +27,7 @@ WIDTHS = (0.5, 1.0, 2.0, 4.0)  # of the Gaussian kernel, in standard deviations
 RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)  # both tried on folds of the training rows
 FOLDS = 4
 SEED = 20
+BLOCK = 1000  # rows whose features a task holds at a time
 GRID = 1000  # calibration cells per unit of raw score
 
 STATISTICS = [
@@ -107,6 +108,12 @@ def stacked(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows a few at a time: their features are many times the size of the batch."""
+    for batch in batches:
+        yield from (batch.slice(at, BLOCK) for at in range(0, batch.num_rows, BLOCK))
+
+
 def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = pa.array([statistics(t) for t in strings(batch)], pa.list_(pa.float64()))
     kept = [c for c in batch.schema.names if c != "text"]
@@ -119,7 +126,7 @@ def products(mean: np.ndarray, spread: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = FEATURES + 2
         total, rows = np.zeros((FOLDS, len(WIDTHS), side, side)), 0
-        for batch in batches:
+        for batch in blocks(batches):
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             label = batch.column("label").to_numpy(zero_copy_only=False).reshape(-1, 1)
             for w, width in enumerate(WIDTHS):
@@ -166,7 +173,7 @@ def chosen(parts: np.ndarray) -> tuple[int, float]:
 
 def raw_cells(mean: np.ndarray, spread: np.ndarray, width: float, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             raw = fourier(stacked(batch), mean, spread, width) @ weights
             cells = np.round(np.clip(raw, -1, 2) * GRID).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), batch.column("label")], names=["cell", "label"])

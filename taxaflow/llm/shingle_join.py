@@ -17,6 +17,7 @@ the second leaves out are pairs inside a component, which cannot change the comp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from taxaflow.session import new_shared_path, settle
 COMMON_SHINGLES = 262_144  # shingles known as common; others count as rare, which affects speed only
 COMMON_REPEATS = 3  # repeats in one task's run that make a shingle a candidate for that
 RUN_SHINGLES = 2_000_000
+PART_BYTES = 1 << 19  # text, or hashes of one side, that a task turns into arrays at a time; these take up to fifty times that
 BROADCAST_ROWS = 500_000  # ids and digests, 24 bytes each
 LEADERS = 12  # of a list of groups, each the one with most shared prefix shingles in its share of them; also the most for a group
 
@@ -97,15 +99,18 @@ def frequent(k: int):
     """Function that emits the shingles which repeat among the different sets of a run of documents."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        different = {s.tobytes() for s in sets}
-        shingles, counts = np.unique(np.frombuffer(b"".join(different), np.uint64), return_counts=True)
+        different = {hashlib.blake2b(s, digest_size=16).digest(): s for s in sets}
+        shingles = np.concatenate(list(different.values()))
+        shingles.sort()
+        starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])[: len(shingles)])
+        counts = np.diff(starts, append=len(shingles))
         often = counts >= COMMON_REPEATS
-        return pa.RecordBatch.from_arrays([signed(shingles[often]), pa.array(counts[often], pa.int64())], names=["shingle", "n"])
+        return pa.RecordBatch.from_arrays([signed(shingles[starts[often]]), pa.array(counts[often], pa.int64())], names=["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 sets = shingle_sets(raw_texts(part), k)
                 held += sets
                 size += sum(map(len, sets))
@@ -134,10 +139,8 @@ def describe(k: int, percent: int, common: np.ndarray):
         return np.where(sorted_common[at] == shingles, by_value[at] + 1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 sizes, digests, groups, prefixes = [], [], [], []
                 for shingles in shingle_sets(raw_texts(part), k):
                     n = len(shingles)
@@ -159,10 +162,8 @@ def hash_sets(k: int):
     """Function from documents to their sets' digests and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 raw = [s.tobytes() for s in shingle_sets(raw_texts(part), k)]
                 digests = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["unit", "digest", "hashes"])
@@ -175,7 +176,7 @@ def compare(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "a_hashes"):
+            for part in slices(batch, "a_hashes", PART_BYTES):
                 kept = []
                 for a, b in zip(part.column("a_hashes").to_pylist(), part.column("b_hashes").to_pylist(), strict=True):
                     left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
