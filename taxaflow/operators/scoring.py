@@ -47,10 +47,14 @@ def run_config(runs: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
-def broadcast_if_few(rows: DataFrame, limit: int = BROADCAST_RUNS) -> DataFrame:
-    """The rows with a broadcast hint where they are counted to be few and the session does not forbid it."""
+def are_few(rows: DataFrame, limit: int = BROADCAST_RUNS) -> bool:
+    """Whether the rows are counted to be few enough for a broadcast, and the session does not forbid it."""
     allowed = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip() != "-1"
-    return F.broadcast(rows) if allowed and rows.limit(limit + 1).count() <= limit else rows
+    return allowed and rows.limit(limit + 1).count() <= limit
+
+
+def broadcast_if_few(rows: DataFrame, limit: int = BROADCAST_RUNS) -> DataFrame:
+    return F.broadcast(rows) if are_few(rows, limit) else rows
 
 
 def requested_pairs(requests: DataFrame) -> DataFrame:
@@ -142,6 +146,7 @@ def scored_taxon_counts(
     now: Column,
     background_id: int | None = None,
     requests: DataFrame | None = None,
+    by_taxon: bool = False,
     ordered: bool = False,
 ) -> DataFrame:
     """Counts with run config, lineage, background model and z-score.
@@ -149,7 +154,8 @@ def scored_taxon_counts(
     Give one ``background_id`` for all runs, or ``requests (pipeline_run_id, background_id)`` to
     score exactly the requested pairs in one job. Counts and models are cut to the requested runs
     and backgrounds first, and a count is repeated per background only after the joins that do not
-    depend on it. ``ordered`` asks for a global order by taxon.
+    depend on it. ``by_taxon`` looks up lineages and the models of one background in one move of the
+    counts, as it is done for requests. ``ordered`` asks for a global order by taxon.
     """
     if (background_id is None) == (requests is None):
         raise ValueError("give either background_id or requests")
@@ -157,6 +163,8 @@ def scored_taxon_counts(
     if requests is not None:
         requests = requested_pairs(requests)
         with_model = requested_models(wanted, runs, configs, lineages, summaries, requests)
+    elif by_taxon:
+        with_model = models_by_taxon(wanted, runs, configs, lineages, summaries, background_id)
     else:
         with_run = wanted.join(broadcast_if_few(run_config(runs, configs)), "pipeline_run_id", "left")
         with_model = background_summary(versioned_lineage(with_run, lineages), summaries, background_id)
@@ -173,16 +181,39 @@ def requested_models(
     """
     backgrounds = broadcast_if_few(requests.select("background_id").distinct())
     chosen = summaries.join(backgrounds, "background_id", "left_semi")
-    profiles = taxon_profiles(lineages, chosen)
-    left = counts.join(broadcast_if_few(requested_runs(runs, configs, requests)), "pipeline_run_id")
-    left = left.withColumn("lineage_taxon_join_id", lineage_join_id(F.col("tax_id")))
-    joined = left.join(profiles, F.col("lineage_taxon_join_id") == F.col("_taxid"), "left")
+    asked = requested_runs(runs, configs, requests)
+    joined = with_profiles(counts, asked, taxon_profiles(lineages, chosen), "inner")
+    return from_profiles(joined, "inline(_backgrounds)").drop("_backgrounds")
+
+
+def models_by_taxon(
+    counts: DataFrame, runs: DataFrame, configs: DataFrame, lineages: DataFrame, summaries: DataFrame, background_id: int
+) -> DataFrame:
+    """Counts with run config, lineage and model of one background; runs without a config stay."""
+    chosen = summaries.filter(F.col("background_id") == background_id)
+    joined = with_profiles(counts, run_config(runs, configs), taxon_profiles(lineages, chosen), "left")
+    return from_profiles(joined, f"CAST({background_id} AS BIGINT) AS background_id").drop("lineage_taxon_join_id")
+
+
+def with_profiles(counts: DataFrame, runs: DataFrame, profiles: DataFrame, how: str) -> DataFrame:
+    """Counts with columns of their run and the profile of their taxon; runs that are few come after the move by taxon."""
+    late = are_few(runs)
+    if not late:
+        counts = counts.join(runs, "pipeline_run_id", how)
+    elif how == "inner":
+        counts = counts.join(F.broadcast(runs.select("pipeline_run_id")), "pipeline_run_id", "left_semi")
+    left = counts.withColumn("lineage_taxon_join_id", lineage_join_id(F.col("tax_id")))
+    joined = left.join(profiles, F.col("lineage_taxon_join_id") == F.col("_taxid"), "left").drop("_taxid")
+    return joined.join(F.broadcast(runs), "pipeline_run_id", how) if late else joined
+
+
+def from_profiles(joined: DataFrame, backgrounds: str) -> DataFrame:
+    """A row per lineage range of the run's version, background and model; ``backgrounds`` gives ``background_id``."""
     valid = "r.version_start <= lineage_version AND r.version_end >= lineage_version"
     same = " AND ".join(f"m.{c} = {c}" for c in ("background_id", "tax_id", "tax_level", "count_type"))
-    kept = [*left.columns]
-    kept.remove("_backgrounds")
-    ranged = joined.selectExpr(*kept, "_backgrounds", "_models", f"explode_outer(filter(_ranges, r -> {valid})) AS _r")
-    paired = ranged.selectExpr(*kept, "_models", *(f"_r.{c}" for c in LINEAGE), "inline(_backgrounds)")
+    kept = [c for c in joined.columns if c not in ("_ranges", "_models")]
+    ranged = joined.selectExpr(*kept, "_models", f"explode_outer(filter(_ranges, r -> {valid})) AS _r")
+    paired = ranged.selectExpr(*kept, "_models", *(f"_r.{c}" for c in LINEAGE), backgrounds)
     found = paired.selectExpr(*kept, *LINEAGE, "background_id", f"explode_outer(filter(_models, m -> {same})) AS _m")
     return found.selectExpr(*kept, *LINEAGE, "background_id", *(f"_m.{c}" for c in MODEL))
 

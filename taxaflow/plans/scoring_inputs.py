@@ -95,14 +95,9 @@ def taxon_lineages(t: Tables) -> DataFrame:
 
 
 def taxon_summaries(t: Tables) -> DataFrame:
-    """Background 1 is every hit, background 2 only flag A; taxa with p % 13 = 0 have no model."""
-    hits = (
-        _hits(t)
-        .filter("p % 13 <> 0")
-        .withColumn("background_id", F.explode(F.expr("IF(l_returnflag = 'A', array(1L, 2L), array(1L))")))
-        .withColumn("whole", F.expr("CAST(round(cents / 100D) AS BIGINT)"))
-    )
-    grouped = hits.groupBy("background_id", "tax_id", "p", "tax_level", "count_type").agg(
+    """Background 1 is every hit, background 2 only flag A, whose hits are those of type NT; taxa with p % 13 = 0 have no model."""
+    hits = _hits(t).filter("p % 13 <> 0").withColumn("whole", F.expr("CAST(round(cents / 100D) AS BIGINT)"))
+    grouped = hits.groupBy("tax_id", "p", "tax_level", "count_type").agg(
         F.count("*").cast("double").alias("n"),
         F.sum("cents").cast("double").alias("cents"),
         F.sum("whole").cast("double").alias("whole"),
@@ -111,7 +106,7 @@ def taxon_summaries(t: Tables) -> DataFrame:
         F.sum(F.col("quantity") * F.col("quantity")).cast("double").alias("quantity2"),
     )
     return grouped.selectExpr(
-        "background_id",
+        "explode(IF(count_type = 'NT', array(1L, 2L), array(1L))) AS background_id",
         "tax_id",
         "tax_level",
         "count_type",

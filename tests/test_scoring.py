@@ -244,3 +244,47 @@ def test_document_ids_need_counts_and_pairs_only(spark, rows):
     got = op.document_ids(args[0], requests)
     assert rows(got) == rows(op.requested_documents(*args, contig_frame(spark), requests), "doc_id")
     assert rows(got) == [("0_1_1",), ("0_1_2",), ("10_1_1_1",), ("10_1_1_2",), ("10_1_2_2",)]
+
+
+def scoring_tables(spark):
+    from taxaflow.plans import scoring_inputs as src
+    from taxaflow.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    return src.taxon_counts(t), src.pipeline_runs(t), src.alignment_configs(t), src.taxon_lineages(t), src.taxon_summaries(t)
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Join" in line]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_one_background_by_taxon_moves_counts_once(spark, rows, threshold):
+    """The rows of the joins one by one, without a join by count type and level."""
+    inputs = scoring_tables(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        want = op.scored_taxon_counts(*inputs, now=now(), background_id=2)
+        got = op.scored_taxon_counts(*inputs, now=now(), background_id=2, by_taxon=True)
+        assert not [line for line in joins(got) if "count_type" in line]
+        assert got.columns == want.columns and rows(got) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_run_configs_come_after_the_move_by_taxon(spark):
+    """Counts move with their run's id only: the join that adds config and backgrounds is above the join by taxon."""
+    inputs = scoring_tables(spark)
+    pairs = inputs[1].selectExpr("id AS pipeline_run_id", "1L AS background_id")
+    found = joins(op.scored_taxon_counts(*inputs, now=now(), requests=pairs))
+    taxon = next(i for i, line in enumerate(found) if "_taxid" in line)
+    assert [line for line in found[:taxon] if "pipeline_run_id" in line and "Inner" in line]
+    assert not [line for line in found[taxon:] if "pipeline_run_id" in line and "BroadcastHashJoin" in line and "Inner" in line and "alignment" not in line]
+
+
+def test_a_model_is_summed_once_for_both_backgrounds(spark):
+    summaries = scoring_tables(spark)[4]
+    plan = summaries._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "HashAggregate" in line and "background_id" in line.split("functions=")[0]]
