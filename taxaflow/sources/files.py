@@ -41,8 +41,11 @@ def gunzip_base64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def decode_log_batches(payloads: DataFrame, column: str = "data") -> DataFrame:
-    """Inline log payloads, gzipped JSON in base64, as ``logGroup, logStream, logEvents``."""
-    parsed = F.from_json(gunzip_base64(column), schemas.LOG_BATCH, {"mode": "FAILFAST"})
+    """Inline log payloads, gzipped JSON in base64, as ``logGroup, logStream, logEvents``.
+
+    A filter on what is parsed must not reach the scan, or every task would unpack twice, with two Python workers.
+    """
+    parsed = F.from_json(gunzip_base64.asNondeterministic()(column), schemas.LOG_BATCH, {"mode": "FAILFAST"})
     return payloads.select(parsed.alias("b")).select("b.*")
 
 

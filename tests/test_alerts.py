@@ -228,3 +228,11 @@ def test_stderr_view(spark):
     ]
     got = [r.line.split(" ", 2)[2] for r in op.stderr_view(logs(spark, *lines)).orderBy("id").collect()]
     assert got == ["a.stderr ERROR m", "a.stderr m", "plain", "a.stderr m"]
+
+
+def test_payloads_are_unpacked_once(spark, tmp_path):
+    """Filters that follow from the list of events do not bring a second copy of the decoder."""
+    path = str(tmp_path / "payloads")
+    spark.createDataFrame([("x",)], "data STRING").write.parquet(path)
+    plan = op.flatten_logs(files.decode_log_batches(spark.read.parquet(path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
