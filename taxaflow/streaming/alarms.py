@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from taxaflow.operators.metrics import STATISTICS
 
-FIELDS = ["metric", "dimension", "period_second", "value", "breach", "state", "previous_state"]
+STATE = Row("metric", "dimension", "period_second", "value", "breach", "state", "previous_state")
 OUTPUT = "metric STRING, dimension STRING, period_second BIGINT, value DOUBLE, breach BOOLEAN, state STRING, previous_state STRING"
 
 
@@ -43,37 +42,39 @@ class PeriodChain(StatefulProcessor):
         self.handle = handle
         self.chain = handle.getValueState("chain", "due BIGINT, run INT")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        due = int(initialState["due"].min())
-        self.chain.update((due, 0))
-        self.handle.registerTimer((due + self.seconds) * 1000)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        known = self.chain.get()
+        if known is None or initialState.due < known[0]:
+            if known is not None:
+                self.handle.deleteTimer((known[0] + self.seconds) * 1000)
+            self.chain.update((initialState.due, 0))
+            self.handle.registerTimer((initialState.due + self.seconds) * 1000)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.period_second)
-        yield self._advance(key, known, timerValues)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return self._advance(key, sorted(rows, key=lambda r: r.period_second), timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._advance(key, [], timerValues)
 
     def _state(self, run: int) -> str:
         return "ALARM" if run >= self.evaluation_periods else "OK"
 
-    def _advance(self, key, known: list, timer_values) -> pd.DataFrame:
-        due, run = self.chain.get() if self.chain.exists() else (None, 0)
+    def _advance(self, key, known: list[Row], timer_values) -> Iterator[Row]:
+        due, run = self.chain.get() or (None, 0)
         before = due
-        out: list[tuple] = []
+        out: list[Row] = []
 
         def step(start: int, value: float | None, breach: bool) -> None:
             nonlocal due, run
             previous = self._state(run)
             run = run + 1 if breach else 0
             due = start + self.seconds
-            out.append((*key, start, value, breach, self._state(run), previous))
+            out.append(STATE(*key, start, value, breach, self._state(run), previous))
 
         for row in known:
             while due is not None and due < row.period_second:
                 step(due, None, self.missing_breaches)
-            step(int(row.period_second), float(row.value), bool(row.breach))
+            step(row.period_second, row.value, row.breach)
         closed = timer_values.getCurrentWatermarkInMs() // 1000
         while due is not None and due + self.seconds <= closed:
             step(due, None, self.missing_breaches)
@@ -82,7 +83,7 @@ class PeriodChain(StatefulProcessor):
                 self.handle.deleteTimer((before + self.seconds) * 1000)
             self.handle.registerTimer((due + self.seconds) * 1000)
             self.chain.update((due, run))
-        return pd.DataFrame(out, columns=FIELDS).astype({"value": "float64"})
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -114,7 +115,7 @@ def alarm_state_stream(
     if expected is not None:
         first = F.unix_seconds(F.col("since").cast("timestamp"))
         initial = expected.select("metric", "dimension", (first - first % period_seconds).alias("due")).groupBy("metric", "dimension")
-    states = periods.groupBy("metric", "dimension").transformWithStateInPandas(
+    states = periods.groupBy("metric", "dimension").transformWithState(
         PeriodChain(period_seconds, evaluation_periods, missing_breaches), OUTPUT, "Append", "EventTime", initial
     )
     return states.withColumn("window_start", F.timestamp_seconds("period_second").cast("timestamp_ntz")).drop(

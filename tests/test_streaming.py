@@ -211,3 +211,22 @@ def test_alarm_transitions_on_a_stream(spark, rows):
     columns = ["dimension", F.col("window_start").cast("string"), "previous_state", "state", "notify"]
     got = rows(spark.read.parquet(table), *columns)
     assert got == rows(batch, *columns) and [r[3] for r in got] == ["ALARM", "OK", "ALARM", "OK"]
+
+
+def test_an_alarm_takes_rows_and_the_earliest_of_its_starts():
+    """The state step works on rows as they come, without a frame per alarm."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    held, timers = [], set()
+    state = SimpleNamespace(get=lambda: held[-1] if held else None, update=held.append)
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.remove)
+    chain, now = alarms.PeriodChain(60, 1, True), SimpleNamespace(getCurrentWatermarkInMs=lambda: 250_000)
+    chain.init(handle)
+    for due in (120, 60, 180):
+        chain.handleInitialState(("age", "a"), Row(due=due), now)
+    assert held[-1] == (60, 0) and timers == {120_000}
+    got = chain.handleInputRows(("age", "a"), iter([Row(period_second=120, value=1.0, breach=False)]), now)
+    assert [(r.period_second, r.value, r.state) for r in got] == [(60, None, "ALARM"), (120, 1.0, "OK"), (180, None, "ALARM")]
+    assert held[-1] == (240, 1) and timers == {300_000}
