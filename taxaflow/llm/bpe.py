@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import slices, whole_text
+from taxaflow.llm.common import slices, small_batches, whole_text
 from taxaflow.llm.vocabulary import Codec, codec, tokenizer_path
 from taxaflow.session import settle
 
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
     columns of ``docs`` are left out.
     """
     path = path or tokenizer_path()
-    texts = docs.select("doc_id", whole_text("text").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    texts = small_batches(docs).select("doc_id", whole_text("text").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     marks = shared_chunks(texts)
     kind = texts.schema["doc_id"].dataType.simpleString()
     packed = texts.mapInArrow(squeeze, f"doc_id {kind}, key long, raw binary")

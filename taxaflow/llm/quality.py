@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import over_slices, strings, whole_text
+from taxaflow.llm.common import over_slices, small_batches, strings, whole_text
 from taxaflow.session import settle
 
 FEATURES = 160
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     """
     width = len(STATISTICS)
     marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
-    texts = docs.where(train).select("doc_id", whole_text("text").alias("text"))
+    texts = small_batches(docs).where(train).select("doc_id", whole_text("text").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     stats = texts.mapInArrow(over_slices(describe), f"doc_id {kind}, stats array<double>")
     rows = settle(stats.join(marks, "doc_id").select("stats", "label", F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).cast("int").alias("fold")))
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     named ``score`` or ``predicted`` must be dropped or renamed first.
     """
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return docs.mapInArrow(apply_model(model), f"{kinds}, score double, predicted int")
+    return small_batches(docs).mapInArrow(apply_model(model), f"{kinds}, score double, predicted int")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import over_slices, strings, whole_text
+from taxaflow.llm.common import over_slices, small_batches, strings, whole_text
 from taxaflow.llm.vocabulary import rank_encoding, tokenizer_path
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -145,7 +145,7 @@ def find_secrets(docs: DataFrame, path: str | None = None, ratio: float = CHARS_
     """
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     scanned = scan(path or tokenizer_path("byte_bpe_50k.tiktoken"), ratio)
-    return docs.mapInArrow(scanned, f"{kinds}, found array<struct<kind string, start bigint, end bigint>>")
+    return small_batches(docs).mapInArrow(scanned, f"{kinds}, found array<struct<kind string, start bigint, end bigint>>")
 
 
 def written(spans: Column) -> Column:

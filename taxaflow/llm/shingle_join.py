@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import slices, whole_text
+from taxaflow.llm.common import slices, small_batches, whole_text
 from taxaflow.llm.components import components
 from taxaflow.session import new_shared_path, settle
 
@@ -101,11 +101,13 @@ def frequent(k: int):
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         different = {hashlib.blake2b(s, digest_size=16).digest(): s for s in sets}
         shingles = np.concatenate(list(different.values()))
+        sets.clear()
+        different.clear()
         shingles.sort()
-        starts = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1])[: len(shingles)])
-        counts = np.diff(starts, append=len(shingles))
-        often = counts >= COMMON_REPEATS
-        return pa.RecordBatch.from_arrays([signed(shingles[starts[often]]), pa.array(counts[often], pa.int64())], names=["shingle", "n"])
+        more = COMMON_REPEATS - 1  # one that stands so many places further on as well
+        often = np.unique(shingles[more:][shingles[more:] == shingles[:-more]])
+        counts = np.searchsorted(shingles, often, "right") - np.searchsorted(shingles, often)
+        return pa.RecordBatch.from_arrays([signed(often), pa.array(counts, pa.int64())], names=["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -285,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     text, has size 0 and links with nothing. Rows that repeat an id and text give equal rows; a null
     id is its own component, null, unless its set equals another's. Other columns are left out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     common = common_shingles(texts, k)
     rows = written(texts.mapInArrow(describe(k, percent, common), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "sets")
     units = settle(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("unit"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("unit IS NOT NULL"))
