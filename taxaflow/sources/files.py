@@ -16,8 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
 from taxaflow import schemas
-from taxaflow.session import settle
-from taxaflow.sources.keyed_tables import rewrite
+from taxaflow.sources.keyed_tables import append_new_keys
 
 LISTED_ROWS = 10_000  # objects of a listing that a task hands on at a time
 
@@ -65,18 +64,12 @@ def append_benchmarks(spark: SparkSession, path: str, table: str) -> None:
     """Append benchmark CSV files to a keyed table, each file once; the table is made if it is absent.
 
     Every row notes its file in ``loaded_from``, by path, size and time, which is also the ledger of loaded
-    files; only the buckets of the files given are read for it. Nothing is appended when a row of any of
-    the files has another number of columns.
+    files; only the buckets of the files given are read for it, and only that column. Rows are written as
+    they are parsed, without a shuffle. Nothing is appended when a row of any of the new files has another
+    number of columns.
     """
     file = F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.unix_micros("_metadata.file_modification_time").cast("string"))
-    new = settle(load_benchmarks(spark, path).withColumn("loaded_from", file))
-
-    def change(old: DataFrame | None) -> DataFrame:
-        if old is None:
-            return new
-        return old.unionByName(new.join(old.select("loaded_from").distinct(), "loaded_from", "left_anti").select(*old.columns))
-
-    rewrite(spark, table, new, ["loaded_from"], change, adds=True)
+    append_new_keys(spark, table, load_benchmarks(spark, path).withColumn("loaded_from", file), ["loaded_from"])
 
 
 class ObjectListing(DataSource):

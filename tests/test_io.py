@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taxaflow import schemas
 from taxaflow.functions import text
 from taxaflow.session import new_shared_path, shared_dir
-from taxaflow.sources import files, sinks, tables
+from taxaflow.sources import files, keyed_tables, sinks, tables
 from taxaflow.sources.keyed_tables import read_table
 
 
@@ -104,6 +104,46 @@ def test_files_are_appended_once(spark, tmp_path, rows):
     assert rows(read_table(spark, table), "sample") == [*want, ("c1",)]
 
 
+def test_an_append_moves_no_rows_that_the_table_holds(spark, tmp_path, rows, monkeypatch):
+    """Old files stay as they are, a repeat writes nothing, and a bucket of many appends becomes one folder again."""
+    table, good = new_shared_path(spark, "scores"), "v1,2021-01-22,{},2021-07-02T11:50:01,9,0.5,1.0\n"
+    monkeypatch.setattr(keyed_tables, "MOST_FOLDERS", 3)
+    held = []
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(HEADER + good.format(f"{i}a") + good.format(f"{i}b"))
+        files.append_benchmarks(spark, str(tmp_path), table)
+        version = keyed_tables.current_version(spark, table)
+        assert [(version.number, b.rows) for b in version.buckets.values()] == [(i + 1, 2 * (i + 1))]
+        held.append(set(version.buckets[""].folders))
+        assert rows(read_table(spark, table), "sample") == [(f"{j}{x}",) for j in range(i + 1) for x in "ab"]
+    assert held[0] < held[1] < held[2] and not held[2] & held[3] and held[3] < held[4]
+    assert [len(h) for h in held] == [1, 2, 3, 1, 2]
+    files.append_benchmarks(spark, str(tmp_path / "1.csv"), table)
+    assert keyed_tables.current_version(spark, table).number == 5
+    assert keyed_tables.expire_versions(spark, table, keep=1) == 4
+    assert read_table(spark, table).count() == 10
+
+
+def test_appended_files_split_and_beyond_the_broadcast(spark, tmp_path, rows, monkeypatch):
+    table, good = new_shared_path(spark, "scores"), "v1,2021-01-22,{},2021-07-02T11:50:01,9,0.5,1.0\n"
+    monkeypatch.setattr(keyed_tables, "MOST_FOLDERS", 1)
+
+    def append(path):
+        loaded = files.load_benchmarks(spark, str(path)).withColumn("loaded_from", F.col("_metadata.file_name"))
+        keyed_tables.append_new_keys(spark, table, loaded, ["loaded_from"], bucket_rows=4)
+
+    for i in range(12):
+        (tmp_path / f"{i:02}.csv").write_text(HEADER + good.format(f"{i:02}") * 2)
+        if i in (3, 5):
+            append(tmp_path)
+    monkeypatch.setattr(keyed_tables, "BROADCAST_KEYS", 2)
+    for _ in range(2):
+        append(tmp_path)
+    buckets = keyed_tables.current_version(spark, table).buckets
+    assert len(buckets) > 2 and sum(b.rows for b in buckets.values()) == 24 and sum(2.0 ** -len(bits) for bits in buckets) == 1
+    assert rows(read_table(spark, table), "sample") == sorted([(f"{i:02}",) for i in range(12)] * 2)
+
+
 def test_a_store_is_listed_by_tasks(spark, tmp_path, rows):
     """A partition for every outer prefix; folders below, prefixes without objects, and suffixes."""
     for name, size in (("x/1/a.fa", 4), ("x/1/b.txt", 2), ("x/2/3/c.fa", 7), ("y/d.fa", 0), ("xx/e.fa", 1)):
