@@ -13,6 +13,8 @@ shingles with, and every unit with the first of its group. Leaders have few shin
 they are the likeliest links of a cluster. Then pairs are made only between groups
 not yet connected, where one side is not the list's main component. Both steps verify links; what
 the second leaves out are pairs inside a component, which cannot change the components.
+
+Narrow tables between the steps are staged; whole sets and prefixes are checkpoints, which Spark can remove once unused.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.llm.common import slices, small_batches, whole_text
 from taxaflow.llm.components import components
-from taxaflow.session import new_shared_path, settle
+from taxaflow.session import new_shared_path, settle, staged
 
 COMMON_SHINGLES = 262_144  # shingles known as common; others count as rare, which affects speed only
 COMMON_REPEATS = 3  # repeats in one task's run that make a shingle a candidate for that
@@ -233,20 +235,20 @@ def hopeful(known: Column, n: Column, low: Column, high: Column, percent: int) -
 
 
 def verified(pairs: DataFrame, texts: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of units whose whole sets are similar enough, as a settled table of links."""
-    pairs = settle(pairs)
+    """Pairs (a, b) of units whose whole sets are similar enough, as a staged table of links."""
+    pairs = staged(pairs)
     ids = pairs.select(F.col("a").alias("unit")).union(pairs.select(F.col("b").alias("unit"))).distinct()
-    sets = gather(texts, settle(units.join(ids, "unit", "left_semi").select("unit", "digest")), k)
+    sets = gather(texts, staged(units.join(ids, "unit", "left_semi").select("unit", "digest")), k)
     left = sets.select(F.col("unit").alias("a"), F.col("hashes").alias("a_hashes"))
     right = sets.select(F.col("unit").alias("b"), F.col("hashes").alias("b_hashes"))
     links = pairs.join(left, "a").join(right, "b").mapInArrow(compare(percent), "a long, b long")
-    return settle(links.distinct())
+    return staged(links.distinct())
 
 
 def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (g, h) of groups whose prefixes share enough; the wanted groups are broadcast while they are few."""
-    pairs = settle(pairs)
-    ids = settle(pairs.select(F.col("g").alias("grp")).union(pairs.select(F.col("h").alias("grp"))).distinct())
+    pairs = staged(pairs)
+    ids = staged(pairs.select(F.col("g").alias("grp")).union(pairs.select(F.col("h").alias("grp"))).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     prefixes = settle(rows.join(ids, "grp", "left_semi").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     left = prefixes.select(F.col("grp").alias("g"), F.struct("n", "prefix").alias("x"))
@@ -290,28 +292,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     common = common_shingles(texts, k)
     rows = written(texts.mapInArrow(describe(k, percent, common), "doc_id long, n long, digest binary, grp long, prefix array<long>"), "sets")
-    units = settle(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("unit"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("unit IS NOT NULL"))
+    units = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("unit"), F.first("n").alias("n"), F.first("grp").alias("grp")).where("unit IS NOT NULL"))
 
     postings = rows.where("n > 0").select(F.posexplode("prefix").alias("place", "shingle"), "grp", "n")
     shared = postings.groupBy("shingle").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = settle(shared.where("least <> most").select("shingle", "low", "high"))
+    shared = staged(shared.where("least <> most").select("shingle", "low", "high"))
     postings = postings.join(shared, "shingle").groupBy("shingle", "grp", "n", "place", "low", "high").agg(F.count(F.lit(1)).alias("copies")).drop("copies")
     postings = written(postings, "postings")
-    known = settle(postings.groupBy("grp").agg(F.count(F.lit(1)).alias("known")))
+    known = staged(postings.groupBy("grp").agg(F.count(F.lit(1)).alias("known")))
     hope = hopeful(F.col("known"), F.col("n"), F.col("low"), F.col("high"), percent)
     smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
     postings = postings.join(known, "grp").where(hope & early(F.col("place"), F.col("n"), smallest, percent)).drop("low", "high")
     postings = written(postings, "postings")
 
     many = units.groupBy("grp").agg(F.min("unit").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("units"))
-    many = settle(many)
+    many = staged(many)
 
     # A few leaders for every group, the first unit for every other unit of a group.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
     banded = postings.withColumn("band", band)
     drawn = [F.max(F.when(F.pmod(F.xxhash64("grp"), F.lit(LEADERS)) == turn, F.struct("known", "grp")))["grp"] for turn in range(LEADERS)]
     lead = F.array_compact(F.array(*drawn))
-    leaders = settle(banded.groupBy("shingle", "band").agg(lead.alias("leaders"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"))
+    leaders = staged(banded.groupBy("shingle", "band").agg(lead.alias("leaders"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups"))
     votes = banded.join(leaders, ["shingle", "band"]).select("grp", F.explode("leaders").alias("leader")).where("grp <> leader")
     votes = votes.groupBy("grp", "leader").agg(F.count(F.lit(1)).alias("votes"))
     led = votes.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), False), 1, LEADERS).alias("best"))
@@ -325,14 +327,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # Pairs between what is not connected yet.
     placed = units.join(joined, units["unit"] == joined["node"], "left").select("unit", "n", "grp", F.coalesce("component", "unit").alias("component"))
-    placed = settle(placed)
+    placed = staged(placed)
     groups = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = settle(groups.select("grp", F.when(F.col("low") == F.col("high"), F.struct("low", F.lit(None).cast("long").alias("split"))).otherwise(F.struct("low", F.col("grp").alias("split"))).alias("side")))
-    sided = settle(postings.join(groups, "grp"))
+    groups = staged(groups.select("grp", F.when(F.col("low") == F.col("high"), F.struct("low", F.lit(None).cast("long").alias("split"))).otherwise(F.struct("low", F.col("grp").alias("split"))).alias("side")))
+    sided = staged(postings.join(groups, "grp"))
     per_side = sided.groupBy("shingle", "side").agg(F.count(F.lit(1)).alias("groups"))
     main = per_side.groupBy("shingle").agg(F.max(F.struct("groups", "side")).alias("main"), F.count(F.lit(1)).alias("sides")).where("sides > 1")
-    main = settle(main.select("shingle", F.col("main.side").alias("main")))
-    sided = settle(sided.join(main, "shingle"))
+    main = staged(main.select("shingle", F.col("main.side").alias("main")))
+    sided = staged(sided.join(main, "shingle"))
     kept = [F.col(c) for c in ("n", "place", "known", "side")]
     minor = sided.where(~F.col("side").eqNullSafe(F.col("main"))).select("shingle", F.col("grp").alias("g"), F.struct(*kept).alias("x"))
     other = sided.select("shingle", F.col("grp").alias("h"), F.struct(*kept).alias("y"), F.col("side").eqNullSafe(F.col("main")).alias("in_main"))
@@ -341,7 +343,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     apart = apart & early(F.col("x.place"), n, m, percent) & early(F.col("y.place"), m, n, percent)
     apart = apart & enough(F.least("x.known", "y.known"), n, m, percent)
     pairs = minor.join(other, "shingle").where(apart).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-    pairs = settle(promising(pairs, rows, percent))
+    pairs = staged(promising(pairs, rows, percent))
     left = placed.select(F.col("grp").alias("g"), F.col("unit").alias("a"), F.col("component").alias("a_component"))
     right = placed.select(F.col("grp").alias("h"), F.col("unit").alias("b"), F.col("component").alias("b_component"))
     across = pairs.join(left, "g").join(right, "h").where("a_component <> b_component").select("a", "b")
@@ -351,7 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     joined = components(links.union(more))
 
     by_set = units.join(joined, units["unit"] == joined["node"], "left").select("digest", F.coalesce("component", "unit").alias("component_id"))
-    by_set = settle(by_set)
+    by_set = staged(by_set)
     linked = rows.where("n > 0").select("doc_id", "n", "digest").join(by_set, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(empty)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from taxaflow.llm import decontaminate, max_score, queries, shingle_join, url_rules
 from taxaflow.llm.components import components
 from taxaflow.llm.queries import RULES
+from taxaflow.session import settle
 from tests.oracle import compare
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -165,6 +166,25 @@ def test_near_duplicate_edges(edge_docs, no_docs, monkeypatch):
     assert sorted(map(str, shingle_join.near_duplicates(edge_docs).collect())) == sorted(str(r) for r in shingle_join.near_duplicates(edge_docs).collect())
 
 
+def test_small_tables_of_near_duplicates_take_few_tasks(spark):
+    """Tables between the steps are read in few tasks where they are small, however many partitions wrote them."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    docs = settle(spark.createDataFrame(near_copies(2, True), "doc_id long, text string"))
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("near duplicates", "tasks are counted")
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        shingle_join.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        context._jsc.clearJobGroup()
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    stages = {stage for job in tracker.getJobIdsForGroup("near duplicates") for stage in tracker.getJobInfo(job).stageIds}
+    assert sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info) < 2400
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
