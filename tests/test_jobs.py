@@ -155,6 +155,52 @@ def test_failed_clean_up_is_a_warning(spark, rows, monkeypatch):
     assert read_table(spark, tasks).filter("deletion_task LIKE 'evict-c:%'").count() == 0
 
 
+def small_tables(spark, path):
+    """Four expired runs in the driver's tables, as far as eviction reads them."""
+    day = dt.datetime(1997, 1, 1)
+    orders = [(r, r, "O", 1.0, day, "1-URGENT" if r == 4 else "2-HIGH") for r in range(1, 5)]
+    customers = [(r, f"c{r}", 1, 1.0, "MACHINERY") for r in range(1, 5)]
+    spark.createDataFrame(
+        orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(customers, "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING").write.parquet(
+        f"{path}/customer.parquet"
+    )
+    return str(path)
+
+
+@pytest.mark.parametrize("table", ["documents", "index", "tasks"])
+def test_a_failed_step_fails_the_query(spark, rows, monkeypatch, tmp_path, table):
+    """Rows of the cycles are given out only if every step of every cycle was done."""
+    from taxaflow.plans import eviction_queries, registered
+
+    directory, paths, plain = small_tables(spark, tmp_path), {}, keyed_tables.publish
+
+    def publish(spark, at, version):
+        if at == paths[table] and version.number > 1:
+            raise OSError("store is down")
+        plain(spark, at, version)
+
+    monkeypatch.setattr(eviction_queries, "new_shared_path", lambda spark, name: paths.setdefault(name, new_shared_path(spark, name)))
+    done = registered.QUERIES["evict_cycles"](spark, directory)
+    assert rows(done, "pipeline_run_id", "has_documents") == [(4, True)]  # its task had succeeded before
+    paths.clear()
+    monkeypatch.setattr(keyed_tables, "publish", publish)
+    with pytest.raises(eviction.EvictionError, match="failed"):
+        registered.QUERIES["evict_cycles"](spark, directory)
+
+
+def test_an_error_of_spark_ends_the_cycle(spark):
+    """Only what a table refuses is reported; other errors are raised where they happen, strict or not."""
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        jobs.attempt(lambda: spark.sql("SELECT raise_error('broken')").collect())
+    with pytest.raises(ZeroDivisionError):
+        jobs.attempt(lambda: 1 / 0)
+    assert jobs.attempt(lambda: open("/absent/file")) == "FileNotFoundError"
+
+
 def test_cycles_make_progress(spark, rows):
     """Twenty expired runs, two tasks of three runs a cycle: every cycle deletes the next runs."""
     day = dt.datetime(1998, 1, 1)
