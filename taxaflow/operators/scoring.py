@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions.rows import evaluated_once
 from taxaflow.functions.scoring import document_id, lineage_join_id, taxon_zscore
-from taxaflow.session import new_shared_path, settle
+from taxaflow.session import settle, staged
 
 BROADCAST_RUNS = 500_000  # about 40 bytes each
 
@@ -87,9 +87,8 @@ def taxon_profiles(lineages: DataFrame, summaries: DataFrame) -> DataFrame:
         F.struct("background_id", "tax_id", "tax_level", "count_type", *MODEL).alias("_model"),
     )
     both = ranges.unionByName(models, allowMissingColumns=True).filter("_taxid IS NOT NULL")
-    path = new_shared_path(lineages.sparkSession, "taxon-profiles")
-    both.groupBy("_taxid").agg(F.collect_list("_range").alias("_ranges"), F.collect_list("_model").alias("_models")).write.parquet(path)
-    return lineages.sparkSession.read.parquet(path)
+    lists = both.groupBy("_taxid").agg(F.collect_list("_range").alias("_ranges"), F.collect_list("_model").alias("_models"))
+    return staged(lists, "taxon-profiles")
 
 
 def versioned_lineage(counts: DataFrame, lineages: DataFrame) -> DataFrame:

@@ -190,3 +190,52 @@ def test_small_buckets_share_folders(spark, rows, monkeypatch):
     upsert(spark, path, many(spark, 2000, "d"), bucket_rows=20)
     folders = {b.folder for b in keyed_tables.current_version(spark, path).buckets.values()}
     assert len(folders) >= 256 and rows(read_table(spark, path).groupBy("v").count()) == [("d", 8000)]
+
+
+@pytest.mark.parametrize("few", [0, 1, 3, 100])
+def test_an_upsert_finds_by_keys_what_stays(spark, rows, monkeypatch, few):
+    """The rows of ``upsert_documents``, whichever of its ways is taken; null keys are nobody's and stay."""
+    monkeypatch.setattr(keyed_tables, "BROADCAST_KEYS", few)
+    old = keyed(spark, (1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d"), (None, 1, "e"), (2, None, "f"))
+    for new in ([(1, 2, "B"), (3, 1, "D")], [(1, 1, "A"), (1, 2, "B"), (2, 1, "C"), (None, 1, "N")], [(9, 9, "z")]):
+        new = keyed(spark, *new)
+        assert rows(keyed_tables.upsert_staged(old, new, ["run", "tax"])) == rows(keyed_tables.upsert_documents(old, new, ["run", "tax"]))
+
+
+def test_a_repeated_upsert_moves_keys_only(spark, monkeypatch):
+    """A repeat leaves no old row, so old rows are not read whole; folders of staged rows go."""
+    monkeypatch.setattr(keyed_tables, "BROADCAST_KEYS", 10)
+    monkeypatch.setattr(keyed_tables, "UNDEALT_ROWS", 100)
+    folder, files = keyed_tables.file_system(spark, new_shared_path(spark, "x"))
+    root = folder(new_shared_path(spark, "x")).getParent()
+
+    def staged():
+        return {f.getPath().getName() for f in files.listStatus(root) if f.getPath().getName().startswith("staged-")} if files.exists(root) else set()
+
+    path, before, plans = new_shared_path(spark, "test-table"), staged(), []
+    plain = keyed_tables.write_buckets
+
+    def write_buckets(spark, path, rows, *rest, **options):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return plain(spark, path, rows, *rest, **options)
+
+    monkeypatch.setattr(keyed_tables, "write_buckets", write_buckets)
+    for value in "ab":
+        upsert(spark, path, many(spark, 200, value), bucket_rows=10_000)
+    assert len(plans) == 2 and not any("Exchange" in p or "Join" in p for p in plans)
+    assert read_table(spark, path).groupBy("v").count().collect() == [("b", 800)]
+    assert staged() == before
+
+
+def test_large_folders_are_written_without_a_move(spark, rows, monkeypatch):
+    """Rows go to their few large folders from where they are; the table is the same."""
+    from taxaflow.session import DROP_SHUFFLES
+
+    monkeypatch.setattr(keyed_tables, "UNDEALT_ROWS", 100)
+    monkeypatch.setattr(keyed_tables, "GROUP_ROWS", 1)
+    before, path, new = spark.conf.get(DROP_SHUFFLES, None), new_shared_path(spark, "test-table"), many(spark, 400).repartition(3, "tax")
+    upsert(spark, path, new, bucket_rows=400)
+    assert len(files_of(spark, path)) > 4 and len(keyed_tables.current_version(spark, path).buckets) == 4
+    upsert(spark, path, keyed(spark, (7, 0, "b")), bucket_rows=400)
+    assert rows(read_table(spark, path).groupBy("v").count()) == [("a", 1599), ("b", 1)]
+    assert spark.conf.get(DROP_SHUFFLES, None) == before
