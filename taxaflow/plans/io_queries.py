@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaflow.functions import text
@@ -29,6 +29,7 @@ from taxaflow.sources import files, keyed_tables, sinks
 from taxaflow.sources.tables import Tables, key_bounds, range_predicates, scan_table
 
 NOW = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
+BULK_SPLITS = 8
 EXECUTION_ARN = """concat('arn:aws:states:us-west-2:1:execution:', IF(user_id % 2 = 0, 'prod-main-1', 'dev-main-1'),
     IF(user_id % 3 = 0, ':prod-', ':test-'), event_id)"""
 
@@ -151,15 +152,24 @@ def bulk_export(t: Tables) -> DataFrame:
     """Bulk files written compressed and read back as action/document pairs."""
     path = new_shared_path(t.spark, "bulk")
     sinks.bulk_export(documents(t), path, compression="gzip")
-    pairs = t.spark.read.option("lineSep", '\n{"index"').text(path)
-    whole = F.when(F.col("value").startswith('{"index"'), F.col("value")).otherwise(
-        F.concat(F.lit('{"index"'), F.col("value"))
-    )
-    action, body = F.substring_index(whole, "\n", 1), F.split_part(whole, F.lit("\n"), F.lit(2))
-    return pairs.select(
-        F.get_json_object(action, "$.index._id").alias("doc_id"),
-        action.alias("action"),
-        F.json_array_length(F.get_json_object(body, "$.metric_list")).cast("bigint").alias("metrics"),
+    return read_bulk(t.spark, path)
+
+
+def read_bulk(spark: SparkSession, path: str) -> DataFrame:
+    """Id, action line and number of metrics of every document in bulk files; a record is cut and its document parsed once.
+
+    Spark takes a small file for one of some MB and gives a task few of them; ``BULK_SPLITS`` of its tasks are made one
+    while every core still has several.
+    """
+    pairs = spark.read.option("lineSep", '\n{"index"').text(path)
+    splits = pairs.rdd.getNumPartitions()
+    pairs = pairs.coalesce(max(min(splits, 4 * spark.sparkContext.defaultParallelism), splits // BULK_SPLITS))
+    cut = F.split("value", "\n", 3)
+    lines = pairs.select(F.get(cut, 0).alias("head"), F.get(cut, 1).alias("body"))
+    whole = F.when(F.col("head").startswith('{"index"'), F.col("head")).otherwise(F.concat(F.lit('{"index"'), F.col("head")))
+    listed = F.from_json("body", "metric_list ARRAY<STRUCT<count_type: STRING>>")["metric_list"]
+    return lines.select(whole.alias("action"), F.array_size(listed).cast("bigint").alias("metrics")).select(
+        F.get_json_object("action", "$.index._id").alias("doc_id"), "action", "metrics"
     )
 
 

@@ -288,3 +288,26 @@ def test_a_model_is_summed_once_for_both_backgrounds(spark):
     summaries = scoring_tables(spark)[4]
     plan = summaries._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.split("\n") if "HashAggregate" in line and "background_id" in line.split("functions=")[0]]
+
+
+def test_bulk_files_are_read_back_in_few_tasks(spark, rows, tmp_path):
+    """Many small files share tasks; a document is parsed once, whatever its texts hold."""
+    from taxaflow.plans.io_queries import read_bulk
+
+    args = tables(spark, [count_row(tax_id=t) for t in range(1, 201)] + [count_row(tax_id=7, count_type="NR")])
+    odd = F.when(F.col("tax_id") == 7, '\n{"index"\n"metric_list": [1], "count_type":').otherwise("plain")
+    documents = op.taxon_documents(op.scored_taxon_counts(*args, now=now(), background_id=1), contig_frame(spark)).withColumn("name", odd)
+    documents = documents.withColumn("metric_list", F.when(F.col("tax_id") != 8, F.col("metric_list"))).localCheckpoint()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for size in (1, 1000):
+            path = str(tmp_path / f"bulk-{size}")
+            sinks.bulk_export(documents, path, batch_size=size, compression="gzip")
+            got = read_bulk(spark, path)
+            assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+            assert rows(got, "doc_id", "action") == rows(sinks.bulk_lines(documents), "doc_id", "action")
+            assert rows(got.filter("metrics IS NULL OR metrics > 1"), "doc_id", "metrics") == [("7_1_1_1", 2), ("8_1_1_1", None)]
+            assert "json_array_length" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
